@@ -46,11 +46,10 @@ def clean_text(text: str | Column, keep: str = "a-z") -> Column:
 
 def tokens(clean: str | Column, stop_words=STOP_WORDS) -> Column:
     """Words of at least two letters that are no stop words."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    words = F.filter(F.split(clean, " "), lambda w: F.length(w) >= 2)
+    words = F.split(clean, " ")
     if not stop_words:
-        return words
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+        return F.filter(words, lambda w: F.length(w) >= 2)
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))
 
 
 def unigrams_and_bigrams(words: Column) -> Column:
