@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _lgamma = np.frompyfunc(__import__("math").lgamma, 1, 1)
 
@@ -59,7 +59,7 @@ def two_sided_p(t, df) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     p = two_sided_p(t.to_numpy(dtype=float), df.to_numpy(dtype=float))
     return pd.Series(p).where(~np.isnan(p), None)
@@ -87,7 +87,7 @@ def t_quantile(df: float, level: float = 0.975) -> float:
     return (lo + hi) / 2.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _quantile(df: pd.Series) -> pd.Series:
     return df.map(lambda d: t_quantile(float(d)) if pd.notna(d) and d > 0 else None).astype(float)
 

@@ -122,8 +122,9 @@ def binned_mi(df: DataFrame, targets: list[str], features: str = "features", bin
     y_row = scalars(
         y_edges.agg(*[F.max(F.when(F.col("outcome") == t, F.array(*names))).alias(f"e{i}") for i, t in enumerate(targets)])
     )
-    y_bins = [place(F.col(t).cast("double"), y_row[f"e{i}"]).alias(f"b{i}") for i, t in enumerate(targets)]
-    long = df.select(F.posexplode(features).alias("pc", "value"), *y_bins).withColumn("value", F.col("value").cast("double"))
+    edged = df.withColumns({f"_e{i}": y_row[f"e{i}"] for i in range(len(targets))})
+    y_bins = [place(F.col(t).cast("double"), F.col(f"_e{i}")).alias(f"b{i}") for i, t in enumerate(targets)]
+    long = edged.select(F.posexplode(features).alias("pc", "value"), *y_bins).withColumn("value", F.col("value").cast("double"))
     x_edges = quantiles(long.select("pc", "value"), ["pc"], "value", probs).select("pc", F.array(*names).alias("_e"))
     binned = long.join(F.broadcast(x_edges), "pc").withColumn("bx", place(F.col("value"), F.col("_e")))  # one row per component
     pairs = F.array(*[F.struct(F.lit(t).alias("outcome"), F.col(f"b{i}").alias("by")) for i, t in enumerate(targets)])

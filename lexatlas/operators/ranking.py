@@ -235,10 +235,13 @@ def rank_summary(ranks: DataFrame, groups: list[str]) -> DataFrame:
 
 def decile_bins(df: DataFrame, value: str, name: str = "bin", q: int = 10) -> DataFrame:
     """Quantile bins, right-closed, lowest value included, equal edges merged. Null stays null."""
-    edges = decile_edges(df, value, q).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+    inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     count_below = F.size(F.filter(inner, lambda e: e < F.col(value)))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), count_below))
+    return (
+        df.withColumn("_edges", decile_edges(df, value, q).scalar())
+        .withColumn(name, F.when(F.col(value).isNotNull(), count_below))
+        .drop("_edges")
+    )
 
 
 def decile_edges(df: DataFrame, value: str, q: int = 10) -> DataFrame:

@@ -79,13 +79,12 @@ def moments(df: DataFrame, vector: str) -> DataFrame:
 def standardised(df: DataFrame, vector: str, out: str = "scaled") -> DataFrame:
     """Zero mean and unit population deviation per position; a constant position becomes 0."""
     m = scalars(moments(df, vector))
-    pairs = F.arrays_zip(m["mean"].alias("mean"), m["std"].alias("std"))
     scaled = F.zip_with(
-        doubles(vector),
-        pairs,
-        lambda x, p: (x - p["mean"]) / F.when(p["std"] > 0, p["std"]).otherwise(F.lit(1.0)),
+        F.zip_with(doubles(vector), F.col("_mean"), lambda x, c: x - c),
+        F.col("_std"),
+        lambda x, s: x / F.when(s > 0, s).otherwise(F.lit(1.0)),
     )
-    return df.withColumn(out, scaled)
+    return df.withColumns({"_mean": m["mean"], "_std": m["std"]}).withColumn(out, scaled).drop("_mean", "_std")
 
 
 def unit_cube(df: DataFrame, coords=("x", "y", "z")) -> DataFrame:
