@@ -88,9 +88,9 @@ def hash_sql(expr: str, seed: int = 42) -> str:
     return f"('0x' || substr(md5({expr}::VARCHAR || '#{seed}'), 1, 15))::BIGINT"
 
 
-def rounded_sql(columns: str, inner: str) -> str:
+def rounded_sql(columns: str, inner: str, digits: int = 6) -> str:
     """``inner`` with the named double columns rounded as :func:`final` does."""
     if not columns.strip():
         return inner
-    parts = ", ".join(f"(round({c}::DOUBLE, 6) + 0.0)::DOUBLE AS {c}" for c in columns.split())
+    parts = ", ".join(f"(round({c}::DOUBLE, {digits}) + 0.0)::DOUBLE AS {c}" for c in columns.split())
     return f"SELECT * REPLACE ({parts}) FROM ({inner}) AS _t"
