@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-_lgamma = np.frompyfunc(__import__("math").lgamma, 1, 1)
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -45,7 +49,7 @@ def two_sided_p(t, df) -> np.ndarray:
     a, b = df[ok] / 2.0, np.full(ok.sum(), 0.5)
     x = df[ok] / (df[ok] + t[ok] ** 2)
     front = np.exp(
-        (_lgamma(a + b) - _lgamma(a) - _lgamma(b)).astype(float)
+        _lgamma(a + b) - _lgamma(a) - _lgamma(b)
         + a * np.log(np.maximum(x, 1e-300))
         + b * np.log(np.maximum(1.0 - x, 1e-300))
     )

@@ -99,13 +99,11 @@ def tree_leaves(tree, weight: float) -> Leaves:
     return leaves
 
 
-def shapley_of_rows(x: np.ndarray, trees: list[Leaves]) -> np.ndarray:
+def shapley_of_rows(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
     """Exact path-dependent tree Shapley values for a batch of rows."""
     out = np.zeros_like(x, dtype=float)
-    for tree in trees:
-        for fs, low, high, gains in zip(tree.features, tree.lows, tree.highs, tree.gains):
-            if not len(fs):
-                continue
+    for fs, low, high, gains in leaves:
+        if len(fs):
             met = (x[:, fs] > low) & (x[:, fs] <= high)
             pattern = met @ (1 << np.arange(len(fs)))
             out[:, fs] += gains[pattern]
@@ -119,7 +117,8 @@ def gbt_contributions(df: DataFrame, target: str, model, features: str = "featur
     to Arrow batches.
     """
     trees = [tree_leaves(t, w) for t, w in zip(model.trees, model.treeWeights)]
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    leaves = [leaf for t in trees for leaf in zip(t.features, t.lows, t.highs, t.gains)]
+    shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")
     def contributions(x: pd.Series) -> pd.Series:
