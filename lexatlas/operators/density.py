@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexatlas.operators.neighbours import BLOCK, Index, build_index, distances, meet, point_neighbours, visits
 from lexatlas.session import cut
 
+SMALL_GRAPH = 200_000  # edges or components up to here are finished by one task or the driver
 MAX_SEEDS = 2_000_000  # seeds whose tree the driver may hold (about 200 MB)
 NEAR_ZERO = 1e-10  # smallest distance used for a density
 NOISE = -1
@@ -54,12 +55,28 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
 
 
-def roots(best: DataFrame) -> DataFrame:
-    """(comp, root): connected components of the chosen edges, by pointer jumping.
+def roots(best: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
+    """(comp, root): connected components of the chosen edges.
 
-    With a total order of the edges the only cycles are pairs that chose each other.
+    With a total order of the edges the only cycles are pairs that chose each other. Many components
+    are resolved by pointer jumping; what fits ``small_graph`` by one walk on the driver.
     """
     p = best.select("comp", F.col("other").alias("p"))
+    if best.count() <= small_graph:
+        table = p.toPandas()
+        nxt = dict(zip(table["comp"], table["p"]))
+        done: dict = {}
+        for c in nxt:
+            path = []
+            while c not in done and nxt[nxt[c]] != c:
+                path.append(c)
+                c = nxt[c]
+            root = done[c] if c in done else min(c, nxt[c])
+            for x in [*path, c]:
+                done[x] = root
+        pdf = pd.DataFrame({"comp": list(done.keys()), "root": list(done.values())})
+        t = dict(best.dtypes)["comp"]
+        return best.sparkSession.createDataFrame(pdf, f"comp {t}, root {t}")
     back = p.select(F.col("comp").alias("p"), F.col("p").alias("_pp"))
     p = cut(
         p.join(back, "p", "left").select(
@@ -76,7 +93,7 @@ def roots(best: DataFrame) -> DataFrame:
             return p.withColumnRenamed("p", "root")
 
 
-def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) -> DataFrame:
+def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) -> DataFrame | None:
     """Edges found by search for points that their neighbour list does not settle."""
     spark = points.sparkSession
     limit = F.coalesce("w", F.lit(float("inf")))
@@ -88,7 +105,7 @@ def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) ->
     )
     schema = f"comp {id_type}, u {id_type}, v {id_type}, w double, other {id_type}"
     if open_points.limit(1).count() == 0:
-        return spark.createDataFrame([], schema)
+        return None
     # Pivots are points too: the nearest one of another component bounds the search of a component.
     facts = spark.createDataFrame([(r, i) for i, r in enumerate(index.pivot_ids)], f"rid {id_type}, at int")
     known = points.join(F.broadcast(facts), "rid").select("at", "comp", "core").orderBy("at").collect()  # one row per pivot
@@ -140,7 +157,7 @@ def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) ->
     return meet(index, visiting, points.select("cell", "blk", "rid", "v", "core", "comp"), nearest, schema)
 
 
-def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
+def spanning_tree(index: Index, near: DataFrame, core: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """(u, v, w): the minimum spanning tree over the points under mutual reachability."""
     id_type = dict(index.points.dtypes)["rid"]
     points = cut(index.points.join(core, "rid").withColumn("comp", F.col("rid")))
@@ -158,11 +175,11 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
     while left > 1:
         best = cut(_best(_ends(edges)))
         searched = _foreign(index, points, best, id_type)
-        if searched.columns and searched.limit(1).count():
+        if searched is not None:
             best = cut(_best(_ends(edges.select("comp", "u", "v", "w", "other").unionByName(searched.select("comp", "u", "v", "w", "other")))))
         chosen = cut(best.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
-        to = roots(best)
+        to = roots(best, small_graph)
         points = cut(points.join(to, "comp").drop("comp").withColumnRenamed("root", "comp"))
         edges = cut(
             edges.join(to, "comp")
@@ -177,7 +194,53 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
     return tree if tree is not None else points.sparkSession.createDataFrame([], f"u {id_type}, v {id_type}, w double")
 
 
-def seeds(tree: DataFrame, sizes: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge_small(edges: pd.DataFrame, comps: pd.DataFrame, size: int):
+    """The contraction of :func:`seeds` on a graph that fits one task, edges in order of length.
+
+    Returns (component, seed, w) where a component leaves its cluster, (seed, w) where a seed formed,
+    and the links between seeds.
+    """
+    weight = dict(zip(comps["comp"], comps["size"]))
+    seed_of = {c: c for c, big in zip(comps["comp"], comps["big"]) if big}
+    group = {c: [c] for c in weight if c not in seed_of}
+    left, formed, links = [], [], []
+    for a, b, w, lo, hi in edges.sort_values(["w", "lo", "hi"])[["a", "b", "w", "lo", "hi"]].itertuples(index=False):
+        if a in seed_of and b in seed_of:
+            links.append((seed_of[a], seed_of[b], w, lo, hi))
+        elif a in seed_of or b in seed_of:
+            inside, outside = (a, b) if a in seed_of else (b, a)
+            for c in group[outside]:
+                seed_of[c] = seed_of[inside]
+                left.append((c, seed_of[inside], w))
+        else:
+            joined = group[a] + group[b]
+            total = sum(weight[c] for c in joined)
+            for c in joined:
+                group[c] = joined
+            if total >= size:
+                head = min(joined)
+                formed.append((head, w))
+                for c in joined:
+                    seed_of[c] = head
+                    left.append((c, head, w))
+    return left, formed, links
+
+
+def _finish(links: DataFrame, comps: DataFrame, size: int, id_type: str) -> DataFrame:
+    """:func:`merge_small` as one task over a bounded graph: (kind, a, b, w, lo, hi)."""
+    schema = f"kind string, a {id_type}, b {id_type}, w double, lo {id_type}, hi {id_type}"
+
+    def run(e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        left, formed, kept = merge_small(e, c, size)
+        rows = [("left", a, b, w, a, b) for a, b, w in left] + [("formed", a, a, w, a, a) for a, w in formed]
+        rows += [("link", *r) for r in kept]
+        return pd.DataFrame(rows, columns=["kind", "a", "b", "w", "lo", "hi"])
+
+    one = F.lit(0).alias("_one")
+    return links.groupBy(one).cogroup(comps.groupBy(one)).applyInPandas(run, schema)
+
+
+def seeds(tree: DataFrame, sizes: DataFrame, size: int, small_graph: int = SMALL_GRAPH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contract everything below the minimum size.
 
     ``sizes`` is (rid, m, core). Returns ``members`` (rid, m, seed, w: where the row leaves its
@@ -192,6 +255,16 @@ def seeds(tree: DataFrame, sizes: DataFrame, size: int) -> tuple[DataFrame, Data
     small = cut(start.where(F.col("m") < size).select("rid", "m", "comp"))
     links = cut(tree.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", F.col("u").alias("lo"), F.col("v").alias("hi")))
     while small.limit(1).count():
+        if links.count() <= small_graph:
+            touched = comps.join(
+                links.select(F.col("a").alias("comp")).unionByName(links.select(F.col("b").alias("comp"))), "comp", "left_semi"
+            )
+            out = cut(_finish(links, touched, size, id_type))
+            left = out.where("kind = 'left'").select(F.col("a").alias("comp"), F.col("b").alias("seed"), "w")
+            members.append(small.join(left, "comp").select("rid", "m", "seed", "w"))
+            formed.append(out.where("kind = 'formed'").select(F.col("a").alias("seed"), "w"))
+            links = out.where("kind = 'link'").select("a", "b", "w", "lo", "hi")
+            break
         ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "lo", "hi"))
         away = ways.withColumnRenamed("a", "comp").withColumnRenamed("b", "other")
         info = comps.select(F.col("comp").alias("other"), F.col("big").alias("_ob"), F.col("size").alias("_os"))
@@ -313,17 +386,17 @@ class ClusterTree:
 
 
 def density_clusters(
-    df: DataFrame, id_col: str = "id", vector: str = "v", min_cluster_size: int = 20, min_samples: int = 3, block: int = BLOCK
+    df: DataFrame, id_col: str = "id", vector: str = "v", min_cluster_size: int = 20, min_samples: int = 3, block: int = BLOCK,
+    small_graph: int = SMALL_GRAPH,
 ) -> DataFrame:
     """(id, cluster_id). Noise is -1; clusters are numbered from the largest."""
-    spark = df.sparkSession
     k = max(min_samples + 2, 8)
     index = build_index(df, id_col, vector, k, cosine=False, block=block)
     near = cut(point_neighbours(index, k))
     core = cut(core_distances(index, near, k, min_samples))
-    tree = spanning_tree(index, near, core)
+    tree = spanning_tree(index, near, core, small_graph)
     sizes = index.copies.select("rid", "m").join(core.select("rid", "core"), "rid")
-    members, formed, links = seeds(tree, sizes, min_cluster_size)
+    members, formed, links = seeds(tree, sizes, min_cluster_size, small_graph)
     labels = label_members(members, formed, links)
     return index.rows.join(labels, "rid", "left").select("id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
 
