@@ -240,6 +240,12 @@ def r2_comparison(summary: DataFrame) -> DataFrame:
     return summary.select("target", "r2_cv", "r2_full", diff.alias("r2_diff"))
 
 
+def r2_comparison_by_variant(summary: DataFrame) -> DataFrame:
+    """A24 with the feature set kept."""
+    diff = F.when(F.col("r2_cv") != 0, F.col("r2_full") - F.col("r2_cv"))
+    return summary.withColumn("r2_diff", diff)
+
+
 def reduction(estimates: DataFrame, naive: DataFrame) -> DataFrame:
     """How much smaller the adjusted effect is, in percent, signed and by size."""
     base = naive.select("treatment", "outcome", F.col("theta").alias("naive_theta"))

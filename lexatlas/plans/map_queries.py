@@ -1 +1,210 @@
-"""Registered queries."""
+"""Queries over neighbours, the map, clusters, embedding, sinks, state and streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexatlas.operators import clusters, density, encode, layout, neighbours, points as pts, ranking, reduce
+from lexatlas.operators.outcomes import thresholds
+from lexatlas.plans.catalog import query
+from lexatlas.plans.frames import LENGTH, POINTS_SQL, SENTENCES, docs, final, points, rounded_sql, table
+from lexatlas.session import cut, shared_dir
+from lexatlas.sources import readers, sinks
+from lexatlas.spec import AnalysisSpec
+from lexatlas.streaming import scoring
+
+W = "WITH "
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _fresh(spark) -> str:
+    return f"{shared_dir(spark)}/lexatlas-query-{uuid.uuid4().hex}"
+
+
+_V = """v AS (SELECT vec_id AS id, list_transform(embedding, lambda a: a::DOUBLE) AS e FROM embeddings)"""
+
+
+def _knn(distance: str) -> str:
+    return W + _V + f""", d AS (SELECT a.id AS src, b.id AS dst, {distance} AS dist FROM v a JOIN v b ON a.id <> b.id),
+      r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) SELECT * FROM r WHERE rank <= 10"""
+
+
+@query("j11_knn_cosine", rounded_sql("dist", _knn("1 - list_cosine_similarity(a.e, b.e)")))
+def j11(spark, sf):
+    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine"))
+
+
+@query("j11_knn_euclidean", rounded_sql("dist", _knn("list_distance(a.e, b.e)")))
+def j11b(spark, sf):
+    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "euclidean"))
+
+
+_RHO = _knn("1 - list_cosine_similarity(a.e, b.e)")
+
+
+@query(
+    "r5_directed_weights",
+    rounded_sql("nearest", f"SELECT src, min(dist) AS nearest, 1::BIGINT AS n_full FROM ({_RHO}) GROUP BY src"),
+)
+def r5a(spark, sf):
+    """Local scaling: the weight of the nearest neighbour is 1 and the weights add up to log2(k)."""
+    edges = cut(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine"))
+    w = layout.local_scaling(edges, 10)
+    full = w.groupBy("src").agg(F.count_if(F.col("w") > 1 - 1e-12).alias("n_full"), F.sum("w").alias("_s"))
+    full = full.where(F.abs(F.col("_s") - F.log2(F.lit(10.0))) < 1e-3)
+    return final(edges.groupBy("src").agg(F.min("dist").alias("nearest")).join(full.select("src", "n_full"), "src"))
+
+
+@query("r5_fuzzy_union")
+def r5b(spark, sf):
+    edges = neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine")
+    return final(layout.fuzzy_union(layout.local_scaling(edges, 10)))
+
+
+@query("r5_layout")
+def r5(spark, sf):
+    return final(layout.layout(_vectors(spark, sf), "embedding", "id", 3, 10, iterations=10))
+
+
+@query("c1_density_clusters")
+def c1(spark, sf):
+    v = _vectors(spark, sf).select("id", F.slice("embedding", 1, 3).alias("v"))
+    return density.density_clusters(v, "id", "v", 10, 3)
+
+
+@query("r2_component_scores")
+def r2(spark, sf):
+    v = _vectors(spark, sf)
+    fitted = reduce.fit_reduction(v, "embedding", 10)
+    return final(ranking.long_view(fitted.transform(v, "embedding"), "id", "pc"))
+
+
+@query("a17_explained_variance")
+def a17(spark, sf):
+    return final(reduce.fit_reduction(_vectors(spark, sf), "embedding", 200).variance_table(spark))
+
+
+@query("r2_total_variance", "SELECT least(max(len(embedding)), count(*) - 1)::BIGINT AS k, 1.0::DOUBLE AS total FROM embeddings")
+def r2b(spark, sf):
+    """With all components the variance ratios add up to 1."""
+    var = reduce.fit_reduction(_vectors(spark, sf), "embedding", 200).variance_table(spark)
+    return final(var.agg(F.count(F.lit(1)).alias("k"), F.sum("variance").alias("total")))
+
+
+@query("r3_loadings")
+def r3(spark, sf):
+    return final(reduce.fit_reduction(_vectors(spark, sf), "embedding", 10).loadings_table(spark))
+
+
+@query("r4_transform_saved_model")
+def r4(spark, sf):
+    v = _vectors(spark, sf)
+    path = _fresh(spark)
+    reduce.fit_reduction(v, "embedding", 5).save(spark, path)
+    return final(ranking.long_view(reduce.Reduction.load(spark, path).transform(v, "embedding"), "id", "pc"))
+
+
+@query("e1_embed_documents")
+def e1(spark, sf):
+    e = encode.embed(docs(spark, sf).select("id", "text"), 64, prefix=encode.PREFIXES["passage"])
+    return final(e.select("id", "embed_ok", F.size("embedding").alias("dim")))
+
+
+@query("e2_embed_failures", "SELECT count(*) AS n, 0::BIGINT AS n_failed, 0.0::DOUBLE AS failed_share FROM documents")
+def e2(spark, sf):
+    return final(encode.failure_summary(encode.embed(docs(spark, sf).select("id", "text"), 32)))
+
+
+@query("s5_vector_roundtrip", rounded_sql("total", "SELECT vec_id AS id, list_sum(list_transform(embedding, lambda a: a::DOUBLE)) AS total FROM embeddings"))
+def s5(spark, sf):
+    path = _fresh(spark)
+    readers.write_vectors(_vectors(spark, sf), path)
+    back = readers.read_vectors(spark, path)
+    return final(back.select("id", F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x).alias("total")))
+
+
+@query("s7_export_tables", "SELECT 'category_counts' AS \"table\", '07_points' AS folder, true AS ok, count(DISTINCT lang) AS rows FROM documents "
+       "UNION ALL SELECT 'id_mapping', '01_raw', true, count(*) FROM documents")
+def s7(spark, sf):
+    d = docs(spark, sf)
+    tables = {
+        "category_counts": d.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n")),
+        "id_mapping": d.select("id", "text"),
+    }
+    status = sinks.export_tables(tables, _fresh(spark), AnalysisSpec(exclude_text=True, anonymize_ids=True))
+    return status.select("table", "folder", "ok", "rows")
+
+
+@query("s8_failed_export", "SELECT 'broken' AS \"table\", false AS ok UNION ALL SELECT 'id_mapping', true")
+def s8(spark, sf):
+    d = docs(spark, sf).select("id")
+    broken = d.select(F.raise_error(F.lit("broken on purpose")).cast("string").alias("x"))
+    status = sinks.export_tables({"broken": broken, "id_mapping": d}, _fresh(spark), AnalysisSpec())
+    return status.select("table", "ok")
+
+
+@query("s9_manifest", "SELECT count(*) AS rows FROM documents")
+def s9(spark, sf):
+    path = _fresh(spark)
+    sinks.write_manifest(spark, path, AnalysisSpec(), readers.row_count(table(spark, sf, "documents")))
+    return spark.read.json(f"{path}/manifest").select("rows")
+
+
+@query("s11_state_roundtrip", "SELECT count(*) AS n, sum(quality)::BIGINT AS quality FROM labels")
+def s11(spark, sf):
+    path = _fresh(spark)
+    sinks.save_state({"labels": table(spark, sf, "labels")}, path, AnalysisSpec())
+    tables, _ = sinks.load_state(spark, path)
+    return tables["labels"].agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("quality"))
+
+
+@query(
+    "s12_checksum",
+    """SELECT count(*) AS n, sum(('0x' || substr(md5(doc_id || '|' || lang || '|' || source || '|' || n_chars), 1, 15))::HUGEINT)::VARCHAR AS checksum FROM documents""",
+)
+def s12(spark, sf):
+    return sinks.text_checksum(table(spark, sf, "documents"), ["doc_id", "lang", "source", "n_chars"])
+
+
+@query("s12_row_checksum")
+def s12b(spark, sf):
+    return sinks.checksum(table(spark, sf, "documents"))
+
+
+def _scorer(spark, sf):
+    d = docs(spark, sf)
+    vec = cut(encode.embed(d.select("id", "text"), 32))
+    fitted = reduce.fit_reduction(vec, "embedding", 8)
+    scored = fitted.transform(vec).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id")), "id")
+    pair = (SENTENCES, LENGTH)
+    return scoring.fit_scorer(fitted, scored, thresholds(d, pair), pair, 32)
+
+
+@query("st1_score_batch")
+def st1(spark, sf):
+    s = _scorer(spark, sf).score(docs(spark, sf).select("id", "text", "sentence_count", "text_length"))
+    return s.select("id", "topic_id", "category", "embed_ok")
+
+
+@query(
+    "st1_score_stream",
+    W + """docs AS (SELECT doc_id AS id, length(text)::DOUBLE AS text_length, len(regexp_extract_all(text, '[.!?]+'))::DOUBLE AS sentence_count FROM documents),
+      t AS (SELECT quantile_cont(sentence_count, 0.25) AS l1, quantile_cont(sentence_count, 0.75) AS h1, quantile_cont(text_length, 0.25) AS l2, quantile_cont(text_length, 0.75) AS h2 FROM docs)
+      SELECT id, CASE WHEN sentence_count > h1 AND text_length > h2 THEN 'both_high' WHEN sentence_count > h1 AND text_length < l2 THEN 'first_high'
+        WHEN sentence_count < l1 AND text_length > h2 THEN 'second_high' WHEN sentence_count < l1 AND text_length < l2 THEN 'both_low' ELSE 'middle' END AS category,
+        true AS embed_ok FROM docs, t""",
+)
+def st1b(spark, sf):
+    """The documents as a stream of files, scored and appended to a table."""
+    folder = _fresh(spark)
+    d = docs(spark, sf).select("id", "text", "sentence_count", "text_length")
+    d.repartition(4).write.parquet(f"{folder}/in")
+    stream = scoring.stream_documents(spark, f"{folder}/in", d.schema)
+    q = scoring.start(_scorer(spark, sf).score(stream), f"{folder}/out", f"{folder}/checkpoint", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "category", "embed_ok")
