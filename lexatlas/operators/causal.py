@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lexatlas.functions.scalars import ratio
 from lexatlas.functions.tails import t_critical, t_tail
+from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, gram, ridge_fit, with_model_columns
+from lexatlas.session import cut
 
 
 def ordered_pairs(names: list[str]) -> list[tuple[str, str]]:
@@ -147,11 +149,12 @@ def one_feature_predictions(model: DataFrame, feature: str, targets: list[str],
         aggs += [F.sum(t).alias(f"y_{t}"), F.sum(x * F.col(t)).alias(f"xy_{t}")]
     per_fold = model.groupBy("fold").agg(*aggs)
     names = [c for c in per_fold.columns if c != "fold"]
-    totals = per_fold.agg(F.struct(*[F.sum(c).alias(c) for c in names])).scalar()
+    per_fold = cut(per_fold)  # K rows
+    totals = scalars(per_fold.agg(*[F.sum(c).alias(c) for c in names]))
     rules = [F.col("fold").alias("_fold")]
     for tag in ("pred", "full"):
         def s(c, tag=tag):
-            return totals.getField(c) - F.col(c) if tag == "pred" else totals.getField(c)
+            return totals[c] - F.col(c) if tag == "pred" else totals[c]
 
         for t in targets:
             slope = ratio(s(f"xy_{t}") - s("x") * s(f"y_{t}") / s("n"), s("xx") - s("x") * s("x") / s("n"))

@@ -11,9 +11,12 @@ from lexatlas.spec import Outcome
 
 
 def scalars(one_row: DataFrame) -> dict[str, Column]:
-    """The columns of a one-row frame as scalar subqueries."""
-    row = one_row.select(F.struct(*one_row.columns)).scalar()
-    return {c: row.getField(c) for c in one_row.columns}
+    """The columns of a one-row summary as literals of the next plan.
+
+    The summary runs now; the plan that uses it stays free of subqueries and single-row joins.
+    """
+    row = one_row.first()
+    return {c: F.lit(None if row is None else row[c]).cast(t) for c, t in one_row.dtypes}
 
 
 def dense_ids(df: DataFrame, name: str = "generated_id") -> DataFrame:
@@ -66,7 +69,7 @@ def column_mode(df: DataFrame, name: str) -> DataFrame:
 def impute_mode(df: DataFrame, names: list[str], default: str = "Unknown") -> DataFrame:
     """P5: missing categories get the most frequent value, or ``Unknown`` if there is none."""
     return df.withColumns(
-        {n: F.coalesce(F.col(n), column_mode(df, n).scalar().cast("string"), F.lit(default)) for n in names}
+        {n: F.coalesce(F.col(n), scalars(column_mode(df, n))["mode"].cast("string"), F.lit(default)) for n in names}
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexatlas.session import parallelism
+from lexatlas.session import cut, parallelism
 
 HOT_GROUP = 1_000_000  # distinct values (or rows) of one key that still fit one task
 
@@ -34,22 +34,27 @@ def value_ranks(
 ) -> DataFrame:
     """Per group and distinct value: ``cnt``, ``below`` (rows strictly smaller), ``total``.
 
-    ``counted`` says that ``df`` already has the columns (groups, value, cnt).
+    ``counted`` says that ``df`` already has the columns (groups, value, cnt). The counts are written
+    once, which also tells how many there are: up to ``hot`` of them, one window per group will do.
     """
     counts = df.select(*groups, value, "cnt") if counted else value_counts(df, groups, value)
     keys = groups or ["_all"]
     if not groups:
         counts = counts.withColumn("_all", F.lit(0))
-
+    counts = cut(counts)
+    by_group = Window.partitionBy(*keys)
+    if counts.count() <= hot:  # from the file footers; no group can be larger
+        upto = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            *groups, value, "cnt", F.coalesce(F.sum("cnt").over(upto), F.lit(0)).alias("below"), F.sum("cnt").over(by_group).alias("total")
+        )
     # At most (rows / hot) groups are hot, which bounds both broadcasts below.
-    # Every branch reads the ``cnt`` column so that the exchange behind ``counts`` is shared.
-    some = F.col("cnt") > 0
-    large = counts.groupBy(*keys).agg(F.count_if(some).alias("_d")).where(F.col("_d") > hot).select(*keys)
+    large = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > hot).select(*keys)
     b = _ranges(df.sparkSession)
     splits = (
         counts.join(F.broadcast(large), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(F.when(some, F.col(value)), [i / b for i in range(1, b)], 8 * b).alias("_splits"))
+        .agg(F.percentile_approx(value, [i / b for i in range(1, b)], 8 * b).alias("_splits"))
     )
     steps = []
     step = b // 2
@@ -66,7 +71,6 @@ def value_ranks(
         *keys, value, "cnt", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(position).alias("_range")
     )
     sums = ranged.groupBy(*keys, "_range").agg(F.sum("cnt").alias("_in_range"))
-    by_group = Window.partitionBy(*keys)
     before = by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *keys,
@@ -238,7 +242,7 @@ def decile_bins(df: DataFrame, value: str, name: str = "bin", q: int = 10) -> Da
     inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     count_below = F.size(F.filter(inner, lambda e: e < F.col(value)))
     return (
-        df.withColumn("_edges", decile_edges(df, value, q).scalar())
+        df.withColumn("_edges", F.lit(decile_edges(df, value, q).first()["_edges"]).cast("array<double>"))
         .withColumn(name, F.when(F.col(value).isNotNull(), count_below))
         .drop("_edges")
     )

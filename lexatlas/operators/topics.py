@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexatlas.functions.text import STOP_WORDS, clean_text, tokens, unigrams_and_bigrams
+from lexatlas.session import cut
 
 VOCABULARY = 1000
 NOISE = -1
@@ -39,7 +40,11 @@ def vocabulary(counts: DataFrame, n_clusters, cluster: str = "cluster_id", size:
 
 
 def class_tfidf(counts: DataFrame, cluster: str = "cluster_id", size: int = VOCABULARY) -> DataFrame:
-    """(cluster, term, tf, df, score), L2-normalised per cluster. Noise is a class too."""
+    """(cluster, term, tf, df, score), L2-normalised per cluster. Noise is a class too.
+
+    The counts are read three times, so they are written once: the texts are tokenised once.
+    """
+    counts = cut(counts)
     n = counts.agg(F.count_distinct(cluster)).scalar()
     vocab = vocabulary(counts, n, cluster, size)
     scored = counts.join(F.broadcast(vocab), "term").withColumn(  # at most ``size`` terms

@@ -8,7 +8,7 @@ from lexatlas.functions.scalars import fold_of
 from lexatlas.operators import causal, contributions as con, gram, importance as imp, points as pts, ranking
 from lexatlas.operators.vectors import with_controls
 from lexatlas.plans.catalog import query
-from lexatlas.plans.frames import DOCS_SQL, LONG_SQL, POINTS_SQL, docs, final, hash_sql, points, rounded_sql
+from lexatlas.plans.frames import DOCS_SQL, LONG_SQL, POINTS_SQL, docs, final, hash_sql, measured, measured_points, points, rounded_sql
 
 W = "WITH "
 TWO = ["sentence_count", "text_length"]
@@ -19,7 +19,7 @@ _FOLDED = DOCS_SQL + f", f AS (SELECT *, ({hash_sql('id')} % 5)::INTEGER AS fold
 
 
 def _folded(spark, sf):
-    return docs(spark, sf).withColumn("fold", fold_of("id", 5))
+    return measured(spark, sf).withColumn("fold", fold_of("id", 5))
 
 
 @query(
@@ -202,7 +202,7 @@ def u1(spark, sf):
 @query("d3_ridge_many_features")
 def d3_ridge(spark, sf):
     """Cross-fitted estimate with all vector positions and a control."""
-    p = with_controls(points(spark, sf), "embedding", ["n_words"])
+    p = with_controls(measured_points(spark, sf), "embedding", ["n_words"])
     return final(causal.double_ml(p, TWO, "features", variant="vectors", n_features=65)["estimates"])
 
 
@@ -225,7 +225,7 @@ def d15(spark, sf):
 
 @query("d15_vector_contributions")
 def d15b(spark, sf):
-    c = con.linear_contributions(points(spark, sf), TWO, "embedding")
+    c = con.linear_contributions(measured_points(spark, sf), TWO, "embedding")
     return final(con.contribution_stats(c, TWO))
 
 
@@ -248,7 +248,7 @@ _CONTRIB = POINTS_SQL + """, k AS (SELECT id, (generate_subscripts(embedding, 1)
 def _contrib(spark, sf):
     """Two arrays per document that play the part of contributions."""
     e = F.col("embedding").cast("array<double>")
-    return points(spark, sf).withColumn("contrib_sentence_count", e).withColumn("contrib_text_length", F.reverse(e))
+    return measured_points(spark, sf).withColumn("contrib_sentence_count", e).withColumn("contrib_text_length", F.reverse(e))
 
 
 @query(
@@ -362,14 +362,14 @@ _MI = LONG_SQL + f""", xe AS (SELECT pc, list_distinct({_EDGES.format(v='value')
 def _two_methods(spark, sf):
     from lexatlas.operators.effects import pc_correlations
 
-    p = points(spark, sf)
+    p = measured_points(spark, sf)
     c = pc_correlations(p, TWO, "embedding").select(F.lit("corr").alias("method"), "outcome", "pc", F.abs("corr").alias("importance"))
     return imp.binned_mi(p, TWO, "embedding").unionByName(c)
 
 
 @query("f4_binned_mi", rounded_sql("importance", W + _MI + " SELECT * FROM mi"))
 def f4(spark, sf):
-    return final(imp.binned_mi(points(spark, sf), TWO, "embedding"))
+    return final(imp.binned_mi(measured_points(spark, sf), TWO, "embedding"))
 
 
 @query("k4_top_components", rounded_sql("importance", W + _MI + " SELECT method, pc, importance, rank FROM rk WHERE rank <= 6"))
@@ -412,19 +412,19 @@ def f3(spark, sf):
 
 @query("f3_ridge_components")
 def f3b(spark, sf):
-    m = gram.with_model_columns(points(spark, sf), "id", "embedding", TWO, 5)
+    m = gram.with_model_columns(measured_points(spark, sf), "id", "embedding", TWO, 5)
     return final(imp.regularised(m, TWO, "ridge")[0])
 
 
 @query("f2_lasso_components")
 def f2(spark, sf):
-    m = gram.with_model_columns(points(spark, sf), "id", "embedding", TWO, 5)
+    m = gram.with_model_columns(measured_points(spark, sf), "id", "embedding", TWO, 5)
     return final(imp.regularised(m, TWO, "lasso")[0])
 
 
 @query("f1_boosted_importance")
 def f1(spark, sf):
-    m = gram.with_model_columns(points(spark, sf), "id", "embedding", TWO, 5)
+    m = gram.with_model_columns(measured_points(spark, sf), "id", "embedding", TWO, 5)
     return final(imp.boosted(m, TWO, n_trees=5, depth=3))
 
 

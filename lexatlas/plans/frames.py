@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexatlas.functions.scalars import rounded
 from lexatlas.functions.text import sentence_count, text_length
+from lexatlas.session import cut
+from lexatlas.sources.readers import spread
 from lexatlas.spec import Outcome
 
 SENTENCES = Outcome("sentence_count")
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with outcomes and a control. Unused columns, and the text, are pruned by Catalyst."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         "text", "lang", "source",
         text_length("text").alias("text_length"),
@@ -42,6 +44,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs without the text, written once: for operators that read the numbers several times."""
+    return cut(docs(spark, sf_dir).drop("text"))
+
+
+def measured_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """points without the text, written once."""
+    return cut(points(spark, sf_dir).drop("text"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """docs with the partly missing labels."""
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")

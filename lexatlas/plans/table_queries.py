@@ -10,8 +10,9 @@ from lexatlas.operators import categories as cat, cleaning, outcomes as out, pro
 from lexatlas.plans.catalog import query
 from lexatlas.plans.frames import (
     DIGITS, DOCS_SQL, LABELLED_SQL, LENGTH, POINTS_SQL, QUALITY, SENTENCES, TOXIC,
-    docs, final, hash_sql, labelled, points, rounded_sql, table,
+    docs, final, hash_sql, labelled, measured, measured_points, points, rounded_sql, table,
 )
+from lexatlas.session import cut
 from lexatlas.spec import AnalysisSpec, Outcome
 
 PAIR = (SENTENCES, LENGTH)
@@ -101,7 +102,7 @@ _CONT = DOCS_SQL + _T + """, cats AS (SELECT id, CASE
 
 @query("p9_category_continuous", W + _CONT + " SELECT id, category FROM cats")
 def p9(spark, sf):
-    d = docs(spark, sf)
+    d = measured(spark, sf)
     return cat.with_category(d, PAIR, out.thresholds(d, PAIR)).select("id", "category")
 
 
@@ -113,13 +114,13 @@ def _presence(cond2: str) -> str:
 
 @query("p10_category_presence", W + _presence("text_length > h2") + " SELECT id, category, agreement FROM cats")
 def p10(spark, sf):
-    d = docs(spark, sf)
+    d = measured(spark, sf)
     return cat.with_category(d, PRESENCE, out.thresholds(d, PRESENCE)).select("id", "category", "agreement")
 
 
 @query("p10_category_presence_nonzero", W + _presence("text_length <> 0") + " SELECT id, category, agreement FROM cats")
 def p10b(spark, sf):
-    d = docs(spark, sf)
+    d = measured(spark, sf)
     return cat.with_category(d, PRESENCE, out.thresholds(d, PRESENCE), "nonzero").select("id", "category", "agreement")
 
 
@@ -166,7 +167,7 @@ def p13(spark, sf):
     ),
 )
 def p14(spark, sf):
-    p = points(spark, sf).select("id", "cluster_id", F.col("x").alias("value"), F.lit(0).alias("pc"))
+    p = measured_points(spark, sf).select("id", "cluster_id", F.col("x").alias("value"), F.lit(0).alias("pc"))
     pct = ranking.percentile_ranks(p)
     joined = p.select("id", "cluster_id").join(pct, "id")
     return final(joined.select("id", cat.topic_hue(F.col("cluster_id").cast("double")).alias("hue"), *cat.gradient(F.col("pct"))))
@@ -200,7 +201,7 @@ _THREE = ["sentence_count", "text_length", "digit_count"]
     ),
 )
 def a1(spark, sf):
-    return final(out.numeric_stats(docs(spark, sf), _THREE))
+    return final(out.numeric_stats(measured(spark, sf), _THREE))
 
 
 @query(
@@ -286,7 +287,7 @@ def a5(spark, sf):
 )
 def a6(spark, sf):
     spec = (SENTENCES, Outcome("text_length", low_value=500.0), Outcome("n_words", low_percentile=10.0, high_percentile=90.0))
-    return final(out.thresholds(docs(spark, sf), spec).select("outcome", "low", "high", "mode"))
+    return final(out.thresholds(measured(spark, sf), spec).select("outcome", "low", "high", "mode"))
 
 
 @query(
@@ -313,7 +314,7 @@ def a8(spark, sf):
 
 @query("a20_category_counts", W + _CONT + " SELECT category, count(*) AS n FROM cats GROUP BY category")
 def a20(spark, sf):
-    d = docs(spark, sf)
+    d = measured(spark, sf)
     return cat.category_counts(cat.with_category(d, PAIR, out.thresholds(d, PAIR)))
 
 
@@ -376,7 +377,7 @@ def a26b(spark, sf):
       (sum(count(*)) OVER (PARTITION BY lang))::BIGINT AS total FROM docs GROUP BY lang, text_length""",
 )
 def w0(spark, sf):
-    return ranking.value_ranks(docs(spark, sf), ["lang"], "text_length")
+    return ranking.value_ranks(measured(spark, sf), ["lang"], "text_length")
 
 
 @query(
@@ -389,7 +390,7 @@ def w0(spark, sf):
 def w5(spark, sf):
     p = ranking.PRESETS
     at = {f"{k}_{s}": p[k][i] for k in ("extremes", "quartiles") for i, s in enumerate(("low", "high"))}
-    return ranking.floor_percentile(docs(spark, sf), [], "text_length", {**at, "median": p["median"][0], "top": 100})
+    return ranking.floor_percentile(measured(spark, sf), [], "text_length", {**at, "median": p["median"][0], "top": 100})
 
 
 @query(
@@ -412,7 +413,7 @@ _BINS = DOCS_SQL + _EDGES + """, b AS (SELECT docs.id, docs.lang,
 
 @query("w7_decile_bins", W + _BINS + " SELECT id, bin FROM b")
 def w7(spark, sf):
-    return ranking.decile_bins(docs(spark, sf), "text_length").select("id", "bin")
+    return ranking.decile_bins(measured(spark, sf), "text_length").select("id", "bin")
 
 
 def _stratified(source: str, stratum: str, n: int) -> str:
@@ -426,7 +427,7 @@ def _stratified(source: str, stratum: str, n: int) -> str:
 
 @query("w8_stratified_sample", W + _stratified(_BINS, "bin", 130) + " SELECT r.id, r.s AS bin FROM r JOIN alloc USING (s) WHERE pos <= allocated")
 def w8(spark, sf):
-    binned = ranking.decile_bins(docs(spark, sf), "text_length").select("id", "bin")
+    binned = ranking.decile_bins(measured(spark, sf), "text_length").select("id", "bin")
     return sampling.stratified_sample(binned, 130, "bin")
 
 
@@ -447,7 +448,7 @@ def w9b(spark, sf):
 
 @query("w10_auto_stratified_sample", W + _stratified(_BINS, "bin", 90) + " SELECT r.id FROM r JOIN alloc USING (s) WHERE pos <= allocated")
 def w10(spark, sf):
-    return sampling.sample(docs(spark, sf), AnalysisSpec(outcomes=PAIR, sample_size=90)).select("id")
+    return sampling.sample(measured(spark, sf), AnalysisSpec(outcomes=PAIR, sample_size=90)).select("id")
 
 
 @query("w11_folds", f"SELECT doc_id AS id, ({hash_sql('doc_id')} % 5)::INTEGER AS fold FROM documents")
@@ -473,7 +474,7 @@ _ORDER = POINTS_SQL + f""", t AS (SELECT quantile_cont(text_length, 0.5) AS m FR
 
 
 def _browse(spark, sf):
-    p = points(spark, sf)
+    p = measured_points(spark, sf)
     m = ranking.quantiles(p, [], "text_length", {"m": 0.5}).scalar()
     return cat.browse_order(p.withColumn("category", F.when(F.col("text_length") > m, "high").otherwise("low")))
 
@@ -491,7 +492,7 @@ def k8(spark, sf):
       f AS (PARTITION BY category ORDER BY browse_rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
 )
 def w12(spark, sf):
-    return cat.browse_neighbours(_browse(spark, sf))
+    return cat.browse_neighbours(cut(_browse(spark, sf)))
 
 
 @query("j6_sample_flag", f"""WITH s AS (SELECT doc_id FROM documents ORDER BY {hash_sql('doc_id')}, doc_id LIMIT 100)

@@ -8,7 +8,7 @@ from lexatlas.functions.scalars import gather, narrow, wide
 from lexatlas.functions.text import STOP_WORDS, URL_PATTERN, clean_text
 from lexatlas.operators import clusters, effects, ranking, topics, vectors
 from lexatlas.plans.catalog import query
-from lexatlas.plans.frames import DIGITS, DOCS_SQL, LENGTH, LONG_SQL, POINTS_SQL, SENTENCES, docs, final, points, rounded_sql, table
+from lexatlas.plans.frames import DIGITS, DOCS_SQL, LENGTH, LONG_SQL, POINTS_SQL, SENTENCES, docs, final, measured_points, points, rounded_sql, table
 from lexatlas.spec import Outcome
 
 W = "WITH "
@@ -30,7 +30,7 @@ def a9(spark, sf):
     ),
 )
 def a10(spark, sf):
-    return final(clusters.outcome_stats(points(spark, sf), TWO))
+    return final(clusters.outcome_stats(measured_points(spark, sf), TWO))
 
 
 _CENTRES = POINTS_SQL + ", c AS (SELECT cluster_id, count(*) AS size, avg(x) AS centroid_x, avg(y) AS centroid_y, avg(z) AS centroid_z FROM points GROUP BY 1)"
@@ -58,12 +58,12 @@ _EXTREMES = """, q AS (SELECT {key}, quantile_cont(value, 0.1) AS p10, quantile_
 
 @query("a11_topic_extremes", rounded_sql("p10 p90 prob_high prob_low", W + _MEMBERS + _EXTREMES.format(key="cluster_id, outcome")))
 def a11(spark, sf):
-    return final(clusters.topic_extremes(points(spark, sf), TWO))
+    return final(clusters.topic_extremes(measured_points(spark, sf), TWO))
 
 
 @query("a11_topic_extremes_global", rounded_sql("p10 p90 prob_high prob_low", W + _MEMBERS + _EXTREMES.format(key="outcome")))
 def a11b(spark, sf):
-    return final(clusters.topic_extremes(points(spark, sf), TWO, scope="global"))
+    return final(clusters.topic_extremes(measured_points(spark, sf), TWO, scope="global"))
 
 
 _PRESENCE = POINTS_SQL + """, s AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (digit_count <> 0) AS k,
@@ -89,7 +89,7 @@ _IMPACT = _PRESENCE + """, q AS (SELECT cluster_id, quantile_cont(text_length, 0
     rounded_sql("max_impact_prob max_pct impact", W + _IMPACT + " SELECT *, CASE WHEN max_impact_prob > 0 THEN max_impact_prob * 100 ELSE max_pct END AS impact FROM i"),
 )
 def a13(spark, sf):
-    return final(clusters.ranked_by_impact(clusters.topic_impact(points(spark, sf), (DIGITS, LENGTH))))
+    return final(clusters.ranked_by_impact(clusters.topic_impact(measured_points(spark, sf), (DIGITS, LENGTH))))
 
 
 @query(
@@ -209,7 +209,7 @@ def j4(spark, sf):
 
 @query("w1_pc_percentile", rounded_sql("pct", W + LONG_SQL + " SELECT id, pc, value, (rank() OVER (PARTITION BY pc ORDER BY value) - 1) * 100.0 / count(*) OVER (PARTITION BY pc) AS pct FROM long").replace("* REPLACE (", "* REPLACE ((round(value, 6) + 0.0)::DOUBLE AS value, "))
 def w1(spark, sf):
-    return final(ranking.percentile_ranks(ranking.long_view(points(spark, sf), "id", "embedding")))
+    return final(ranking.percentile_ranks(ranking.long_view(measured_points(spark, sf), "id", "embedding")))
 
 
 @query(
@@ -249,7 +249,7 @@ _DIFFS = "high_if_high - high_if_low AS high_diff, low_if_high - low_if_low AS l
     ),
 )
 def a14(spark, sf):
-    e = effects.pc_effects(points(spark, sf), (SENTENCES, LENGTH), "embedding")
+    e = effects.pc_effects(measured_points(spark, sf), (SENTENCES, LENGTH), "embedding")
     return final(e.drop("mode", "magnitude_high", "magnitude_low"))
 
 
@@ -264,7 +264,7 @@ def a14(spark, sf):
     ),
 )
 def a15(spark, sf):
-    return final(effects.pc_effects(points(spark, sf), (DIGITS,), "embedding").drop("mode"))
+    return final(effects.pc_effects(measured_points(spark, sf), (DIGITS,), "embedding").drop("mode"))
 
 
 @query(
@@ -282,7 +282,7 @@ def a15(spark, sf):
     ),
 )
 def f8(spark, sf):
-    e = effects.pc_effects(points(spark, sf), (SENTENCES, LENGTH), "embedding")
+    e = effects.pc_effects(measured_points(spark, sf), (SENTENCES, LENGTH), "embedding")
     return final(effects.extreme_table(e, "sentence_count", "text_length"))
 
 
@@ -310,17 +310,17 @@ _ASSOC = LONG_SQL + """, r AS (SELECT pc, cluster_id, value, (rank() OVER (PARTI
     rounded_sql("avg_percentile std_percentile topic_mean non_topic_mean t_statistic welch_df", W + _ASSOC + " SELECT * FROM a"),
 )
 def a23(spark, sf):
-    return final(effects.topic_associations(points(spark, sf), "embedding").drop("p_value", "rank"))
+    return final(effects.topic_associations(measured_points(spark, sf), "embedding").drop("p_value", "rank"))
 
 
 @query("k3_ranked_associations", W + _ASSOC + " SELECT pc, topic_id, row_number() OVER (PARTITION BY pc ORDER BY round(avg_percentile, 9) DESC, topic_id) AS rank FROM a")
 def k3(spark, sf):
-    return effects.topic_associations(points(spark, sf), "embedding").select("pc", "topic_id", "rank")
+    return effects.topic_associations(measured_points(spark, sf), "embedding").select("pc", "topic_id", "rank")
 
 
 @query("t1_association_p_values")
 def t1(spark, sf):
-    return effects.topic_associations(points(spark, sf), "embedding").select("pc", "topic_id", "t_statistic", "p_value")
+    return effects.topic_associations(measured_points(spark, sf), "embedding").select("pc", "topic_id", "t_statistic", "p_value")
 
 
 _GROUPS = LONG_SQL + ", t AS (SELECT pc, sum(value) AS total, count(*) AS n FROM long GROUP BY pc)"
@@ -332,7 +332,7 @@ _GROUPS = LONG_SQL + ", t AS (SELECT pc, sum(value) AS total, count(*) AS n FROM
       FROM long JOIN t USING (pc) GROUP BY long.pc, cluster_id"""),
 )
 def j8(spark, sf):
-    a = effects.topic_associations(points(spark, sf), "embedding")
+    a = effects.topic_associations(measured_points(spark, sf), "embedding")
     return final(a.select("pc", F.col("topic_id").alias("cluster_id"), F.col("topic_mean").alias("inside"), F.col("non_topic_mean").alias("outside")))
 
 
@@ -348,7 +348,7 @@ def j9(spark, sf):
     W + _TAIL + " SELECT pc, count(*) FILTER (hi) AS n_high, count(*) FILTER (lo) AS n_low FROM j GROUP BY pc",
 )
 def j10(spark, sf):
-    long = ranking.long_view(points(spark, sf), "id", "embedding")
+    long = ranking.long_view(measured_points(spark, sf), "id", "embedding")
     tails = ranking.quantiles(long, ["pc"], "value", {"p10": 0.1, "p90": 0.9})
     return long.join(F.broadcast(tails), "pc").groupBy("pc").agg(  # one row per component
         F.count_if(F.col("value") >= F.col("p90")).alias("n_high"), F.count_if(F.col("value") <= F.col("p10")).alias("n_low")
@@ -367,5 +367,5 @@ def p19(spark, sf):
     rounded_sql("variance cumulative", W + LONG_SQL + ", v AS (SELECT pc, var_pop(value) AS variance FROM long GROUP BY pc) SELECT pc, variance, sum(variance) OVER (ORDER BY pc) AS cumulative FROM v"),
 )
 def w6(spark, sf):
-    long = ranking.long_view(points(spark, sf), "id", "embedding")
+    long = ranking.long_view(measured_points(spark, sf), "id", "embedding")
     return final(ranking.running_share(long.groupBy("pc").agg(F.var_pop("value").alias("variance"))))

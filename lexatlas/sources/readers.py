@@ -21,6 +21,16 @@ def read_documents(spark: SparkSession, path: str, schema: StructType | str | No
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer partitions than cores, spread by ``key``.
+
+    A small or unsplittable file would leave most cores idle during the work on its texts. A large
+    table has more partitions than cores and is returned as it is: its texts are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def preview(df: DataFrame, n: int = 1000) -> DataFrame:
     """A bounded number of rows for a look at the columns; the full profile (A4) is preferred."""
     return df.limit(n)
