@@ -16,6 +16,14 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null for a constant column under any ANSI setting."""
+    a = (F.col(a) if isinstance(a, str) else a).cast("double")
+    b = (F.col(b) if isinstance(b, str) else b).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return ratio(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def rounded(c: str | Column, digits: int = 6) -> Column:
     """Round and turn -0.0 into 0.0."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexatlas.functions.scalars import ratio
+from lexatlas.functions.scalars import correlation, ratio
 from lexatlas.functions.tails import t_critical, t_tail
 from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, gram, ridge_fit, with_model_columns
@@ -199,8 +199,8 @@ def estimate(rows: DataFrame, n_features: int | None = None, keys=("variant", "t
     sums = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(rt * rt).alias("_tt"), F.sum(rt * ry).alias("_ty"), F.sum(ry * ry).alias("_yy"),
-        F.corr(ry, rt).alias("corr_resid"),
-        F.corr("pred_outcome", "pred_treatment").alias("corr_pred"),
+        correlation(ry, rt).alias("corr_resid"),
+        correlation("pred_outcome", "pred_treatment").alias("corr_pred"),
     )
     tt, ty, yy = F.col("_tt"), F.col("_ty"), F.col("_yy")
     theta = ratio(ty, tt)

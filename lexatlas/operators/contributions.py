@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexatlas.functions.scalars import doubles
+from lexatlas.functions.scalars import doubles, ratio
 from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, gram, ridge_fit
 
@@ -31,7 +31,7 @@ def linear_contributions(df: DataFrame, targets: list[str], features: str = "fea
 def one_feature_contribution(df: DataFrame, feature: str, target: str) -> DataFrame:
     """D15 for a single column by plain aggregates: adds ``contribution``."""
     x, y = F.col(feature), F.col(target)
-    fit = scalars(df.agg(F.regr_slope(y, x).alias("slope"), F.avg(x).alias("centre")))
+    fit = scalars(df.agg(ratio(F.regr_sxy(y, x), F.regr_sxx(y, x)).alias("slope"), F.avg(x).alias("centre")))
     return df.withColumn("contribution", fit["slope"] * (x - fit["centre"]))
 
 

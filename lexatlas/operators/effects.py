@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lexatlas.functions.scalars import ratio
+from lexatlas.functions.scalars import correlation, ratio
 from lexatlas.functions.tails import t_tail
 from lexatlas.operators.cleaning import long_outcomes, scalars
 from lexatlas.operators.outcomes import by_outcome
@@ -116,7 +116,7 @@ def pc_correlations(df: DataFrame, names: list[str], features: str = "features")
     """(pc, outcome, corr)."""
     cols = [F.col(n).cast("double").alias(f"o{i}") for i, n in enumerate(names)]
     long = df.select(F.posexplode(features).alias("pc", "value"), *cols).withColumn("value", F.col("value").cast("double"))
-    wide = long.groupBy("pc").agg(*[F.corr("value", f"o{i}").alias(f"c{i}") for i in range(len(names))])
+    wide = long.groupBy("pc").agg(*[correlation("value", f"o{i}").alias(f"c{i}") for i in range(len(names))])
     pairs = F.array(*[F.struct(F.lit(n).alias("outcome"), F.col(f"c{i}").alias("corr")) for i, n in enumerate(names)])
     return wide.select("pc", F.inline(pairs))
 

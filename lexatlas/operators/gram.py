@@ -58,9 +58,9 @@ def gram(df: DataFrame, targets: list[str], features: str = "features", fold: st
 
     z = F.concat(F.col(features), F.array(*[F.col(t) for t in targets]))
     data = df.select(F.col(fold).alias("fold"), z.alias("z"))
-    means = data.agg(vector_to_array(Summarizer.mean(array_to_vector("z"))).alias("m")).first()["m"]
-    if means is None:
+    if data.isEmpty():
         raise ValueError("no rows to fit")
+    means = data.agg(vector_to_array(Summarizer.mean(array_to_vector("z"))).alias("m")).first()["m"]
     shift = np.asarray(means, dtype=float)
     if np.isnan(shift).any():
         raise ValueError("features and targets must be complete")

@@ -64,37 +64,58 @@ def fuzzy_union(directed: DataFrame) -> DataFrame:
     return both.select("src", "dst", (F.col("_s") - F.when(F.col("_n") > 1, F.col("_p")).otherwise(0.0)).alias("w"))
 
 
+SHIFT = 0.2  # keeps eigenvalues near -1 (nearly bipartite graphs) from dominating
+EXTRA = 3  # columns beyond the wanted ones, which speed up the convergence
+
+
+def _multiplied(scaled: DataFrame, vectors: DataFrame, names: list[str]) -> DataFrame:
+    """(id, names.., _names..): the block and its product with the graph."""
+    moved = scaled.join(vectors, scaled["dst"] == vectors["id"]).groupBy("src").agg(
+        *[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in names]
+    )
+    return vectors.join(moved, vectors["id"] == moved["src"]).drop("src")
+
+
 def spectral_coordinates(graph: DataFrame, dims: int = 3, iterations: int = 20, cut_every: int = 5) -> DataFrame:
-    """(id, c0 .. c<dims-1>) from the leading eigenvectors after the trivial one.
+    """(id, c0 .. c<dims-1>) from the leading eigenvectors of D^-1/2 W D^-1/2 after the trivial one.
 
-    Each step multiplies the block of vectors by (I + D^-1/2 W D^-1/2) / 2, which is one equi-join
-    of the edges with the vectors and one sum per node, and makes the columns orthonormal with a
-    matrix of (dims + 1) squared numbers. Lineage is cut every few steps.
+    Block power iteration: a step is one equi-join of the edges with the vectors and one sum per
+    node. Every few steps the lineage is cut and the columns are made orthonormal with a matrix as
+    wide as the block; at the end the block is rotated to the eigenvectors it contains.
     """
-    q = dims + 1
-    degree = graph.groupBy("src").agg(F.sum("w").alias("deg"))
-    scaled = (
+    q = dims + 1 + EXTRA
+    degree = cut(graph.groupBy("src").agg(F.sum("w").alias("deg")))
+    scaled = cut(
         graph.join(degree, "src")
         .join(degree.select(F.col("src").alias("dst"), F.col("deg").alias("deg2")), "dst")
         .select("src", "dst", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg2"))).alias("w"))
     )
-    scaled = cut(scaled)
     # Deterministic start: the trivial direction, then hashed numbers in [-1, 1].
     start = [F.sqrt("deg").alias("c0")] + [
         (id_hash("src", j) / F.lit(float(1 << 59)) - 1.0).alias(f"c{j}") for j in range(1, q)
     ]
     names = [f"c{j}" for j in range(q)]
-    vectors = orthonormal(cut(degree.select(F.col("src").alias("id"), *start)), names)
+    vectors = cut(orthonormal(degree.select(F.col("src").alias("id"), *start), names))
     for step in range(iterations):
-        moved = scaled.join(vectors, scaled["dst"] == vectors["id"]).groupBy("src").agg(
-            *[F.sum(F.col("w") * F.col(c)).alias(f"_{c}") for c in names]
-        )
-        vectors = moved.join(vectors, moved["src"] == vectors["id"]).select(
-            "id", *[((F.col(c) + F.col(f"_{c}")) / 2).alias(c) for c in names]
+        vectors = _multiplied(scaled, vectors, names).select(
+            "id", *[((F.col(f"_{c}") + SHIFT * F.col(c)) / (1 + SHIFT)).alias(c) for c in names]
         )
         if (step + 1) % cut_every == 0 or step + 1 == iterations:
-            vectors = orthonormal(cut(vectors), names)
-    return vectors.select("id", *[F.col(f"c{j + 1}").alias(f"c{j}") for j in range(dims)])
+            vectors = cut(orthonormal(cut(vectors), names))
+    free = names[1:]
+    both = _multiplied(scaled, vectors, free)
+    sums = both.agg(*[F.sum(F.col(a) * F.col(f"_{b}")).alias(f"{a}_{b}") for a in free for b in free]).first()
+    m = np.array([[sums[f"{a}_{b}"] for b in free] for a in free])
+    value, rotate = np.linalg.eigh((m + m.T) / 2)
+    best = rotate[:, np.argsort(-value, kind="stable")[:dims]]
+    best = best * np.where(best[np.abs(best).argmax(axis=0), np.arange(dims)] < 0, -1.0, 1.0)
+    cols = []
+    for j in range(dims):
+        c = F.lit(0.0)
+        for i, name in enumerate(free):
+            c = c + F.col(name) * F.lit(float(best[i, j]))
+        cols.append(c.alias(f"c{j}"))
+    return vectors.select("id", *cols)
 
 
 def orthonormal(vectors: DataFrame, names: list[str]) -> DataFrame:

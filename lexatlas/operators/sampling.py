@@ -52,13 +52,11 @@ def allocation(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
 def stratified_sample(df: DataFrame, n: int, stratum: str, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows, proportional over the strata."""
-    alloc = allocation(df, stratum, n).select(F.col(stratum).alias("_s"), "allocated")
-    placed = hash_positions(df, [stratum], id_col, seed)
-    return (
-        placed.join(alloc, placed[stratum].eqNullSafe(F.col("_s")))
-        .where(F.col("position") <= F.col("allocated"))
-        .drop("_s", "allocated", "position")
-    )
+    # A struct is never null, so a null stratum joins like any other.
+    key = F.struct(F.col(stratum).alias("s")).alias("_key")
+    alloc = allocation(df, stratum, n).select(key, "allocated")
+    placed = hash_positions(df.withColumn("_key", key), ["_key"], id_col, seed)
+    return placed.join(alloc, "_key").where(F.col("position") <= F.col("allocated")).drop("_key", "allocated", "position")
 
 
 def stratum_plan(df: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, str | None]:

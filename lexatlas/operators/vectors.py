@@ -66,7 +66,10 @@ def feature_names(n_features: int, controls: list[str], prefix: str = "PC") -> l
 def moments(df: DataFrame, vector: str) -> DataFrame:
     """One row: ``n`` and the arrays ``mean`` and ``std`` (population)."""
     s = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(doubles(vector)))
-    row = df.where(F.col(vector).isNotNull()).agg(s.alias("_s"))
+    full = df.where(F.col(vector).isNotNull())
+    if full.isEmpty():
+        raise ValueError("no vectors to summarise")
+    row = full.agg(s.alias("_s"))
     n = F.col("_s.count")
     shrink = ratio(n - 1, n)
     return row.select(
