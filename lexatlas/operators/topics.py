@@ -55,6 +55,12 @@ def class_tfidf(counts: DataFrame, cluster: str = "cluster_id", size: int = VOCA
     return scored.withColumn("score", F.col("_raw") / norm).select(cluster, "term", "tf", "df", "score")
 
 
+def top_terms(scores: DataFrame, n: int, cluster: str = "cluster_id") -> DataFrame:
+    """K6: (cluster, term, place) of the ``n`` best terms, ties in alphabetical order."""
+    best = Window.partitionBy(cluster).orderBy(F.col("score").desc(), "term")  # at most VOCABULARY rows
+    return scores.withColumn("place", F.row_number().over(best).cast("bigint")).where(F.col("place") <= n).select(cluster, "term", "place")
+
+
 def keywords(scores: DataFrame, cluster: str = "cluster_id", n_words: int = 5) -> DataFrame:
     """(cluster, keywords ``A - B - C``); noise gets none."""
     best = Window.partitionBy(cluster).orderBy(F.col("score").desc(), "term")

@@ -438,3 +438,33 @@ def f6(spark, sf):
 @query("p16_clip_to_components", W + LONG_SQL + " SELECT id, count(*) AS n FROM long WHERE pc < 10 GROUP BY id")
 def p16b(spark, sf):
     return ranking.long_view(points(spark, sf), "id", "embedding").where("pc < 10").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d11_feature_sets")
+def d11(spark, sf):
+    """The estimate for all vector positions and for the six most correlated ones."""
+    p = measured_points(spark, sf)
+    from lexatlas.functions.scalars import gather
+    from lexatlas.operators.effects import pc_correlations
+
+    c = pc_correlations(p, TWO, "embedding").select(F.lit("corr").alias("method"), "outcome", "pc", F.abs("corr").alias("importance"))
+    _, best = imp.primary_components(imp.top_components(c), "corr", ())
+    top = p.withColumn("top", gather("embedding", best))
+    parts = [
+        causal.double_ml(with_controls(top, f, ["n_words"]), TWO, "features", variant=name, n_features=n)["estimates"]
+        for name, f, n in (("vectors", "embedding", 65), ("top", "top", 7))
+    ]
+    return final(parts[0].unionByName(parts[1]))
+
+
+@query(
+    "d12_controls",
+    rounded_sql("mean", W + POINTS_SQL + " SELECT 'Control_' || c AS name, avg(v) AS mean FROM (SELECT 'digit_count' AS c, digit_count AS v FROM points UNION ALL SELECT 'n_words', n_words FROM points) GROUP BY c"),
+)
+def d12(spark, sf):
+    from lexatlas.operators.vectors import feature_names
+
+    f = with_controls(measured_points(spark, sf), "embedding", ["n_words", "digit_count"])
+    names = F.lit(feature_names(64, ["n_words", "digit_count"]))
+    rows = f.select(F.inline(F.arrays_zip(names.alias("name"), F.col("features").alias("v")))).where(F.col("name").startswith("Control_"))
+    return final(rows.groupBy("name").agg(F.avg("v").alias("mean")))

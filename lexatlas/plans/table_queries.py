@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexatlas.functions.scalars import anonymous_key, p_value_text
+from lexatlas.functions.scalars import p_value_text, title
 from lexatlas.functions.text import prefixed
 from lexatlas.operators import categories as cat, cleaning, outcomes as out, profiling, ranking, sampling
 from lexatlas.plans.catalog import query
@@ -500,3 +500,37 @@ def w12(spark, sf):
 def j6(spark, sf):
     d = docs(spark, sf).select("id", "lang")
     return d.join(sampling.uniform_sample(d.select("id"), 100), "id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s2_preview_profile",
+    """WITH d AS (SELECT lang, source FROM documents)
+      SELECT 'lang' AS "column", count(*) AS rows, count(DISTINCT lang) AS n_unique FROM d
+      UNION ALL SELECT 'source', count(*), count(DISTINCT source) FROM d""",
+)
+def s2(spark, sf):
+    """Detection over the whole table instead of a preview."""
+    return profiling.column_profile(table(spark, sf, "documents").select("lang", "source")).select("column", "rows", "n_unique")
+
+
+@query("s6_required_columns", "SELECT count(*) AS n FROM documents")
+def s6(spark, sf):
+    d = table(spark, sf, "documents")
+    cleaning.require_columns(d, "text", (LENGTH, Outcome("n_chars")), "doc_id")
+    return d.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p18_display_names", "SELECT source, upper(source[1]) || source[2:] AS display, count(*) AS n FROM documents GROUP BY source")
+def p18(spark, sf):
+    return docs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("display", title("source"))
+
+
+@query("k9_value_counts_ranked", "SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 10")
+def k9(spark, sf):
+    return out.category_shares(docs(spark, sf), "source").select("value", "n").orderBy(F.col("n").desc(), "value").limit(10)
+
+
+@query("u2_numeric_columns", "SELECT 'n_chars' AS \"column\", count(n_chars) AS present FROM documents UNION ALL SELECT 'doc_id', count(doc_id) FROM documents")
+def u2(spark, sf):
+    p = profiling.column_profile(table(spark, sf, "documents"))
+    return p.where(F.col("kind").isin("integer", "number")).select("column", "present")

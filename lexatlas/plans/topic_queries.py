@@ -369,3 +369,34 @@ def p19(spark, sf):
 def w6(spark, sf):
     long = ranking.long_view(measured_points(spark, sf), "id", "embedding")
     return final(ranking.running_share(long.groupBy("pc").agg(F.var_pop("value").alias("variance"))))
+
+
+@query("k2_ranked_topics", W + _IMPACT + " SELECT cluster_id, row_number() OVER (ORDER BY max_impact_prob * 100 DESC, cluster_id) AS place FROM i")
+def k2(spark, sf):
+    ranked = clusters.ranked_by_impact(clusters.topic_impact(measured_points(spark, sf), (DIGITS, LENGTH)))
+    return ranking.importance_ranks(ranked, [], "cluster_id", "impact").select("cluster_id", F.col("rank").alias("place"))
+
+
+@query("k6_top_terms", W + _TFIDF + """, b AS (SELECT cluster_id, term, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, term) AS place FROM scored)
+  SELECT * FROM b WHERE place <= 10""")
+def k6(spark, sf):
+    scores = topics.class_tfidf(topics.term_counts(points(spark, sf)))
+    return topics.top_terms(scores, 10)
+
+
+@query("x2_class_sizes", W + _TERMS + " SELECT cluster_id, sum(tf)::BIGINT AS n_terms FROM tc GROUP BY cluster_id")
+def x2(spark, sf):
+    return topics.term_counts(points(spark, sf)).groupBy("cluster_id").agg(F.sum("tf").alias("n_terms"))
+
+
+@query("j3_keywords_with_stats", W + _KEYWORDS + ", c AS (SELECT cluster_id, count(*) AS size FROM points GROUP BY 1) SELECT cluster_id, keywords, size FROM kw JOIN c USING (cluster_id)")
+def j3(spark, sf):
+    p = points(spark, sf)
+    return topics.extract_topics(p).join(clusters.cluster_sizes(p).select("cluster_id", "size"), "cluster_id")
+
+
+@query("w13_global_rank", W + LONG_SQL + """, v AS (SELECT pc, var_pop(value) AS s FROM long GROUP BY pc)
+  SELECT pc, row_number() OVER (ORDER BY s DESC, pc) AS rank FROM v""")
+def w13(spark, sf):
+    long = ranking.long_view(measured_points(spark, sf), "id", "embedding")
+    return ranking.importance_ranks(long.groupBy("pc").agg(F.var_pop("value").alias("s")), [], "pc", "s").select("pc", "rank")
