@@ -156,11 +156,12 @@ def lasso_fit(gram_xx: np.ndarray, xy: np.ndarray, n: float, alpha: float, start
     q, c = gram_xx / n, xy / n
     grad = c - q @ b
     diag = np.diag(q)
+    usable = diag > 1e-15
     for _ in range(max_iter):
+        # Only coefficients in use, or about to be, can move.
+        work = np.flatnonzero(usable & ((b != 0) | (np.abs(grad) > alpha)))
         biggest = 0.0
-        for j in range(p):
-            if diag[j] <= 1e-15:
-                continue
+        for j in work:
             rho = grad[j] + diag[j] * b[j]
             new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / diag[j]
             step = new - b[j]

@@ -45,7 +45,7 @@ def class_tfidf(counts: DataFrame, cluster: str = "cluster_id", size: int = VOCA
     The counts are read three times, so they are written once: the texts are tokenised once.
     """
     counts = cut(counts)
-    n = counts.agg(F.count_distinct(cluster)).scalar()
+    n = F.lit(counts.agg(F.count_distinct(cluster)).first()[0])
     vocab = vocabulary(counts, n, cluster, size)
     scored = counts.join(F.broadcast(vocab), "term").withColumn(  # at most ``size`` terms
         "_raw", F.col("tf") * (F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
