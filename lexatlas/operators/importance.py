@@ -63,6 +63,7 @@ def lasso_path(g: Gram, target: str, alphas=None, n_alphas: int = 100) -> tuple[
         top = float(np.max(np.abs(sxy)) / n) or 1.0
         alphas = np.geomspace(top, top * 1e-3, n_alphas)
     alphas = sorted((float(a) for a in alphas), reverse=True)
+    spread = max((full[at, at] / n) ** 0.5, 1e-12)  # tolerances follow the scale of the outcome
     error = np.zeros(len(alphas))
     for fold in g.folds:
         train, test = _scaled(g.train(fold), p, sd), _scaled(g.folds[fold], p, sd)
@@ -71,10 +72,10 @@ def lasso_path(g: Gram, target: str, alphas=None, n_alphas: int = 100) -> tuple[
             continue
         b = None
         for i, a in enumerate(alphas):
-            b = lasso_fit(fxx, fxy, fn, a, b, tol=1e-7)
+            b = lasso_fit(fxx, fxy, fn, a, b, tol=1e-5 * spread)
             error[i] += squared_error(test, p, at, b, my - mx @ b) / test[0, 0]
     best = alphas[int(np.argmin(error))]
-    return lasso_fit(sxx, sxy, n, best), best
+    return lasso_fit(sxx, sxy, n, best, tol=1e-9 * spread), best
 
 
 def ridge_choice(g: Gram, target: str, alphas=RIDGE_ALPHAS) -> tuple[np.ndarray, float]:

@@ -89,22 +89,25 @@ def analyze(
     spark = df.sparkSession
     notes: list[str] = []
     full, spec = prepare(df, spec)
-    docs = cut(sampling.sample(full, spec))
-    cleaning.assert_unique_ids(docs, spec.id)
+    # A sample or generated ids are fixed by writing them; otherwise the texts stay where they are.
+    docs = cut(sampling.sample(full, spec)) if spec.sample_size or spec.generate_id else full
     if spec.id != "id":
         docs = docs.withColumnRenamed(spec.id, "id")
-    spec, modes = detected_modes(docs, spec)
+    numbers = cut(docs.drop(spec.text))
+    texts = docs.select("id", spec.text)
+    cleaning.assert_unique_ids(numbers, "id")
+    spec, modes = detected_modes(numbers, spec)
     numeric = spec.numeric_outcomes
     names = [o.name for o in numeric]
     controls = spec.control_names
     if names + controls:
-        out.assert_complete(docs, names + controls)
+        out.assert_complete(numbers, names + controls)
 
     if given_vectors is None:
-        vec = cut(encode.embed(docs, dim, load, "id", spec.text, prefix))
+        vec = cut(encode.embed(texts, dim, load, "id", spec.text, prefix))
     else:
         vec = given_vectors.withColumnRenamed(spec.id, "id") if spec.id in given_vectors.columns else given_vectors
-        vec = cut(vec.join(docs.select("id"), "id", "left_semi"))
+        vec = cut(vec.join(numbers.select("id"), "id", "left_semi"))
     check = vectors.vector_check(vec).first()
     if not check["valid"]:
         raise ValueError(f"vectors with missing or infinite entries, or of different lengths: {check.asDict()}")
@@ -118,10 +121,10 @@ def analyze(
             coords.select("id", F.array(*axes).alias("v")), "id", "v", chosen["min_cluster_size"], chosen["min_samples"]
         )
     )
-    base = cut(docs.join(coords, "id").join(labels, "id").join(pcs, "id"))
+    base = cut(numbers.join(coords, "id").join(labels, "id").join(pcs, "id"))
 
     tables: dict[str, DataFrame] = {"sampled_documents": docs, "embeddings": vec, "components": pcs, "coordinates": coords, "assignments": labels}
-    ids = cleaning.anonymise(full.withColumnRenamed(spec.id, "id") if spec.id != "id" else full, "id", docs)
+    ids = cleaning.anonymise(full.withColumnRenamed(spec.id, "id") if spec.id != "id" else full, "id", numbers)
     tables["id_mapping"] = ids
     tables["variance"] = reduction.variance_table(spark)
     tables["loadings"] = reduction.loadings_table(spark)
@@ -130,12 +133,12 @@ def analyze(
     tables["percentiles"] = percentiles
     if modes is not None:
         tables["outcome_modes"] = modes
-        tables["outcome_stats"] = out.numeric_stats(docs, names)
+        tables["outcome_stats"] = out.numeric_stats(numbers, names)
     if controls:
-        tables["control_summary"] = out.control_summary(docs, controls)
+        tables["control_summary"] = out.control_summary(numbers, controls)
 
     # topics
-    words = cut(topics.extract_topics(base, spec.text, "cluster_id", spec.n_words))
+    words = cut(topics.extract_topics(texts.join(labels, "id"), spec.text, "cluster_id", spec.n_words))
     tables["cluster_sizes"] = clusters.cluster_sizes(base)
     tables["topic_keywords"] = words
     tables["topic_placement"] = clusters.topic_placement(words, clusters.centroids(base, coords=axes), coords=axes)
@@ -151,7 +154,7 @@ def analyze(
     tables["topic_associations"] = clusters.topic_labels(effects.topic_associations(base, "pc"), keyed, "topic_id")
 
     # categories and browse order
-    thresholds = cut(out.thresholds(docs, numeric)) if numeric else None
+    thresholds = cut(out.thresholds(numbers, numeric)) if numeric else None
     if thresholds is not None:
         tables["thresholds"] = thresholds
     placed = cut(categories.with_category(base, tuple(numeric), thresholds))
@@ -167,6 +170,8 @@ def analyze(
     else:
         notes.append("fewer than two numeric outcomes: no component selection and no effect estimates")
     joined = placed.join(percentiles, "id")
+    if not spec.exclude_text:
+        joined = joined.join(texts, "id")
     tables["points"] = points.point_table(
         joined, names, "id", spec.text, axes, "pc", "percentiles", F.lit([float(v) for v in reduction.variance]), contrib, ("category",), spec.n_top
     )
