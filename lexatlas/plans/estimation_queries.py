@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexatlas.functions.scalars import fold_of
@@ -38,8 +39,7 @@ def g0(spark, sf):
         "value",
         W + _FOLDED + """, v AS (SELECT fold, [n_words, digit_count, sentence_count, text_length] AS z FROM f),
           e AS (SELECT fold, i, j, z[i] AS a, z[j] AS b FROM v, range(1, 5) r1(i), range(1, 5) r2(j))
-          SELECT fold, (i - 1)::INTEGER AS i, (j - 1)::INTEGER AS j, covar_pop(a, b) AS value FROM e GROUP BY fold, i, j""",
-        3,
+          SELECT fold, (i - 1)::INTEGER AS i, (j - 1)::INTEGER AS j, corr(a, b) AS value FROM e GROUP BY fold, i, j""",
     ),
 )
 def g0b(spark, sf):
@@ -47,11 +47,10 @@ def g0b(spark, sf):
     g = gram.gram(d, TWO)
     rows = []
     for fold, m in g.folds.items():
-        n = m[0, 0]
-        for i in range(4):
-            for j in range(4):
-                rows.append((int(fold), i, j, float(m[i + 1, j + 1] / n - m[0, i + 1] * m[0, j + 1] / n / n)))
-    return final(spark.createDataFrame(rows, "fold int, i int, j int, value double"), 3)
+        cov = m[1:, 1:] / m[0, 0] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] ** 2
+        sd = np.sqrt(np.diag(cov))
+        rows += [(int(fold), i, j, float(cov[i, j] / sd[i] / sd[j])) for i in range(4) for j in range(4)]
+    return final(spark.createDataFrame(rows, "fold int, i int, j int, value double"))
 
 
 @query(
