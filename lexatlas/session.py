@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,18 +30,18 @@ def build_session(app: str = "lexatlas", cores: str = "*", shuffle_partitions: i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: ``spark.checkpoint.dir``.
+    """The folder for lineage cuts: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has named.
 
-    Only a local master may fall back to a temporary folder of this machine; a cluster must
-    name a folder that every executor can reach.
+    Where neither is set, a session whose driver and executors are one process gets a temporary folder;
+    every other master must name a folder that all executors can reach.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        fresh = tempfile.mkdtemp(prefix="lexatlas-")
-        spark.conf.set("spark.checkpoint.dir", fresh)
-        return fresh
+    if re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexatlas-"))
+        return context.getCheckpointDir().rstrip("/")
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
