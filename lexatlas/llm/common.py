@@ -62,6 +62,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+def both_ends(pairs: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """The written table ``pairs`` (a, b) with the columns of ``side`` for either end, suffixed _a and _b. Hubs are salted."""
+    deal = parallelism(pairs.sparkSession)
+    salts = {end: F.pmod(F.xxhash64(other, F.lit(17)), F.lit(deal)).cast("int").alias(f"_salt_{end}") for end, other in (("a", "b"), ("b", "a"))}
+    out = pairs.select("*", *salts.values())
+    for end, salt in salts.items():
+        own = side.select(*[F.col(c).alias(end if c == key else f"{c}_{end}") for c in side.columns])
+        out = out.join(pairs.select(end, salt).distinct().join(own, end), [end, f"_salt_{end}"])
+    return out.drop("_salt_a", "_salt_b")
+
+
 def _bit(*keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS)) + 1
 
@@ -117,10 +128,6 @@ def components(edges: DataFrame) -> DataFrame:
             parents = cut(salted_join(parents, above, ["up"], ["node"], "left").select("node", F.coalesce("top", "up").alias("up")))
         to = parents.select(F.col("node").alias("root"), "up")
         roots = cut(salted_join(roots, to, ["root"], ["node"], "left").select("node", F.coalesce("up", "root").alias("root")))
-        ends = left
-        for end in ("a", "b"):
-            other = "b" if end == "a" else "a"
-            ends = salted_join(ends, to.withColumnRenamed("root", end), [end], [other], "left").select(F.coalesce("up", end).alias(end), other)
-            ends = cut(ends)
-        left = cut(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        linked = cut(both_ends(left, roots.select("node", "root"), "node").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        left = cut(linked.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return roots
