@@ -83,29 +83,43 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
     return arrow_map(source, None, f"id {kind}, piece int, start long, length long, ids_crc32 long, part int, k long{more}", start)
 
 
-def full_patterns(bins: int, docs: int) -> list[tuple[int, ...]]:
-    """All multisets of at most ``docs`` numbers from 1 that add up to ``bins``."""
-    out = [(bins,)]
-    for n in range(2, docs + 1):
-        for head in combinations_with_replacement(range(1, bins + 1), n - 1):
-            if (last := bins - sum(head)) >= head[-1]:
-                out.append((*head, last))
-    return out
-
-
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, sweeps: int = 2000, tolerance: float = 1e-9) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by coordinate descent on the normal equations."""
-    gram, rhs, x = a.T @ a, a.T @ b, np.zeros(a.shape[1])
-    gradient = -rhs.copy()
+def full_patterns(histogram: dict[int, int], capacity: int, frequent: int) -> list[tuple[int, ...]]:
+    """Multisets of one, two or three lengths of ``histogram`` that fill a sequence to the last token.
+
+    All singles and pairs; triples of which two lengths are among the ``frequent`` most common ones.
+    """
+    out = [(capacity,)] if capacity in histogram else []
+    out += [(x, capacity - x) for x in sorted(histogram) if x <= capacity - x and capacity - x in histogram]
+    common = sorted(sorted(histogram, key=lambda x: (-histogram[x], x))[:frequent])
+    triples = {tuple(sorted((x, y, capacity - x - y))) for x, y in combinations_with_replacement(common, 2) if capacity - x - y in histogram}
+    return out + sorted(triples)
+
+
+def nonnegative_least_squares(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 500, tolerance: float = 0.01) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns that minimise the squared distance of A x from the histogram.
+
+    A has a row for each length and a column for each pattern; coordinate descent on the normal equations,
+    until no count moves by more than ``tolerance``.
+    """
+    uses = [Counter(p) for p in patterns]
+    holders: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for j, use in enumerate(uses):
+        for length, n in use.items():
+            holders[length].append((j, n))
+    gram, x = np.zeros((len(patterns), len(patterns))), np.zeros(len(patterns))
+    for held in holders.values():
+        at, n = (np.array(v) for v in zip(*held))
+        gram[np.ix_(at, at)] += np.outer(n, n)
+    gradient = -np.array([sum(histogram[length] * n for length, n in use.items()) for use in uses], float)
     for _ in range(sweeps):
         moved = 0.0
         for j in range(len(x)):
             step = max(-x[j], -gradient[j] / gram[j, j])
-            if step:
+            if abs(step) > tolerance / 100:
                 x[j] += step
-                gradient += step * gram[:, j]
+                gradient += step * gram[j]
                 moved = max(moved, abs(step))
-        if moved <= tolerance * (1.0 + x.max(initial=0.0)):
+        if moved <= tolerance:
             break
     return x
 
@@ -146,46 +160,25 @@ class Plan:
                 self.add(slots, repeats, room)
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int, bins: int = 64, docs: int = 3) -> list[tuple[tuple, int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int, frequent: int = 16) -> list[tuple[tuple, int]]:
     """[(((length, times), ...), repeats), ...] that holds exactly the documents of ``histogram``.
 
-    Patterns of at most ``docs`` documents that fill a sequence on a grid of ``bins`` lengths get repeat
-    counts by non-negative least squares against the histogram; the counts are rounded down and cut to
-    what is there. All other documents, longest first, go where they leave the least room. The size of
-    the plan depends on the number of different lengths, not on the number of documents.
+    Patterns of few documents that fill a sequence get repeat counts by non-negative least squares against
+    the histogram; the counts are rounded down and cut to what is there. All other documents, longest
+    first, go where they leave the least room. The size of the plan depends on the number of different
+    lengths, not on the number of documents.
     """
     left = {length: n for length, n in histogram.items() if n}
     plan = Plan(capacity)
-    if not left:
-        return []
-    width = -(-capacity // bins)
-    of_bin: dict[int, list[int]] = defaultdict(list)
-    for length in sorted(left):
-        of_bin[-(-length // width)].append(length)
-    patterns = [p for p in full_patterns(capacity // width, docs) if all(b in of_bin for b in p)]
+    patterns = full_patterns(left, capacity, frequent)
     if patterns:
-        a = np.zeros((bins + 1, len(patterns)))
-        for j, p in enumerate(patterns):
-            for b in p:
-                a[b, j] += 1
-        h = np.array([sum(left[x] for x in of_bin.get(b, ())) for b in range(bins + 1)], float)
-        repeats = np.floor(nonnegative_least_squares(a, h) + 1e-6).astype(int)
-        # Longest documents first: they are the hardest to place.
+        repeats = np.floor(nonnegative_least_squares(patterns, left) + 1e-6).astype(int)
+        # Patterns with the longest documents first: these are the hardest to place otherwise.
         for j in sorted(range(len(patterns)), key=lambda j: patterns[j][::-1], reverse=True):
-            wanted = int(repeats[j])
-            while wanted > 0:
-                taken: Counter = Counter()
-                for b in patterns[j]:
-                    fit = next((x for x in reversed(of_bin[b]) if left[x] > taken[x]), None)
-                    if fit is None:
-                        break
-                    taken[fit] += 1
-                if taken.total() < len(patterns[j]):
-                    break
-                n = min([wanted, *(left[x] // t for x, t in taken.items())])
-                plan.add(tuple(sorted(taken.items(), reverse=True)), n, capacity - sum(x * t for x, t in taken.items()))
-                wanted -= n
-                for x, t in taken.items():
+            use = Counter(patterns[j])
+            if n := min([int(repeats[j]), *(left[x] // t for x, t in use.items())]):
+                plan.add(tuple(sorted(use.items(), reverse=True)), n, 0)
+                for x, t in use.items():
                     left[x] -= n * t
     for length in sorted(left, reverse=True):
         plan.best_fit(length, left[length])
