@@ -1,4 +1,7 @@
-"""Helpers of the corpus operators: hot keys, sparse joins, label propagation, bounded Arrow batches."""
+"""Helpers of the corpus operators: hot keys, sparse joins, label propagation, bounded Arrow batches.
+
+Column names that begin with ``_lx_`` are reserved.
+"""
 
 from __future__ import annotations
 
@@ -80,19 +83,19 @@ def _bit(*keys: str | Column) -> Column:
 def membership(df: DataFrame, keys: list[str]) -> DataFrame:
     """A filter of fixed size over the keys of ``df``: at most 2^26 bits in rows of 4 KB, ready to broadcast."""
     b = _bit(*keys)
-    bits = df.select(F.bitmap_bucket_number(b).alias("_bucket"), F.bitmap_bit_position(b).alias("_at")).distinct()
-    return cut(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    bits = df.select(F.bitmap_bucket_number(b).alias("_lx_bucket"), F.bitmap_bit_position(b).alias("_lx_at")).distinct()
+    return cut(bits.groupBy("_lx_bucket").agg(F.bitmap_construct_agg("_lx_at").alias("_lx_bits")))
 
 
-def may_contain(df: DataFrame, keys: list[str | Column], filter_: DataFrame, name: str = "_maybe") -> DataFrame:
+def may_contain(df: DataFrame, keys: list[str | Column], filter_: DataFrame, name: str = "_lx_maybe") -> DataFrame:
     """``df`` with a flag: false only for keys that are certainly not in ``filter_``. No shuffle."""
     b = _bit(*keys)
     at = F.bitmap_bit_position(b)
-    marked = df.withColumns({"_bucket": F.bitmap_bucket_number(b), "_at": at})
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_at") % 8).cast("int") + 1)
+    marked = df.withColumns({"_lx_bucket": F.bitmap_bucket_number(b), "_lx_at": at})
+    byte = F.conv(F.hex(F.substring("_lx_bits", (F.col("_lx_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.col("_lx_at") % 8).cast("int") + 1)
     hit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
-    return marked.join(F.broadcast(filter_), "_bucket", "left").withColumn(name, hit).drop("_bucket", "_at", "_bits")
+    return marked.join(F.broadcast(filter_), "_lx_bucket", "left").withColumn(name, hit).drop("_lx_bucket", "_lx_at", "_lx_bits")
 
 
 def join_sparse(df: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -102,10 +105,10 @@ def join_sparse(df: DataFrame, side: DataFrame, key: str, how: str = "left") ->
     """
     names = [c for c in side.columns if c != key]
     flagged = may_contain(df, [key], membership(side, [key]))
-    near = flagged.filter("_maybe").drop("_maybe").join(side, key, how)
+    near = flagged.filter("_lx_maybe").drop("_lx_maybe").join(side, key, how)
     if how == "left_semi":
         return near.select(*df.columns)
-    far = flagged.filter(~F.col("_maybe")).drop("_maybe")
+    far = flagged.filter(~F.col("_lx_maybe")).drop("_lx_maybe")
     if how == "left_anti":
         return far.select(*df.columns).unionByName(near.select(*df.columns))
     types = dict(side.dtypes)

@@ -11,7 +11,8 @@ from lexatlas.session import cut
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, digest: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept and, with ``digest``, text_sha256.
+    """One row per row of ``docs``: ``id_col``, keep_id, group_size, kept, with ``digest`` text_sha256, and
+    row: xxhash64 of the text where it was read to its end, to tell rows apart that share an id.
 
     Texts are equal when identical; null counts as empty. Of equal texts the largest id stays. Texts are
     compared in three steps, each over the groups that the one before has left with two rows or more:
@@ -40,16 +41,17 @@ def exact_duplicates(
     open_ = F.col("_same_length") & F.col("_same_prefix")
     full = F.sha2(F.col("text").cast("binary"), 256)
     rows = cut(
-        headed.select("id", open_.alias("open"), (full if digest else F.when(open_, full)).alias("sha"))
+        headed.select("id", F.when(open_, F.xxhash64("text")).alias("row"), open_.alias("open"), (full if digest else F.when(open_, full)).alias("sha"))
     )
 
     groups = rows.filter("open").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     compared = salted_join(rows.filter("open"), groups, ["sha"], ["id"])
-    alone = rows.filter("not open").select("sha", "id", "open", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    alone = rows.filter("not open").select("sha", "id", "row", "open", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return compared.unionByName(alone).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         *([F.col("sha").alias("text_sha256")] if digest else []),
+        "row",
     )

@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.exact import exact_duplicates
 
-    return exact_duplicates(table(spark, sf_dir, "documents"), digest=True)
+    return exact_duplicates(table(spark, sf_dir, "documents"), digest=True).drop("row")
 
 
 @query("op3_near_dedup")
@@ -59,3 +59,81 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.langid import fit_prototypes, predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
+    prototypes = fit_prototypes(docs.filter(~held_out))
+    return predict_languages(docs, prototypes).withColumn("held_out", held_out)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexatlas.llm.fertility import fertility_rules
+
+    return fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.chunks import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", "removed_spans", "keep_ids", (F.size("removed_spans") > 0).alias("has_repeat")
+    )
+
+
+@query(
+    "op1_warc",
+    """SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to,
+  upper(substr(sha1(coalesce(html, '')), 1, 40)) AS payload_digest
+FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) AS t""",
+)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.warc import fresh_folder, page_of, read_archives, write_archives
+
+    manifest = write_archives(table(spark, sf_dir, "pages"), fresh_folder(spark), least_bytes=0)
+    return read_archives(spark, manifest, payloads=False).select(
+        page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
+    )
+
+
+@query("op2_weak_quality")
+def op2_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexatlas.llm.weak import weak_quality
+
+    return weak_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_rollups")
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document enters with two vocabularies; counts are revised to include an end token; exact copies leave; batches come twice."""
+    import uuid
+
+    import public_tokenizers
+
+    from lexatlas.llm.exact import exact_duplicates
+    from lexatlas.llm.rollups import TokenRollups, deletes, inserts, revisions, token_counts
+    from lexatlas.session import cut, shared_dir
+
+    docs = table(spark, sf_dir, "documents")
+    counts = cut(token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")))
+    counts = counts.withColumn("word_tokens_end", F.col("word_tokens") + 1)
+    copies = counts.join(exact_duplicates(docs).filter("not kept").select("doc_id"), "doc_id", "left_semi")
+    totals = TokenRollups(spark, f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
+    batches = {
+        "load": [inserts(counts, "word_bpe_49k", "word_tokens"), inserts(counts, "byte_bpe_50k", "byte_tokens")],
+        "end-token": [revisions(counts, "word_bpe_49k", "word_tokens", "word_tokens_end")],
+        "copies": [deletes(copies, "word_bpe_49k", "word_tokens_end"), deletes(copies, "byte_bpe_50k", "byte_tokens")],
+    }
+    for name in ("load", "end-token", "copies", "end-token", "load"):
+        totals.commit(name, *batches[name])
+    return totals.totals()

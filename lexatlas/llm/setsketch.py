@@ -126,11 +126,11 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 digest.append(_name(s.tobytes()) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            return {"id": batch.column("id"), "n": n, "node": digest, "regs": regs}
+            return {"id": batch.column("id"), "row": batch.column("row"), "n": n, "node": digest, "regs": regs}
 
         return rows
 
-    return arrow_map(docs, None, f"id {dict(docs.dtypes)['id']}, n long, node binary, regs binary", start)
+    return arrow_map(docs, None, f"id {dict(docs.dtypes)['id']}, row long, n long, node binary, regs binary", start)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -173,7 +173,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept.
+    """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept, and row (xxhash64 of the text).
 
     Documents are linked when the Jaccard similarity of their sets of ``width``-word shingles is at least
     ``percent`` / 100 (whole numbers, compared exactly on the full sets); component_id is the smallest id
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents that share the id. Other columns are not read. Empty input gives an empty result.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    drawn = cut(_sketched(source, width))
+    drawn = cut(_sketched(source.withColumn("row", F.xxhash64("text")), width))
     linkable = drawn.filter("node is not null and id is not null")
     nodes = cut(linkable.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs")))
 
@@ -238,10 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     heads = nodes.join(state, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     settled = salted_join(state, heads, ["root"], ["node"]).select("node", "component_id")
-    placed = salted_join(linkable.select("id", "n", "node"), cut(settled), ["node"], ["id"]).select("id", "n", "component_id")
-    apart = drawn.filter("node is null or id is null").select("id", "n", F.col("id").alias("component_id"))
+    placed = salted_join(linkable.select("id", "row", "n", "node"), cut(settled), ["node"], ["id"]).select("id", "row", "n", "component_id")
+    apart = drawn.filter("node is null or id is null").select("id", "row", "n", F.col("id").alias("component_id"))
     return placed.unionByName(apart).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row",
     )
 
