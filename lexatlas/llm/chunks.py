@@ -60,7 +60,7 @@ def chunk_spans(text: bytes, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np
 
 def _chunks(source: DataFrame, min_words: int, full: bool) -> DataFrame:
     """A row per chunk: digest (64 bits) and, with ``full``, digest2 (64 more), id, row, start, end."""
-    kind = dict(source.dtypes)["id"]
+    kind = dict(source.dtypes).get("id")
 
     def rows(batch: pa.RecordBatch) -> dict:
         digests, which, first, last = [], [], [], []

@@ -65,15 +65,21 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     return marked.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-def both_ends(pairs: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """The written table ``pairs`` (a, b) with the columns of ``side`` for either end, suffixed _a and _b. Hubs are salted."""
-    deal = parallelism(pairs.sparkSession)
-    salts = {end: F.pmod(F.xxhash64(other, F.lit(17)), F.lit(deal)).cast("int").alias(f"_salt_{end}") for end, other in (("a", "b"), ("b", "a"))}
-    out = pairs.select("*", *salts.values())
-    for end, salt in salts.items():
-        own = side.select(*[F.col(c).alias(end if c == key else f"{c}_{end}") for c in side.columns])
-        out = out.join(pairs.select(end, salt).distinct().join(own, end), [end, f"_salt_{end}"])
-    return out.drop("_salt_a", "_salt_b")
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join the one row that ``right`` has for a key to all rows of ``left``, where ``weight`` says how many these are (or more).
+
+    A key with more than a 4s-th of all rows, for s shuffle partitions, is split into as many parts as it has
+    4s-ths: fewer than 4s keys, whose parts are broadcast, and fewer than 8s rows more of ``right``.
+    ``right`` should be a written table.
+    """
+    share = 4 * parallelism(left.sparkSession)
+    total = right.agg(F.sum(weight)).first()[0] or 1
+    parts = F.least(F.col(weight), F.ceil(F.col(weight) * F.lit(share) / F.lit(total)))
+    hot = right.filter(F.col(weight) * share > total).select(*keys, parts.cast("int").alias("_lx_parts"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("_lx_salt", F.when(F.col("_lx_parts").isNotNull(), F.pmod(F.xxhash64(*by, F.lit(17)), F.col("_lx_parts")).cast("int")).otherwise(F.lit(0))).drop("_lx_parts")
+    copies = F.when(F.col(weight) * share > total, F.sequence(F.lit(0), parts.cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    return marked.join(right.withColumn("_lx_salt", F.explode(copies)).drop(weight), [*keys, "_lx_salt"], how).drop("_lx_salt")
 
 
 def _bit(*keys: str | Column) -> Column:
@@ -118,19 +124,18 @@ def join_sparse(df: DataFrame, side: DataFrame, key: str, how: str = "left") ->
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (a, b): root is the smallest node that can be reached.
 
-    Every round hooks each root to its smallest neighbour, follows the pointers twice and contracts the
-    edges; it ends when no edge is left. All tables are narrow and written; hubs are salted.
+    Every edge carries the labels of its ends, at first the nodes themselves. In a round each label gives
+    way to the smallest label that an edge joins it to; the rounds end when all edges join equal labels.
+    With labels in random order (digests) a round leaves a fraction of the labels even of a chain.
+    All tables are narrow and written; hot labels are split.
     """
-    left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = cut(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("root", F.col("node")))
-    while not left.isEmpty():
-        # The smaller end of an edge is a candidate parent of the larger one.
-        parents = cut(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")))
-        for _ in range(2):
-            above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parents = cut(salted_join(parents, above, ["up"], ["node"], "left").select("node", F.coalesce("top", "up").alias("up")))
-        to = parents.select(F.col("node").alias("root"), "up")
-        roots = cut(salted_join(roots, to, ["root"], ["node"], "left").select("node", F.coalesce("up", "root").alias("root")))
-        linked = cut(both_ends(left, roots.select("node", "root"), "node").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        left = cut(linked.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return roots
+    held = cut(edges.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")))
+    while not held.filter("la <> lb").isEmpty():
+        low = F.least("la", "lb").alias("up")
+        ends = held.select(F.col("la").alias("label"), low).union(held.select("lb", low))
+        to = cut(ends.groupBy("label").agg(F.min("up").alias("up"), F.count("*").alias("n")))
+        for end in ("la", "lb"):
+            moved = spread_join(held, to.withColumnRenamed("label", end), [end], ["a", "b"], "n")
+            held = moved.drop(end).withColumnRenamed("up", end)
+        held = cut(held.select("a", "b", "la", "lb"))
+    return held.select(F.col("a").alias("node"), F.col("la").alias("root")).union(held.select("b", "lb")).distinct()

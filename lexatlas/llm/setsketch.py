@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexatlas.llm.common import arrow_map, both_ends, components, may_contain, membership, salted_join, text_bytes
+from lexatlas.llm.common import arrow_map, components, may_contain, membership, spread_join, text_bytes
 from lexatlas.session import cut
 
 BANDS, BAND_REGISTERS = 40, 5
@@ -148,26 +148,34 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, None, "node binary, words binary", start).groupBy("node").agg(F.first("words").alias("words"))
 
 
+def _with_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """``pairs`` (node, pivot) with the columns of ``side`` for both, those of the pivot prefixed p_. A pivot of many pairs is split."""
+    deg = cut(pairs.groupBy("pivot").agg(F.count("*").alias("weight")))
+    columns = [c for c in side.columns if c != "node"]
+    of_pivot = side.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    # A node has at most one pivot per band and lot, so only pivots can be hot.
+    return spread_join(pairs.join(side, "node"), deg.join(of_pivot, "pivot"), ["pivot"], ["node"], "weight")
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
-    drawn = both_ends(pairs, nodes.select("node", "n", "regs"), "node")
+    """The pairs (node, pivot) whose full sets have 100 * intersection >= percent * union, as edges (a, b)."""
+    drawn = _with_ends(pairs, nodes.select("node", "n", "regs"))
 
     def likely(batch: pa.RecordBatch) -> dict:
-        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        keep = pa.array(plausible(batch.column("regs_a").to_pylist(), batch.column("regs_b").to_pylist(), n_a, n_b, percent / 100.0))
-        return {c: batch.column(c).filter(keep) for c in ("a", "b")}
+        n, p_n = (batch.column(c).to_numpy() for c in ("n", "p_n"))
+        keep = pa.array(plausible(batch.column("regs").to_pylist(), batch.column("p_regs").to_pylist(), n, p_n, percent / 100.0))
+        return {c: batch.column(c).filter(keep) for c in ("node", "pivot")}
 
-    close = cut(arrow_map(drawn, likely, "a binary, b binary"))
-    close = both_ends(close, sets, "node")
+    close = _with_ends(cut(arrow_map(drawn, likely, "node binary, pivot binary")), sets)
 
     def verified(batch: pa.RecordBatch) -> dict:
         keep = []
-        for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist()):
+        for x, y in zip(batch.column("words").to_pylist(), batch.column("p_words").to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(x) + len(y) - len(np.union1d(x, y))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         mask = pa.array(keep, pa.bool_())
-        return {c: batch.column(c).filter(mask) for c in ("a", "b")}
+        return {"a": batch.column("node").filter(mask), "b": batch.column("pivot").filter(mask)}
 
     return cut(arrow_map(close, verified, "a binary, b binary"))
 
@@ -193,55 +201,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     drawn = cut(_sketched(source.withColumn("row", F.xxhash64("text")), width))
     linkable = drawn.filter("node is not null and id is not null")
-    nodes = cut(linkable.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("regs").alias("regs")))
+    nodes = cut(
+        linkable.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    )
 
-    bands = nodes.select("node", "n", F.posexplode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band", "_"), "regs").select(
-        "node", "n", "band",
+    bands = nodes.select("node", "first", "n", F.posexplode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band", "_"), "regs").select(
+        "node", "first", "n",
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * BAND_REGISTERS) + 1, F.lit(2 * BAND_REGISTERS))).alias("key"),
     )
     shared = membership(bands.groupBy("key").count().filter("count > 1"), ["key"])
-    members = cut(may_contain(bands, ["key"], shared, "_shared").filter("_shared").drop("_shared"))
+    members = cut(may_contain(bands, ["key"], shared, "_shared").filter("_shared").drop("_shared").withColumn("root", F.col("node")))
 
-    firsts = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("id"))
-    wanted = may_contain(source.filter("id is not null"), ["id"], membership(firsts, ["id"]), "_wanted")
+    wanted = may_contain(source.filter("id is not null"), ["id"], membership(members.select(F.col("first").alias("id")), ["id"]), "_wanted")
     sets = cut(_sets(wanted.filter("_wanted").select("text"), width))
+    members = members.drop("first")
 
-    state = cut(nodes.select("node", F.col("node").alias("root")))
-    turn, pivots = 0, 1
+    found, labels, lots = [], None, 1
     while True:
-        # The first round looks at a few bands only: they settle most groups before the others are read.
-        placed = cut((members if turn else members.filter("band < 4")).join(state, "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        placed = cut(salted_join(placed, mixed, ["key"], ["node"]))
-        if turn:
-            if placed.isEmpty():
-                break
-            members = placed.drop("root")
-        sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
-        rarest = F.struct("size", F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n"))
-        lot = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(pivots)).alias("lot")
+        # Nodes that are linked to nothing yet come first: what is left of a bucket is mostly one component.
+        first = F.min(F.struct((F.col("root") != F.col("node")).alias("linked"), F.xxhash64("node", F.lit(lots)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("n").alias("p_n")))
+        lot = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(lots)).alias("lot")
+        per_lot = members.groupBy("key", lot).agg(first.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("weight"))
         chosen = cut(
-            salted_join(placed, sizes, ["key", "root"], ["node"]).groupBy("key", lot).agg(F.min(rarest).alias("p")).select("key", "p.pivot", "p.pivot_root", "p.pivot_n")
+            per_lot.groupBy("key")
+            .agg(F.collect_list("p").alias("ps"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("weight").alias("weight"))
+            .filter("low <> high")
+            .select("key", "ps", "weight")
         )
-        lists = chosen.groupBy("key").agg(F.collect_list(F.struct("pivot", "pivot_root", "pivot_n")).alias("ps"))
-        fits = lambda p: (F.col("root") != p["pivot_root"]) & (100 * F.least("n", p["pivot_n"]) >= percent * F.greatest("n", p["pivot_n"]))
-        met = salted_join(placed, lists, ["key"], ["node"]).select("node", F.explode(F.filter("ps", fits)).alias("p"))
-        pairs = cut(met.select(F.least("node", "p.pivot").alias("a"), F.greatest("node", "p.pivot").alias("b")).distinct())
-        links = _linked(pairs, nodes, sets, percent)
-        members = cut(members.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"))
-        if not links.isEmpty():
-            joined = components(both_ends(links, state, "node").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-            to = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            state = cut(salted_join(state, to, ["root"], ["node"], "left").select("node", F.coalesce("to", "root").alias("root")))
-        turn += 1
-        pivots = 1 if turn < 2 else pivots * 4
-
-    heads = nodes.join(state, "node").groupBy("root").agg(F.min("first").alias("component_id"))
-    settled = salted_join(state, heads, ["root"], ["node"]).select("node", "component_id")
-    placed = salted_join(linkable.select("id", "row", "n", "node"), cut(settled), ["node"], ["id"]).select("id", "row", "n", "component_id")
+        if chosen.isEmpty():
+            break
+        met = cut(spread_join(members, chosen, ["key"], ["node"], "weight"))
+        fits = lambda p: (F.col("root") != p["p_root"]) & (100 * F.least("n", p["p_n"]) >= percent * F.greatest("n", p["p_n"]))
+        pairs = cut(met.select("node", F.explode(F.filter("ps", fits)["pivot"]).alias("pivot")).distinct())
+        found.append(_linked(pairs, nodes, sets, percent))
+        edges = found[0]
+        for more in found[1:]:
+            edges = edges.unionByName(more)
+        labels = cut(components(edges))
+        rest = met.filter(~F.array_contains(F.col("ps")["pivot"], F.col("node"))).select("key", "node", "n")
+        members = cut(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+        lots *= 16
+
+    known = nodes.select("node", "first", "copies", F.col("node").alias("root"))
+    if labels is not None:
+        known = nodes.select("node", "first", "copies").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = cut(known)
+    heads = cut(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("weight")))
+    settled = cut(spread_join(known, heads, ["root"], ["node"], "weight").select("node", "component_id", F.col("copies").alias("weight")))
+    placed = spread_join(linkable.select("id", "row", "n", "node"), settled, ["node"], ["id", "row"], "weight").select("id", "row", "n", "component_id")
     apart = drawn.filter("node is null or id is null").select("id", "row", "n", F.col("id").alias("component_id"))
     return placed.unionByName(apart).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
         F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "row",
     )
-
