@@ -73,7 +73,8 @@ def keywords(scores: DataFrame, cluster: str = "cluster_id", n_words: int = 5) -
 
 
 def extract_topics(
-    df: DataFrame, text: str = "text", cluster: str = "cluster_id", n_words: int = 5, stop_words=STOP_WORDS, keep: str = "a-z"
+    df: DataFrame, text: str = "text", cluster: str = "cluster_id", n_words: int = 5, stop_words=STOP_WORDS, keep: str = "a-z",
+    size: int = VOCABULARY,
 ) -> DataFrame:
-    """X1-X6 in one go."""
-    return keywords(class_tfidf(term_counts(df, text, cluster, stop_words, keep), cluster), cluster, n_words)
+    """X1-X6 in one go; ``size`` is the number of terms in the vocabulary."""
+    return keywords(class_tfidf(term_counts(df, text, cluster, stop_words, keep), cluster, size), cluster, n_words)

@@ -58,20 +58,26 @@ def parameters(n: int, d: int, spec: AnalysisSpec, spark) -> dict:
     return chosen
 
 
+#: Selection methods by name: f(model, outcomes, chosen parameters, sums) -> (importance, penalties or None). Add your own here.
+SELECTION: dict[str, Callable] = {
+    "gbt": lambda model, names, chosen, sums: (importance.boosted(model, names[:2], chosen["n_trees"], chosen["tree_depth"]), None),
+    "lasso": lambda model, names, chosen, sums: importance.regularised(model, names[:2], "lasso", chosen["lasso_alphas"], sums),
+    "ridge": lambda model, names, chosen, sums: importance.regularised(model, names[:2], "ridge", chosen["ridge_alphas"], sums),
+    "mi": lambda model, names, chosen, sums: (importance.binned_mi(model, names), None),
+}
+
+
 def selected(model: DataFrame, names: list[str], spec: AnalysisSpec, chosen: dict, notes: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Importance by every method asked for; lasso and ridge share one set of sums."""
+    if not any(m in SELECTION for m in spec.selection_methods):
+        raise ValueError(f"no known selection method among {list(spec.selection_methods)}; known are {sorted(SELECTION)}")
     shared = gram.gram(model, names[:2])
     imp, alphas = None, None
     for method in spec.selection_methods:
-        if method == "gbt":
-            part, alpha = importance.boosted(model, names[:2], chosen["n_trees"], chosen["tree_depth"]), None
-        elif method in ("lasso", "ridge"):
-            part, alpha = importance.regularised(model, names[:2], method, chosen[f"{method}_alphas"], shared)
-        elif method == "mi":
-            part, alpha = importance.binned_mi(model, names), None
-        else:
+        if method not in SELECTION:
             notes.append(f"unknown selection method '{method}' left out")
             continue
+        part, alpha = SELECTION[method](model, names, chosen, shared)
         imp = part if imp is None else imp.unionByName(part)
         alphas = alpha if alphas is None else alphas.unionByName(alpha) if alpha is not None else alphas
     return cut(imp), alphas
@@ -138,7 +144,7 @@ def analyze(
         tables["control_summary"] = out.control_summary(numbers, controls)
 
     # topics
-    words = cut(topics.extract_topics(texts.join(labels, "id"), spec.text, "cluster_id", spec.n_words))
+    words = cut(topics.extract_topics(texts.join(labels, "id"), spec.text, "cluster_id", spec.n_words, size=spec.vocabulary))
     tables["cluster_sizes"] = clusters.cluster_sizes(base)
     tables["topic_keywords"] = words
     tables["topic_placement"] = clusters.topic_placement(words, clusters.centroids(base, coords=axes), coords=axes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from lexatlas.functions.scalars import fold_of
 from lexatlas.operators import causal, contributions as con, gram, importance as imp, points as pts, ranking
 from lexatlas.operators.vectors import with_controls
 from lexatlas.plans.catalog import query
-from lexatlas.plans.frames import DOCS_SQL, LONG_SQL, POINTS_SQL, docs, final, hash_sql, measured, measured_points, points, rounded_sql
+from lexatlas.plans.frames import DOCS_SQL, LONG_SQL, POINTS_SQL, docs, final, hash_sql, measured, measured_points, points, rounded_sql, t_critical_sql, t_tail_sql
+from lexatlas.session import shared_dir
+from lexatlas.sources import sinks
+from lexatlas.spec import AnalysisSpec
 
 W = "WITH "
 TWO = ["sentence_count", "text_length"]
@@ -66,7 +71,22 @@ def d1(spark, sf):
     return final(causal.naive_ols(docs(spark, sf), PAIRS, inference=False))
 
 
-@query("d1_naive_inference")
+def _naive(t: str, y: str) -> str:
+    return f"""SELECT '{t}' AS treatment, '{y}' AS outcome, count(*) AS n, regr_slope({y}, {t}) AS theta, regr_sxx({y}, {t}) AS sxx,
+      regr_syy({y}, {t}) AS syy, corr({y}, {t}) AS correlation FROM docs"""
+
+
+@query(
+    "d1_naive_inference",
+    rounded_sql(
+        "theta se correlation r2 t_stat p_value ci_lower ci_upper",
+        W + DOCS_SQL + ", s AS (" + " UNION ALL ".join(_naive(t, y) for t, y in causal.ordered_pairs(THREE)) + f"""),
+        e AS (SELECT *, sqrt((syy - theta * theta * sxx) / (n - 2) / sxx) AS se FROM s)
+        SELECT treatment, outcome, n, theta, se, correlation, correlation ** 2 AS r2, theta / se AS t_stat,
+          {t_tail_sql("(theta / se)", "(n - 2.0)")} AS p_value,
+          theta - {t_critical_sql("(n - 2.0)")} * se AS ci_lower, theta + {t_critical_sql("(n - 2.0)")} * se AS ci_upper FROM e""",
+    ),
+)
 def d1b(spark, sf):
     return final(causal.naive_ols(docs(spark, sf), causal.ordered_pairs(THREE)))
 
@@ -147,7 +167,10 @@ def d2(spark, sf):
     return final(causal.estimate(_rows(spark, sf)).where("not cv").select("variant", "treatment", "outcome", "theta", "se"))
 
 
-@query("d7_dml_p_value")
+@query(
+    "d7_dml_p_value",
+    rounded_sql("theta se corr_resid corr_pred ci_lower ci_upper t_stat p_value", W + _EST + f" SELECT *, {t_tail_sql('t_stat', '(n - 2.0)')} AS p_value FROM est"),
+)
 def d7(spark, sf):
     return final(causal.estimate(_rows(spark, sf), n_features=1))
 
@@ -182,12 +205,13 @@ def d10(spark, sf):
     return final(causal.naive_ols(docs(spark, sf), causal.ordered_pairs(THREE), inference=False).select("treatment", "outcome", "theta", "r2"))
 
 
-@query("d14_residual_identity", W + _FOLDED + " SELECT count(*) AS n, count(*) AS n_exact FROM f")
+@query("d14_from_saved_rows", rounded_sql("theta se", W + _EST + " SELECT variant, treatment, outcome, cv, n, theta, se FROM est"))
 def d14(spark, sf):
-    p = _pred(spark, sf)
-    rows = causal.residual_rows(p, PAIRS, "n_words", "id").where("cv").select("id", "resid_outcome", "pred_outcome")
-    gap = F.abs(F.col("text_length") - F.col("pred_outcome") - F.col("resid_outcome"))
-    return p.select("id", "text_length").join(rows, "id").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < 1e-9).alias("n_exact"))
+    """The residual rows are exported, read back without anything else, and give the estimates again."""
+    path = f"{shared_dir(spark)}/lexatlas-query-{uuid.uuid4().hex}"
+    sinks.export_tables({"dml_rows": _rows(spark, sf)}, path, AnalysisSpec(), counts=False)
+    saved = spark.read.parquet(f"{path}/{sinks.folder_of('dml_rows')}/dml_rows").withColumn("cv", F.col("cv").cast("boolean"))
+    return final(causal.estimate(saved).select("variant", "treatment", "outcome", "cv", "n", "theta", "se"))
 
 
 @query("u1_summary_union", rounded_sql("theta se", W + _EST + """, nv AS (SELECT regr_slope(text_length, sentence_count) AS theta, regr_sxx(text_length, sentence_count) AS sxx,

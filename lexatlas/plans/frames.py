@@ -106,3 +106,20 @@ def rounded_sql(columns: str, inner: str, digits: int = 6) -> str:
         return inner
     parts = ", ".join(f"(round({c}::DOUBLE, {digits}) + 0.0)::DOUBLE AS {c}" for c in columns.split())
     return f"SELECT * REPLACE ({parts}) FROM ({inner}) AS _t"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    """P(|T| >= |t|): the density with t = sqrt(df) tan(angle), integrated over the angle by Simpson's rule."""
+    low = f"atan(abs({t}) / sqrt({df}))"
+    step = f"((least(pi() / 2, {low} + 60 / sqrt({df})) - {low}) / 4000)"
+    height = f"cos(least(pi() / 2, {low} + k * {step})) ** ({df} - 1)"
+    weight = "CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, 4001), lambda k: ({weight}) * {height})) * {step} / 3"
+    return f"(2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {area})"
+
+
+def t_critical_sql(df: str) -> str:
+    """97.5 % point of Student's t by the Cornish-Fisher series, for df in the hundreds and more."""
+    z = "1.959963984540054"
+    return f"""({z} + ({z} ** 3 + {z}) / (4 * {df}) + (5 * {z} ** 5 + 16 * {z} ** 3 + 3 * {z}) / (96 * {df} ** 2)
+      + (3 * {z} ** 7 + 19 * {z} ** 5 + 17 * {z} ** 3 - 15 * {z}) / (384 * {df} ** 3))"""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexatlas.operators import clusters, density, encode, layout, neighbours, points as pts, ranking, reduce
+from lexatlas.operators import categories, clusters, density, encode, layout, neighbours, points as pts, ranking, reduce
 from lexatlas.operators.outcomes import thresholds
 from lexatlas.plans.catalog import query
 from lexatlas.plans.frames import LENGTH, POINTS_SQL, SENTENCES, docs, final, points, rounded_sql, table
@@ -109,15 +109,31 @@ def r4(spark, sf):
     return final(ranking.long_view(reduce.Reduction.load(spark, path).transform(v, "embedding"), "id", "pc"))
 
 
-@query("e1_embed_documents")
+@query("e1_embed_documents", "SELECT doc_id AS id, true AS embed_ok, 64::INTEGER AS dim FROM documents")
 def e1(spark, sf):
     e = encode.embed(docs(spark, sf).select("id", "text"), 64, prefix=encode.PREFIXES["passage"])
     return final(e.select("id", "embed_ok", F.size("embedding").alias("dim")))
 
 
-@query("e2_embed_failures", "SELECT count(*) AS n, 0::BIGINT AS n_failed, 0.0::DOUBLE AS failed_share FROM documents")
+def _no_digits():
+    """An encoder that refuses every batch with a digit in it."""
+    inner = encode.hashing_encoder(64)()
+
+    def refuse(texts):
+        if any(c in t for t in texts for c in "0123456789"):
+            raise ValueError("digit")
+        return inner(texts)
+
+    return refuse
+
+
+@query(
+    "e2_embed_failures",
+    rounded_sql("failed_share", """SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '[0-9]')) AS n_failed,
+      count(*) FILTER (regexp_matches(text, '[0-9]')) / count(*)::DOUBLE AS failed_share FROM documents"""),
+)
 def e2(spark, sf):
-    return final(encode.failure_summary(encode.embed(docs(spark, sf).select("id", "text"), 32)))
+    return final(encode.failure_summary(encode.embed(docs(spark, sf).select("id", "text"), 64, _no_digits)))
 
 
 @query("s5_vector_roundtrip", rounded_sql("total", "SELECT vec_id AS id, list_sum(list_transform(embedding, lambda a: a::DOUBLE)) AS total FROM embeddings"))
@@ -148,11 +164,32 @@ def s8(spark, sf):
     return status.select("table", "ok")
 
 
-@query("s9_manifest", "SELECT count(*) AS rows FROM documents")
+@query("s9_manifest", "SELECT count(*) AS rows, 'review_id' AS id, 'true' AS exclude_text, '7' AS n_clusters, true AS dated FROM documents")
 def s9(spark, sf):
     path = _fresh(spark)
-    sinks.write_manifest(spark, path, AnalysisSpec(), readers.row_count(table(spark, sf, "documents")))
-    return spark.read.json(f"{path}/manifest").select("rows")
+    spec = AnalysisSpec(id="review_id", exclude_text=True)
+    sinks.write_manifest(spark, path, spec, readers.row_count(table(spark, sf, "documents")), {"n_clusters": 7})
+    held = lambda column, key: F.get_json_object(column, f"$.{key}").alias(key)
+    row = spark.read.json(f"{path}/manifest")
+    return row.select("rows", held("spec", "id"), held("spec", "exclude_text"), held("chosen", "n_clusters"), F.col("created").rlike(r"^\d{4}-\d\d-\d\dT").alias("dated"))
+
+
+@query("p7_export_has_no_raw_ids", "SELECT doc_id AS id, 0::BIGINT AS n FROM documents WHERE false")
+def p7_export(spark, sf):
+    """Ids of documents found in any column of an anonymised export: none."""
+    d = points(spark, sf).withColumn("category", F.col("lang"))
+    order = cut(categories.browse_order(d.select("id", "category", "x", "y", "z")))
+    tables = {"points": pts.flat(d.select("id", "category", "x", "y")), "browse_order": categories.browse_neighbours(order), "documents": table(spark, sf, "documents")}
+    path = _fresh(spark)
+    sinks.export_tables(tables, path, AnalysisSpec(id="doc_id", exclude_text=True, anonymize_ids=True), counts=False)
+    found = None
+    for name in tables:
+        df = spark.read.parquet(f"{path}/{sinks.folder_of(name)}/{name}")
+        cells = F.array(*[F.col(c).cast("string") for c, t in df.dtypes if c.endswith("id") and c != "cluster_id"])
+        part = df.select(F.explode(cells).alias("id"))
+        found = part if found is None else found.unionByName(part)
+    ids = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return found.join(ids, "id").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s11_state_roundtrip", "SELECT count(*) AS n, sum(quality)::BIGINT AS quality FROM labels")

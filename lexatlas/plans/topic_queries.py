@@ -8,7 +8,9 @@ from lexatlas.functions.scalars import gather, narrow, wide
 from lexatlas.functions.text import STOP_WORDS, URL_PATTERN, clean_text
 from lexatlas.operators import clusters, effects, ranking, topics, vectors
 from lexatlas.plans.catalog import query
-from lexatlas.plans.frames import DIGITS, DOCS_SQL, LENGTH, LONG_SQL, POINTS_SQL, SENTENCES, docs, final, measured_points, points, rounded_sql, table
+from lexatlas.plans.frames import (
+    DIGITS, DOCS_SQL, LENGTH, LONG_SQL, POINTS_SQL, SENTENCES, docs, final, measured_points, points, rounded_sql, t_tail_sql, table,
+)
 from lexatlas.spec import Outcome
 
 W = "WITH "
@@ -94,11 +96,11 @@ def a13(spark, sf):
 
 @query(
     "k1_largest_topics",
-    "SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY label ORDER BY size DESC, label LIMIT 5",
+    "SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY label",
 )
 def k1(spark, sf):
     sizes = clusters.cluster_sizes(table(spark, sf, "embeddings").select(F.col("label").alias("cluster_id")))
-    return sizes.select("cluster_id", "size").orderBy(F.col("size").desc(), "cluster_id").limit(5)
+    return sizes.select("cluster_id", "size").orderBy(F.col("size").desc(), "cluster_id")
 
 
 @query(
@@ -318,9 +320,12 @@ def k3(spark, sf):
     return effects.topic_associations(measured_points(spark, sf), "embedding").select("pc", "topic_id", "rank")
 
 
-@query("t1_association_p_values")
+@query(
+    "t1_association_p_values",
+    rounded_sql("t_statistic p_value", W + _ASSOC + f" SELECT pc, topic_id, t_statistic, {t_tail_sql('t_statistic', 'welch_df')} AS p_value FROM a"),
+)
 def t1(spark, sf):
-    return effects.topic_associations(measured_points(spark, sf), "embedding").select("pc", "topic_id", "t_statistic", "p_value")
+    return final(effects.topic_associations(measured_points(spark, sf), "embedding").select("pc", "topic_id", "t_statistic", "p_value"))
 
 
 _GROUPS = LONG_SQL + ", t AS (SELECT pc, sum(value) AS total, count(*) AS n FROM long GROUP BY pc)"

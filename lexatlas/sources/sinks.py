@@ -23,6 +23,8 @@ FOLDERS = {
     "06_components": ("pc_effects", "extreme_table", "pc_correlations", "topic_associations"),
     "07_points": ("points", "category_labels", "category_counts", "thresholds", "browse_order"),
 }
+#: Columns that hold ids of documents, beside the id column of the input.
+ID_COLUMNS = ("id", "previous_id", "next_id")
 PARTITIONED = {"dml_rows": ("variant", "cv")}
 
 
@@ -31,11 +33,11 @@ def folder_of(table: str) -> str:
 
 
 def private(df: DataFrame, id_col: str, exclude_text: bool, anonymize: bool, text: str = "text") -> DataFrame:
-    """P6/P7 on a result table: the same key for an id in every table."""
+    """P6/P7 on a result table: the same key for an id in every table and column that holds one."""
     if exclude_text and text in df.columns:
         df = df.drop(text)
-    if anonymize and id_col in df.columns:
-        df = df.withColumn(id_col, anonymous_key(id_col))
+    if anonymize:
+        df = df.withColumns({c: anonymous_key(c) for c in dict.fromkeys((id_col, *ID_COLUMNS)) if c in df.columns})
     return df
 
 
@@ -59,8 +61,7 @@ def export_tables(
     for name, df in tables.items():
         target = f"{path}/{folder_of(name)}/{name}"
         try:
-            id_col = spec.id if spec.id in df.columns else "id"
-            out = private(df, id_col, spec.exclude_text, spec.anonymize_ids, spec.text)
+            out = private(df, spec.id, spec.exclude_text, spec.anonymize_ids, spec.text)
             writer = (_csv_ready(out) if fmt == "csv" else out).write.mode("overwrite")
             if name in PARTITIONED:
                 writer = writer.partitionBy(*PARTITIONED[name])
@@ -68,7 +69,7 @@ def export_tables(
             rows = spark.read.parquet(target).count() if counts and fmt == "parquet" else None
             status.append((name, folder_of(name), True, None, rows))
         except Exception as e:  # noqa: BLE001 - recorded in the status table
-            status.append((name, folder_of(name), False, f"{type(e).__name__}: {str(e)[:500]}", None))
+            status.append((name, folder_of(name), False, f"{type(e).__name__}: {e}", None))
     table = spark.createDataFrame(status, "table string, folder string, ok boolean, error string, rows bigint")
     table.write.mode("overwrite").parquet(f"{path}/status")
     return table

@@ -90,6 +90,7 @@ class AnalysisSpec:
     min_samples: int | None = None
     # topic words
     n_words: int = 5
+    vocabulary: int = 1000
     # component selection
     selection_methods: tuple[str, ...] = ("gbt", "lasso", "ridge", "mi")
     primary_method: str = "gbt"
