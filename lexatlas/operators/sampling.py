@@ -6,24 +6,45 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lexatlas.functions.scalars import fold_of, id_hash, ratio
 from lexatlas.operators.ranking import decile_bins, row_positions
+from lexatlas.session import cut
 from lexatlas.spec import AnalysisSpec
 
-SMALL_SAMPLE = 100_000  # up to here a top-n heap per task is cheaper than ranking all rows
-HASH_CELLS = 10  # the 60-bit hash is uniform: its top 10 bits cut any stratum into 1,024 even cells
+HASH_BITS = 60  # of the id hash
+CELL_BITS = 20  # its top bits cut a group of any size into about a million even cells
+#: Strata whose cut-offs are broadcast; with more of them they are joined by shuffle.
+BROADCAST_STRATA = 100_000
 
 
 def hash_positions(df: DataFrame, groups: list[str], id_col: str, seed: int) -> DataFrame:
     """Adds ``position``: 1-based place of the row in its group by (hash, id)."""
     hashed = df.withColumn("_h", id_hash(id_col, seed))
-    cell = F.shiftright("_h", 60 - HASH_CELLS)
-    return row_positions(hashed, groups, cell, ["_h", id_col]).drop("_h")
+    return row_positions(hashed, groups, F.shiftright("_h", HASH_BITS - CELL_BITS), ["_h", id_col]).drop("_h")
+
+
+def first_by_hash(df: DataFrame, allocated: DataFrame, group: str, id_col: str, seed: int) -> DataFrame:
+    """The first ``allocated`` rows of every group by (hash, id); ``allocated`` is (group, allocated), groups are not null.
+
+    Counts per cell of the hash tell the cell in which a group's quota ends. Rows in earlier cells are
+    taken by a filter, and only the rows of that one cell are put in order, so hardly a row moves.
+    """
+    columns = df.columns
+    hashed = df.withColumn("_h", id_hash(id_col, seed)).withColumn("_cell", F.shiftright("_h", HASH_BITS - CELL_BITS))
+    counts = hashed.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    # At most 2^CELL_BITS rows per group.
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(group).orderBy("_cell")))
+    ends = upto.join(allocated, group).where("_upto - _n < allocated and allocated <= _upto")
+    edge = cut(ends.select(group, F.col("_cell").alias("_edge"), (F.col("allocated") - F.col("_upto") + F.col("_n")).alias("_need")))
+    near = hashed.join(F.broadcast(edge) if edge.count() <= BROADCAST_STRATA else edge, group)
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_h", id_col))
+    last = near.where("_cell = _edge").withColumn("_place", place).where("_place <= _need")
+    return near.where("_cell < _edge").select(*columns).unionByName(last.select(*columns))
 
 
 def uniform_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    if n <= SMALL_SAMPLE:
-        return df.withColumn("_h", id_hash(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
-    return hash_positions(df, [], id_col, seed).where(F.col("position") <= n).drop("position")
+    everyone = F.lit(0).alias("_all")
+    quota = df.agg(F.least(F.lit(n), F.count(F.lit(1))).cast("bigint").alias("allocated")).select(everyone, "allocated")
+    return first_by_hash(df.withColumn("_all", F.lit(0)), quota, "_all", id_col, seed).drop("_all")
 
 
 def allocation(df: DataFrame, stratum: str, n: int) -> DataFrame:
@@ -31,22 +52,17 @@ def allocation(df: DataFrame, stratum: str, n: int) -> DataFrame:
 
     One row per stratum; a null stratum counts as one of its own.
     """
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    want = F.least(F.lit(n), total)
-    exact = F.try_divide(F.col("size") * want, total.cast("double"))
-    w = Window.partitionBy(F.lit(0))
-    by_rest = w.orderBy(F.col("_rest").desc(), F.col(stratum).asc_nulls_first())
-    return (
-        sizes.withColumn("_whole", F.floor(exact))
-        .withColumn("_rest", F.round(exact - F.floor(exact), 9))
-        .withColumn("_left", want - F.sum("_whole").over(w))
-        .withColumn("_turn", F.row_number().over(by_rest))
-        .select(
-            stratum,
-            "size",
-            (F.col("_whole") + F.when(F.col("_turn") <= F.col("_left"), 1).otherwise(0)).cast("bigint").alias("allocated"),
-        )
+    sizes = cut(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("size")))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    want = min(n, total)
+    exact = F.try_divide(F.col("size") * F.lit(want), F.lit(float(total)))
+    shares = cut(sizes.withColumn("_whole", F.floor(exact)).withColumn("_rest", F.round(exact - F.floor(exact), 9)))
+    left = want - (shares.agg(F.sum("_whole")).first()[0] or 0)
+    # Remainders lie in [0, 1]: their millionths are cells, so any number of strata is put in order in parts.
+    cell = F.floor((1 - F.col("_rest")) * 1_000_000)
+    turn = row_positions(shares, [], cell, [F.col("_rest").desc(), F.col(stratum).asc_nulls_first()], "_turn")
+    return turn.select(
+        stratum, "size", (F.col("_whole") + F.when(F.col("_turn") <= left, 1).otherwise(0)).cast("bigint").alias("allocated")
     )
 
 
@@ -54,9 +70,8 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, id_col: str = "id", s
     """Exactly ``n`` rows, proportional over the strata."""
     # A struct is never null, so a null stratum joins like any other.
     key = F.struct(F.col(stratum).alias("s")).alias("_key")
-    alloc = allocation(df, stratum, n).select(key, "allocated")
-    placed = hash_positions(df.withColumn("_key", key), ["_key"], id_col, seed)
-    return placed.join(alloc, "_key").where(F.col("position") <= F.col("allocated")).drop("_key", "allocated", "position")
+    quota = allocation(df, stratum, n).select(key, "allocated")
+    return first_by_hash(df.withColumn("_key", key), quota, "_key", id_col, seed).drop("_key")
 
 
 def stratum_plan(df: DataFrame, spec: AnalysisSpec) -> tuple[DataFrame, str | None]:
