@@ -13,9 +13,9 @@ from lexatlas.llm.common import arrow_map, join_sparse, may_contain, membership,
 from lexatlas.session import cut
 
 #: A chunk closes at the first boundary that is this many words after its start.
-MIN_WORDS = 20
+MIN_WORDS = 25
 #: One of so many word starts is a boundary on average.
-WORDS_PER_BOUNDARY = 4
+WORDS_PER_BOUNDARY = 3
 
 _GEAR = np.random.default_rng(20240302).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = np.zeros(256, bool)
