@@ -68,22 +68,68 @@ def r5b(spark, sf):
 
 @query("r5_layout")
 def r5(spark, sf):
-    return final(layout.layout(_vectors(spark, sf), "embedding", "id", 3, 10, iterations=10))
+    return final(layout.layout(_vectors(spark, sf), "embedding", "id", 3, 10))
 
 
 @query("c1_density_clusters")
 def c1(spark, sf):
-    v = _vectors(spark, sf).select("id", F.slice("embedding", 1, 3).alias("v"))
-    return density.density_clusters(v, "id", "v", 10, 3)
+    return density.density_clusters(_vectors(spark, sf).withColumnRenamed("embedding", "v"), "id", "v", 10, 3)
 
 
 @query("r2_component_scores")
 def r2(spark, sf):
     v = _vectors(spark, sf)
-    fitted = reduce.fit_reduction(v, "embedding", 10)
+    fitted = reduce.fit_reduction(v, "embedding")
     return final(ranking.long_view(fitted.transform(v, "embedding"), "id", "pc"))
 
 
+_Z = """l AS (SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+  s AS (SELECT d, avg(x) AS m, stddev_pop(x) AS sd FROM l GROUP BY d),
+  z AS (SELECT id, d, CASE WHEN sd > 0 THEN (x - m) / sd ELSE 0 END AS z FROM l JOIN s USING (d))"""
+
+
+@query("r2_score_norms", rounded_sql("norm", W + _Z + " SELECT id, sum(z * z) AS norm FROM z GROUP BY id"))
+def r2c(spark, sf):
+    """All components are a rotation of the standardised vector: the squared length of every row stays."""
+    v = _vectors(spark, sf)
+    scores = reduce.fit_reduction(v, "embedding").transform(v, "embedding")
+    return final(scores.select("id", F.aggregate("pc", F.lit(0.0), lambda s, x: s + x * x).alias("norm")))
+
+
+@query(
+    "a17_variance_moments",
+    rounded_sql("total squares cubes", W + _Z + """, c AS (SELECT a.d AS i, b.d AS j, sum(a.z * b.z) AS v FROM z a JOIN z b USING (id) GROUP BY 1, 2),
+      t AS (SELECT sum(v) AS total FROM c WHERE i = j)
+      SELECT 1.0::DOUBLE AS total, (SELECT sum(v * v) FROM c) / total ** 2 AS squares,
+        (SELECT sum(a.v * b.v * e.v) FROM c a JOIN c b ON a.j = b.i JOIN c e ON b.j = e.i AND e.j = a.i) / total ** 3 AS cubes FROM t"""),
+)
+def a17b(spark, sf):
+    """Sums of powers of the variance ratios are traces of powers of the covariance."""
+    v = F.col("variance")
+    var = reduce.fit_reduction(_vectors(spark, sf), "embedding").variance_table(spark)
+    return final(var.agg(F.sum(v).alias("total"), F.sum(v * v).alias("squares"), F.sum(v * v * v).alias("cubes")))
+
+
+@query("r3_orthonormal", "SELECT a.i::INTEGER AS a, b.i::INTEGER AS b, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS dot FROM (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS i) a, (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS i) b")
+def r3b(spark, sf):
+    """Products of the loadings of every two components."""
+    rows = reduce.fit_reduction(_vectors(spark, sf), "embedding").loadings_table(spark)
+    other = rows.select("dim", F.col("pc").alias("b"), F.col("loading").alias("_other"))
+    return final(rows.join(other, "dim").groupBy(F.col("pc").alias("a"), "b").agg(F.sum(F.col("loading") * F.col("_other")).alias("dot")))
+
+
+@query("r4_saved_equals_fitted", "SELECT vec_id AS id, len(embedding)::BIGINT AS equal FROM embeddings")
+def r4b(spark, sf):
+    """Components of every row that the saved and reloaded model scores as the fitted one does."""
+    v = _vectors(spark, sf)
+    path = _fresh(spark)
+    fitted = reduce.fit_reduction(v, "embedding")
+    fitted.save(spark, path)
+    scored = reduce.Reduction.load(spark, path).transform(fitted.transform(v, "embedding", "first"), "embedding", "second")
+    same = F.filter(F.zip_with("first", "second", lambda x, y: F.abs(x - y) < 1e-9), lambda b: b)
+    return scored.select("id", F.size(same).cast("bigint").alias("equal"))
+
+
 @query("a17_explained_variance")
 def a17(spark, sf):
     return final(reduce.fit_reduction(_vectors(spark, sf), "embedding", 200).variance_table(spark))
@@ -98,14 +144,14 @@ def r2b(spark, sf):
 
 @query("r3_loadings")
 def r3(spark, sf):
-    return final(reduce.fit_reduction(_vectors(spark, sf), "embedding", 10).loadings_table(spark))
+    return final(reduce.fit_reduction(_vectors(spark, sf), "embedding").loadings_table(spark))
 
 
 @query("r4_transform_saved_model")
 def r4(spark, sf):
     v = _vectors(spark, sf)
     path = _fresh(spark)
-    reduce.fit_reduction(v, "embedding", 5).save(spark, path)
+    reduce.fit_reduction(v, "embedding").save(spark, path)
     return final(ranking.long_view(reduce.Reduction.load(spark, path).transform(v, "embedding"), "id", "pc"))
 
 

@@ -504,13 +504,11 @@ def j6(spark, sf):
 
 @query(
     "s2_preview_profile",
-    """WITH d AS (SELECT lang, source FROM documents)
-      SELECT 'lang' AS "column", count(*) AS rows, count(DISTINCT lang) AS n_unique FROM d
-      UNION ALL SELECT 'source', count(*), count(DISTINCT source) FROM d""",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS n_unique FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
 )
 def s2(spark, sf):
-    """Detection over the whole table instead of a preview."""
-    return profiling.column_profile(table(spark, sf, "documents").select("lang", "source")).select("column", "rows", "n_unique")
+    """Detection over the whole table, all columns, instead of a preview."""
+    return profiling.column_profile(table(spark, sf, "documents")).select("column", "rows", "n_unique")
 
 
 @query(

@@ -360,11 +360,17 @@ def j10(spark, sf):
     )
 
 
-@query("p19_wide_columns", rounded_sql("emb_0 emb_1 emb_2", "SELECT vec_id AS id, embedding[1] AS emb_0, embedding[2] AS emb_1, embedding[3] AS emb_2 FROM embeddings"))
+_DIM = 64  # of the vectors in the table
+
+
+@query(
+    "p19_wide_columns",
+    rounded_sql(" ".join(f"emb_{i}" for i in range(_DIM)), "SELECT vec_id AS id, " + ", ".join(f"embedding[{i + 1}] AS emb_{i}" for i in range(_DIM)) + " FROM embeddings"),
+)
 def p19(spark, sf):
-    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *wide("embedding", 3, "emb_"))
-    back = e.select("id", narrow("emb_", 3).alias("v"))
-    return final(back.select("id", *wide("v", 3, "emb_")))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *wide("embedding", _DIM, "emb_"))
+    back = e.select("id", narrow("emb_", _DIM).alias("v"))
+    return final(back.select("id", *wide("v", _DIM, "emb_")))
 
 
 @query(
