@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexatlas.operators.neighbours import BLOCK, Index, build_index, distances, meet, point_neighbours, visits
 from lexatlas.session import cut
 
-SMALL_GRAPH = 200_000  # edges or components up to here are finished by one task or the driver
+#: Edges or components that one task or the driver may finish. 0: all sizes take the distributed path.
+SMALL_GRAPH = 0
 MAX_SEEDS = 2_000_000  # seeds whose tree the driver may hold (about 200 MB)
 NEAR_ZERO = 1e-10  # smallest distance used for a density
 NOISE = -1
@@ -280,13 +281,16 @@ def seeds(tree: DataFrame, sizes: DataFrame, size: int, small_graph: int = SMALL
         )
         state = cut(state.drop("_back"))
         follow = state.select("comp", F.col("other").alias("at"), "state")
-        for _ in range(3):  # eight hops along chains of small components
+        while True:  # along chains of small components, twice as far each time
             nxt = follow.select(F.col("comp").alias("at"), F.col("at").alias("_at"), F.col("state").alias("_s"))
             follow = follow.join(nxt, "at", "left").select(
                 "comp",
                 F.when((F.col("state") == "open") & F.col("_s").isin("seed", "open"), F.col("_at")).otherwise(F.col("at")).alias("at"),
                 F.when(F.col("state") == "open", F.coalesce("_s", F.col("state"))).otherwise(F.col("state")).alias("state"),
             )
+            follow = cut(follow)
+            if follow.where("state = 'open'").limit(1).count() == 0:
+                break
         absorbed = follow.where("state = 'seed'").select("comp", "at").join(state.select("comp", "w"), "comp")
         total = F.col("size") + F.col("_os")
         merged = state.where("state = 'pair'").select(
