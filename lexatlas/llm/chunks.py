@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lexatlas.llm.common import arrow_map, join_sparse, may_contain, membership, salted_join
+from lexatlas.llm.common import arrow_map, join_sparse, may_contain, membership, spread_join
 from lexatlas.session import cut
 
 #: A chunk closes at the first boundary that is this many words after its start.
@@ -94,8 +94,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = membership(_chunks(source.select("text"), min_words, False).groupBy("digest").count().filter("count > 1"), ["digest"])
     all_chunks = _chunks(source.withColumn("row", F.xxhash64("text")), min_words, True)
     held = cut(may_contain(all_chunks, ["digest"], twice, "_twice").filter("_twice").drop("_twice"))
-    first = held.groupBy("digest", "digest2").agg(F.min(F.struct("id", "start", "row")).alias("keep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    same = salted_join(held, first, ["digest", "digest2"], ["id", "start"])
+    first = held.groupBy("digest", "digest2").agg(F.min(F.struct("id", "start", "row")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    same = spread_join(held, cut(first), ["digest", "digest2"], ["id", "start"], "n")
     later = same.filter("not (id = keep.id and start = keep.start and row = keep.row)")
     return later.select(F.col("id").alias(id_col), "row", "start", "end", F.col("keep.id").alias("keep_id"), F.col("keep.start").alias("keep_start"))
 
