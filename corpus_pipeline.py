@@ -16,7 +16,7 @@ from lexatlas.llm.setsketch import near_duplicates
 from lexatlas.session import shared_dir
 
 #: A text whose best cosine is below this is of no language that the table teaches.
-LEAST_COSINE = 0.1
+LEAST_COSINE = 0.03
 
 
 def _document() -> Column:

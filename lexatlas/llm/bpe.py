@@ -19,7 +19,7 @@ from lexatlas.llm.common import arrow_map
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Scripts whose newest letters the two libraries class by different Unicode versions.
 NEWER_SCRIPTS = "[԰-῿⁰-\U0010ffff]"
-PIECES_KEPT, PIECE_KEPT_CHARS = 1 << 18, 64
+PIECES_KEPT, PIECE_KEPT_CHARS = 1 << 17, 64
 
 
 def byte_letters() -> dict[str, int]:

@@ -18,11 +18,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
-#: A measure is out of band this many interquartile ranges beyond the quartiles of its language.
-FENCE = 5.0
+#: A measure of a long text is out of band this many interquartile ranges beyond the quartiles of its language.
+FENCE = 4.0
+#: Means over few words vary more: the margin of a text of n words is 1 + SHORT / sqrt(n) times that of a long one.
+SHORT = 8.0
 #: Interquartile ranges below this are widened to it, so that languages with very even texts keep a band.
 LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.01, "token_entropy": 0.02}
-WORDS_KEPT = 1 << 17
+WORDS_KEPT, CHARS_KEPT = 1 << 17, 1 << 24
 
 # First characters of the scripts' blocks.
 SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x3040, "cjk"), (0xFB00, "other"))
@@ -51,17 +53,19 @@ class Vocabulary:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.chars = 0
         self.ids: list[np.ndarray] = []
         self.lengths = np.empty(1 << 12, np.int64)
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > WORDS_KEPT:
+        if len(self.number) > WORDS_KEPT or self.chars > CHARS_KEPT:
             self.forget()
         out = [self.number.get(w, -1) for w in words]
         fresh = [w for w in dict.fromkeys(w for w, n in zip(words, out) if n < 0)] if -1 in out else []
         if fresh:
             for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1)):
                 at = self.number[w] = len(self.ids)
+                self.chars += len(w)
                 if at >= len(self.lengths):
                     self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
                 self.ids.append(np.array(ids, np.int32))
@@ -147,7 +151,7 @@ def fertility_rules(
     Each word is cut by the vocabulary. chars_per_token, byte_share (tokens that are single bytes) and
     token_entropy (over its largest possible value) are compared with the band of the document's language,
     or of its script where the language is null: the quartiles over all documents of the group that pass
-    the base rules, widened by ``fence`` interquartile ranges. rejected_by names the measures out of band;
+    the base rules, widened by ``fence`` interquartile ranges, and by more for short texts. rejected_by names the measures out of band;
     kept needs none and no base failure.
 
     Rows that repeat are measured alike; null ids stay null; no rows give no rows; other columns are not read.
@@ -167,7 +171,7 @@ def fertility_rules(
     out_of_band = []
     for m in MEASURES:
         q = F.col(f"q_{m}")
-        margin = fence * F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD[m]))
+        margin = fence * (1 + SHORT / F.sqrt(F.greatest("n_words", F.lit(1)))) * F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD[m]))
         out_of_band.append(F.when((F.col(m) < q[0] - margin) | (F.col(m) > q[1] + margin), F.lit(m)))
     named = placed.withColumn("rejected_by", F.array_compact(F.array(*out_of_band)))
     return named.select(

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from lexatlas.llm.common import arrow_map, text_bytes
 from lexatlas.session import cut
 
-WORDS_KEPT, WORD_KEPT_BYTES = 1 << 19, 64
+WORDS_KEPT, WORD_KEPT_BYTES = 1 << 18, 64
 
 
 class WordIds(dict):

@@ -48,21 +48,22 @@ def labellers(text: str) -> dict[str, Column]:
 
 
 def em_posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, the labellers' vote chances (labeller, class, vote) and the share of good.
+    """Posterior of good for each vote pattern, the labellers' vote chances among their votes (labeller, class, vote) and the share of good.
 
-    Labellers are taken as independent given the class. Starts from the majority of votes and stops when
+    Labellers are taken as independent given the class, and having no opinion as no evidence. Starts from the majority of votes and stops when
     the mean log-likelihood gains less than ``tolerance``.
     """
     total = counts.sum()
     for_, against = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
     good = (for_ + 1.0) / (for_ + against + 2.0)
-    before, chances, share = -np.inf, np.full((patterns.shape[1], 2, 3), 1 / 3), 0.5
+    before, chances, share = -np.inf, np.ones((patterns.shape[1], 2, 3)), 0.5
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good])
         share = (weight[1].sum() + 1) / (total + 2)
         for k in range(patterns.shape[1]):
-            for vote in (BAD, GOOD, ABSTAIN):
-                chances[k, :, vote] = (weight[:, patterns[:, k] == vote].sum(axis=1) + 0.1) / (weight.sum(axis=1) + 0.3)
+            voting = weight[:, patterns[:, k] != ABSTAIN].sum(axis=1)
+            for vote in (BAD, GOOD):
+                chances[k, :, vote] = (weight[:, patterns[:, k] == vote].sum(axis=1) + 0.1) / (voting + 0.2)
         logs = np.log([[1 - share], [share]]) + sum(np.log(chances[k][:, patterns[:, k]]) for k in range(patterns.shape[1]))
         peak = logs.max(axis=0)
         seen = np.exp(logs - peak)
