@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable
@@ -17,14 +19,17 @@ from tokenizers import Tokenizer
 from lexatlas.llm.common import arrow_map, text_bytes
 from lexatlas.session import cut
 
-WORDS_KEPT, WORD_KEPT_BYTES = 1 << 18, 64
+WORDS_KEPT, WORD_KEPT_BYTES = 1 << 19, 64
+#: Punctuation that ends a word of ASCII letters and digits is a piece of its own for the tokenizer, too.
+LAST_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[ \t\n\x0b\x0c\r]|$)")
 
 
 class WordIds(dict):
     """Ids of the words of a text, as little-endian unsigned 32-bit numbers, from a tokenizer file.
 
-    For tokenizers that drop white space and never join across it, so that the ids of a text are those of
-    its words in turn. Forgets all when full and never keeps long words.
+    For tokenizers that lower-case, drop white space, never join across it and keep punctuation apart from
+    letters, so that the ids of a text are those of its words and last marks in turn. Forgets all when full and
+    never keeps long words.
     """
 
     def __init__(self, path: str):
@@ -34,7 +39,8 @@ class WordIds(dict):
         self.tokenizer.no_padding()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= WORD_KEPT_BYTES:
             if len(self) >= WORDS_KEPT:
                 self.clear()
@@ -42,7 +48,9 @@ class WordIds(dict):
         return ids
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if b"<|" not in text:  # special tokens are told apart by case
+            text = text.lower()
+        return b"".join(map(self.__getitem__, LAST_MARKS.sub(rb" \1", text).split()))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
