@@ -5,7 +5,8 @@ exponential with rate ``RATE``, cut off at 0 and ``TOP``: exponentially spaced t
 of a union are the maxima of the registers, and equal registers become likelier with the Jaccard
 similarity. Documents that agree in all registers of a band are compared.
 
-With 32 bands of 5 registers a pair at similarity 0.8 is missed with probability (1 - 0.8^5)^32 = 3e-6.
+With 52 bands of 7 registers a pair at similarity 0.8 is missed with probability (1 - 0.8^7)^52 = 5e-6, and one
+at 0.3 is looked at with probability 0.01.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexatlas.llm.common import arrow_map, components, may_contain, membership, spread_join, text_bytes
 from lexatlas.session import cut
 
-BANDS, BAND_REGISTERS = 32, 5
+BANDS, BAND_REGISTERS = 52, 7
 REGISTERS = BANDS * BAND_REGISTERS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair is dropped before verification when its registers make any similarity at or above the limit
@@ -212,8 +213,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "node", "first", "n",
         F.xxhash64("band", F.substring("regs", F.col("band") * (2 * BAND_REGISTERS) + 1, F.lit(2 * BAND_REGISTERS))).alias("key"),
     )
-    shared = membership(bands.groupBy("key").count().filter("count > 1"), ["key"])
-    members = cut(may_contain(bands, ["key"], shared, "_shared").filter("_shared").drop("_shared").withColumn("root", F.col("node")))
+    sizes = cut(bands.groupBy("key").agg(F.count("*").alias("weight")).filter("weight > 1").withColumn("size", F.col("weight")))
+    members = cut(may_contain(bands, ["key"], membership(sizes, ["key"]), "_shared").filter("_shared").drop("_shared"))
+    # A node in the middle of its group is in large buckets; as a pivot it is linked to most of the group at once.
+    central = spread_join(members, sizes, ["key"], ["node"], "weight").groupBy("node").agg(F.sum("size").alias("central"))
+    members = cut(members.join(central, "node").withColumn("root", F.col("node")))
 
     wanted = may_contain(source.filter("id is not null"), ["id"], membership(members.select(F.col("first").alias("id")), ["id"]), "_wanted")
     sets = cut(_sets(wanted.filter("_wanted").select("text"), width))
@@ -221,8 +225,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found, labels, lots = [], None, 1
     while True:
-        # Nodes that are linked to nothing yet come first: what is left of a bucket is mostly one component.
-        first = F.min(F.struct((F.col("root") != F.col("node")).alias("linked"), F.xxhash64("node", F.lit(lots)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("n").alias("p_n")))
+        # Nodes that are linked to nothing yet come first, as what is left of a bucket is mostly one component; among them the most central.
+        first = F.min(F.struct((F.col("root") != F.col("node")).alias("linked"), (-F.col("central")).alias("outer"), F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("n").alias("p_n")))
         lot = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(lots)).alias("lot")
         per_lot = members.groupBy("key", lot).agg(first.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("weight"))
         chosen = cut(
@@ -241,9 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for more in found[1:]:
             edges = edges.unionByName(more)
         labels = cut(components(edges))
-        rest = met.filter(~F.array_contains(F.col("ps")["pivot"], F.col("node"))).select("key", "node", "n")
-        members = cut(rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-        lots *= 64
+        rest = met.filter(~F.array_contains(F.col("ps")["pivot"], F.col("node"))).select("key", "node", "n", "central")
+        members = cut(rest.join(labels, "node", "left").select("key", "node", "n", "central", F.coalesce("root", "node").alias("root")))
+        lots *= 16
 
     known = nodes.select("node", "first", "copies", F.col("node").alias("root"))
     if labels is not None:
