@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from lexatlas.llm.common import arrow_map
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Scripts whose newest letters the two libraries class by different Unicode versions.
 NEWER_SCRIPTS = "[԰-῿⁰-\U0010ffff]"
-PIECES_KEPT, PIECE_KEPT_CHARS = 1 << 17, 64
+PIECES_KEPT, PIECE_KEPT_CHARS = 1 << 18, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,53 +41,62 @@ class BytePairCoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.id_of = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.bytes_of: dict[int, bytes] = {i: t for t, i in self.id_of.items()} | {i: t.encode() for t, i in self.added.items()}
-        #: (left id, right id) -> (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
+        #: left id * size + right id -> rank, and the merged id of every rank
+        self.size = 1 + max(self.bytes_of)
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            self.merges[self.id_of[a], self.id_of[b]] = (rank, self.id_of[a + b])
+            self.ranks[self.id_of[a] * self.size + self.id_of[b]] = rank
+            self.merged.append(self.id_of[a + b])
         self.pieces = regex.compile(PIECES)
         self.newer = regex.compile(NEWER_SCRIPTS)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.byte_level = ByteLevel(add_prefix_space=False, use_regex=True)
+        #: Pieces met lately, and those met before them.
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of one piece. The queue holds (rank, place) of neighbours that can merge; entries of symbols that have changed are skipped."""
-        symbol = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue: list[tuple[int, int, int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right >= 0 and (found := self.merges.get((symbol[left], symbol[right]))):
-                heapq.heappush(queue, (found[0], left, symbol[left], symbol[right], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
+        """Ids of one piece.
+
+        Symbols form a list with links to both neighbours; the queue holds rank * n + place of the left symbol of every
+        pair that can merge. An entry is stale, and skipped, when the pair at its place has another rank by now.
+        """
+        n, size = len(word), self.size
+        rank_of, merged_of = self.ranks.get, self.merged
+        symbol = [self.byte_ids[b] for b in word]
+        queue = [rank * n + i for i in range(n - 1) if (rank := rank_of(symbol[i] * size + symbol[i + 1])) is not None]
+        if not queue:
+            return symbol
+        heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, left, a, b, merged = heapq.heappop(queue)
+            rank, left = divmod(heapq.heappop(queue), n)
             right = after[left]
-            if symbol[left] != a or right < 0 or symbol[right] != b:
+            if right >= n or symbol[left] < 0 or rank_of(symbol[left] * size + symbol[right]) != rank:
                 continue
-            symbol[left], symbol[right] = merged, -1
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            symbol[left], symbol[right] = merged_of[rank], -1
+            beyond = after[left] = after[right]
+            if beyond < n:
+                before[beyond] = left
+                if (rank := rank_of(symbol[left] * size + symbol[beyond])) is not None:
+                    heapq.heappush(queue, rank * n + left)
+            if (place := before[left]) >= 0 and (rank := rank_of(symbol[place] * size + symbol[left])) is not None:
+                heapq.heappush(queue, rank * n + place)
         return [s for s in symbol if s >= 0]
 
     def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
         found = self.known.get(piece)
         if found is None:
-            ids = tuple(self.merge(piece.encode()))
-            found = ids, ",".join(map(str, ids))
+            found = self.older.get(piece)
+            if found is None:
+                ids = tuple(self.merge(piece.encode()))
+                found = ids, ",".join(map(str, ids))
             if len(piece) <= PIECE_KEPT_CHARS:
                 if len(self.known) >= PIECES_KEPT:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                 self.known[piece] = found
         return found
 
@@ -98,7 +108,8 @@ class BytePairCoder:
     def coded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """(ids, ids as text) of the pieces, added tokens standing for themselves."""
         if self.special is None or not self.special.search(text):
-            return [self.known.get(p) or self._piece(p) for p in self.split(text)]
+            known = self.known
+            return [known.get(p) or self._piece(p) for p in self.split(text)]
         out: list[tuple[tuple[int, ...], str]] = []
         for part in self.special.split(text):
             if part in self.added:
@@ -114,6 +125,12 @@ class BytePairCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+@lru_cache(maxsize=2)
+def shared_coder(path: str) -> BytePairCoder:
+    """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
+    return BytePairCoder(path)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """``id_col`` and ids (array<int>) of every whole text; with ``digests`` instead n_tokens, ids_sha256 and decoded_sha256.
 
@@ -125,7 +142,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def start() -> Callable:
-        coder = BytePairCoder(path)
+        coder = shared_coder(path)
 
         def rows(batch: pa.RecordBatch) -> dict:
             ids, counts, shas, decoded = [], [], [], []
@@ -152,7 +169,7 @@ def decode_documents(coded: DataFrame, path: str, id_col: str = "doc_id", ids_co
     source = coded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def start() -> Callable:
-        coder = BytePairCoder(path)
+        coder = shared_coder(path)
         return lambda batch: {"id": batch.column("id"), "text": [coder.decode(x or []) for x in batch.column("ids").to_pylist()]}
 
     return arrow_map(source, None, f"id {dict(coded.dtypes)[id_col]}, text string", start).withColumnRenamed("id", id_col)

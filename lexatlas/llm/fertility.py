@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,12 @@ class Vocabulary:
         return n, int(weight[self.is_byte[flat]].sum()), entropy / most if most > 0 else 1.0
 
 
+@lru_cache(maxsize=2)
+def shared_vocabulary(path: str) -> Vocabulary:
+    """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
+    return Vocabulary(path)
+
+
 def repeated_words(numbers: np.ndarray) -> int:
     """How many words lie in windows of five words that occur twice or more, the first occurrence included."""
     n = len(numbers) - WINDOW + 1
@@ -114,7 +121,7 @@ def measured_rules(docs: DataFrame, path: str, id_col: str, text_col: str, lang_
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_bytes")
 
     def start() -> Callable:
-        vocabulary = Vocabulary(path)
+        vocabulary = shared_vocabulary(path)
 
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {c: [] for c in (*counts, "token_entropy", "band")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,12 @@ class Profiler:
         return total / norm if norm else None
 
 
+@lru_cache(maxsize=2)
+def shared_profiler(dimensions: int) -> Profiler:
+    """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
+    return Profiler(dimensions)
+
+
 def fit_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototype of every language: the sum of the unit vectors of its texts, scaled to length 1.
 
@@ -86,7 +93,7 @@ def fit_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str =
     types = pa_schema(labelled.sparkSession, "lang string, v array<double>")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, total = Profiler(dimensions), {}
+        profiler, total = shared_profiler(dimensions), {}
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if (v := profiler.vector(text)) is not None:
@@ -116,7 +123,7 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col
     dimensions = matrix.shape[1] if names else DIMENSIONS
 
     def start() -> Callable:
-        profiler = Profiler(dimensions)
+        profiler = shared_profiler(dimensions)
 
         def rows(batch: pa.RecordBatch) -> dict:
             lang, score = [], []

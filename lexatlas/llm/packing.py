@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -53,6 +54,12 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, LAST_MARKS.sub(rb" \1", text).split()))
 
 
+@lru_cache(maxsize=2)
+def shared_words(path: str) -> WordIds:
+    """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
+    return WordIds(path)
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32 (and ids), part and k.
 
@@ -64,7 +71,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def start() -> Callable:
-        words, part, seen = WordIds(path), TaskContext.get().partitionId(), Counter()
+        words, part, seen = shared_words(path), TaskContext.get().partitionId(), Counter()
 
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = defaultdict(list)
