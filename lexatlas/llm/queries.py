@@ -91,11 +91,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "op1_warc",
-    """SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
-  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    """WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first, sha1(coalesce(html, '')) AS hex FROM pages),
+  b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+    4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1) + 1, 4)), '') AS bits FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to,
-  upper(substr(sha1(coalesce(html, '')), 1, 40)) AS payload_digest
-FROM (SELECT *, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) AS t""",
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6),
+    lambda k: CASE WHEN substr(bits, 5 * i + k, 1) = '1' THEN (2 ** (5 - k))::INTEGER ELSE 0 END))::INTEGER, 1)), '') AS payload_digest
+FROM b""",
 )
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.warc import fresh_folder, page_of, read_archives, write_archives
