@@ -1,4 +1,4 @@
-"""Quality rules from a public vocabulary: characters per token, byte fallback and token entropy, with bands per language."""
+"""Quality rules from a public vocabulary: characters per token, byte fallback and token entropy, with bands per language and length."""
 
 from __future__ import annotations
 
@@ -19,12 +19,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
-#: A measure of a long text is out of band this many interquartile ranges beyond the quartiles of its language.
-FENCE = 4.0
-#: Means over few words vary more: the margin of a text of n words is 1 + SHORT / sqrt(n) times that of a long one.
+#: A measure is out of band this many interquartile ranges beyond the quartiles of its language and length class.
+FENCE = 3.0
+#: Length classes, finest first: so many to a doubling of the words; 0 stands for all lengths.
+CLASSES = (4, 2, 1, 0)
+#: A class of fewer different documents than this has no band of its own and takes that of the next coarser one.
+LEAST_DOCS = 20
+#: Where only all lengths together have a band, means over few words vary more: the margin is 1 + SHORT / sqrt(words) times as wide.
 SHORT = 8.0
-#: Interquartile ranges below this are widened to it, so that languages with very even texts keep a band.
-LEAST_SPREAD = {"chars_per_token": 0.1, "byte_share": 0.01, "token_entropy": 0.02}
+#: Interquartile ranges below this over sqrt(words) are widened to it: classes of very even texts, or of near copies, keep a band.
+LEAST_SPREAD = {"chars_per_token": 0.6, "byte_share": 0.2, "token_entropy": 0.15}
 WORDS_KEPT, CHARS_KEPT = 1 << 17, 1 << 24
 
 # First characters of the scripts' blocks.
@@ -157,9 +161,11 @@ def fertility_rules(
 
     Each word is cut by the vocabulary. chars_per_token, byte_share (tokens that are single bytes) and
     token_entropy (over its largest possible value) are compared with the band of the document's language,
-    or of its script where the language is null: the quartiles over all documents of the group that pass
-    the base rules, widened by ``fence`` interquartile ranges, and by more for short texts. rejected_by names the measures out of band;
-    kept needs none and no base failure.
+    or of its script where the language is null, among documents of about its length: the quartiles over all
+    different documents of the group that pass the base rules, widened by ``fence`` interquartile ranges.
+    Lengths are classed by quarters of a doubling of the words, or halves, or doublings, whichever is the
+    finest with 20 documents, else not at all, and then the band is wider for short texts. rejected_by
+    names the measures out of band; kept needs none and no base failure.
 
     Rows that repeat are measured alike; null ids stay null; no rows give no rows; other columns are not read.
     """
@@ -169,16 +175,33 @@ def fertility_rules(
         "chars_per_token": F.coalesce(F.try_divide("word_chars", "n_tokens"), F.lit(0.0)),
         "byte_share": F.coalesce(F.try_divide("n_bytes", "n_tokens"), F.lit(0.0)),
     })
+    rows = rows.withColumn("length_class", F.floor(CLASSES[0] * F.log2(F.greatest("n_words", F.lit(1)))))
+    levels = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("level"), (F.floor(F.col("length_class") * k / CLASSES[0]) if k else F.lit(0).cast("long")).alias("class"))
+        for i, k in enumerate(CLASSES)
+    ])).alias("at")
     quartiles = (
         rows.filter("not base_failed")
-        .groupBy("band")
-        .agg(*[F.percentile_approx(m, [0.25, 0.75], 10000).alias(f"q_{m}") for m in MEASURES])
+        .select("band", "length_class", "n_words", *MEASURES)
+        .distinct()  # copies count once
+        .select("band", levels, *MEASURES)
+        .groupBy("band", "at")
+        .agg(F.count("*").alias("size"), *[F.percentile_approx(m, [0.25, 0.75], 10000).alias(f"q_{m}") for m in MEASURES])
+        .filter((F.col("size") >= LEAST_DOCS) | (F.col("at.level") == len(CLASSES) - 1))
     )
-    placed = salted_join(rows, quartiles, ["band"], ["id", "n_words", "word_chars"], "left")
+    fit = F.struct(F.col("at.level").alias("level"), *[f"q_{m}" for m in MEASURES])
+    bands = (
+        rows.select("band", "length_class").distinct().select("band", "length_class", levels)
+        .join(quartiles, ["band", "at"])
+        .groupBy("band", "length_class").agg(F.min_by(fit, "at.level").alias("fit"))
+    )
+    placed = salted_join(rows, cut(bands), ["band", "length_class"], ["id", "n_words", "word_chars"], "left")
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
+    wider = F.when(F.col("fit.level") == len(CLASSES) - 1, 1 + SHORT / root).otherwise(1.0)
     out_of_band = []
     for m in MEASURES:
-        q = F.col(f"q_{m}")
-        margin = fence * (1 + SHORT / F.sqrt(F.greatest("n_words", F.lit(1)))) * F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD[m]))
+        q = F.col(f"fit.q_{m}")
+        margin = fence * wider * F.greatest(q[1] - q[0], LEAST_SPREAD[m] / root)
         out_of_band.append(F.when((F.col(m) < q[0] - margin) | (F.col(m) > q[1] + margin), F.lit(m)))
     named = placed.withColumn("rejected_by", F.array_compact(F.array(*out_of_band)))
     return named.select(

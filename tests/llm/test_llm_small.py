@@ -225,6 +225,26 @@ def test_fertility_bands_catch_what_stands_out(spark):
     assert all(got.values())
 
 
+def test_fertility_bands_follow_the_length(spark):
+    from lexatlas.llm.fertility import fertility_rules
+
+    rng = random.Random(9)
+    # A vocabulary with common and rare words, as texts have; copies of one text must not narrow a band.
+    words = prose(rng, 600).split()
+    drawn = lambda n: rng.choices(words, [1 / (k + 20) for k in range(600)], k=n)
+    clean = [(i, " ".join(drawn(int(10 * 2 ** rng.uniform(0, 6)))), "xx") for i in range(1500)]
+    clean += [(2000 + i, clean[0][1], "xx") for i in range(300)] + [(3000 + i, " ".join(drawn(12)), "yy") for i in range(8)]
+    symbols = [(5000 + i, " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in drawn(n)), "xx") for i, n in enumerate((80, 120, 160, 242, 400))]
+    tables = [(6000 + i, " | ".join(drawn(n)), "xx") for i, n in enumerate((60, 120, 200, 300))]
+    rows = fertility_rules(spark.createDataFrame(clean + symbols + tables, "doc_id long, text string, lang string"), PIECES).collect()
+    good = [r for r in rows if r.doc_id < 5000 and not r.base_failed]
+    assert not [r for r in rows if r.doc_id >= 5000 and r.kept]
+    assert all(r.rejected_by for r in rows if r.doc_id >= 5000 and not r.base_failed)
+    assert sum(not r.base_failed for r in rows if r.doc_id >= 5000) == 9
+    assert sum(not r.kept for r in good) <= 0.005 * len(good)
+    assert not [r for r in good if r.n_words < 20 and not r.kept]
+
+
 def test_language_id(spark, odd, none):
     from lexatlas.llm.langid import fit_prototypes, predict_languages
 
