@@ -10,14 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lexatlas.llm.chunks import substring_dedup
 from lexatlas.llm.common import join_sparse
 from lexatlas.llm.exact import exact_duplicates
-from lexatlas.llm.langid import fit_prototypes, predict_languages
+from lexatlas.llm.langid import fit_prototypes, least_cosine, predict_languages
 from lexatlas.llm.packing import pack_documents
 from lexatlas.llm.setsketch import near_duplicates
 from lexatlas.session import shared_dir
 
-#: A text whose best cosine is below this is of no language that the table teaches.
-LEAST_COSINE = 0.03
-
 
 def _document() -> Column:
     """Tells rows apart: rows that share only the id, or only the text, are different documents."""
@@ -31,8 +28,8 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language. Null texts, texts without letters and texts far from all prototypes go."""
-    placed = predict_languages(docs.select("text", _document().alias("_lx_doc")), fit_prototypes(docs), id_col="_lx_doc")
-    return _without(docs, placed.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_COSINE)))
+    placed = predict_languages(docs.select("text", _document().alias("_lx_doc")), fit_prototypes(docs), id_col="_lx_doc", grams=True)
+    return _without(docs, placed.filter((F.col("lang_pred") == "und") | (F.col("score") < least_cosine(F.col("n_grams")))))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,21 +7,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexatlas.llm.common import arrow_map, pa_schema, short_batches
 
-DIMENSIONS = 1024
+DIMENSIONS = 2048
 GRAM = 3
 SYMBOLS = 128
 _NO_LETTER = 0
 GRAMS_KEPT = 1 << 15
+GRAMS_AT_ONCE = 1 << 12
+#: Planes 0 to 3 of Unicode; those above hold no letters.
+CODES = 1 << 18
+#: A text of ten trigrams whose cosine is below this many deviations of chance, 1 / sqrt(dimensions), is of no taught language.
+LEAST_SIGNAL = 1.5
+#: The bound grows with the root of the trigrams up to this: long random strings of common letters come near it.
+LEAST_COSINE = 0.2
 
 
 def symbol_table() -> np.ndarray:
-    """Symbol of every character of the basic plane: 0 for what is no letter, a-z for themselves, others dealt by code."""
-    table = np.zeros(1 << 16, np.uint8)
-    for code in range(1 << 16):
+    """Symbol of every character: 0 for what is no letter, a-z for themselves, others dealt by code."""
+    table = np.zeros(CODES, np.uint8)
+    for code in range(CODES):
         if not 0xD800 <= code < 0xE000 and chr(code).isalpha():
             table[code] = 1 + code - 97 if 97 <= code < 123 else 27 + code * 40503 % (SYMBOLS - 27)
     return table
@@ -40,7 +47,7 @@ class Profiler:
     def grams(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Codes and counts of the letter trigrams, word edges included; nothing for a text without letters."""
         codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        s = self.table[np.minimum(codes, 0xFFFF)]
+        s = self.table[np.minimum(codes, CODES - 1)]
         s = np.concatenate([[_NO_LETTER], s, [_NO_LETTER]]).astype(np.int32)
         s = s[np.concatenate([[True], (s[1:] != _NO_LETTER) | (s[:-1] != _NO_LETTER)])]
         if len(s) < GRAM:
@@ -61,12 +68,14 @@ class Profiler:
 
     def vector(self, text: str | None) -> np.ndarray | None:
         """The bundle of a text scaled to length 1; None without letters."""
-        codes, counts = self.grams(text)
+        return self.bundle(*self.grams(text))
+
+    def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray | None:
         if not len(codes):
             return None
         total = np.zeros(self.vectors.shape[1], np.float32)
-        for at in range(0, len(codes), GRAMS_KEPT // 2):
-            some, n = codes[at : at + GRAMS_KEPT // 2], counts[at : at + GRAMS_KEPT // 2]
+        for at in range(0, len(codes), GRAMS_AT_ONCE):
+            some, n = codes[at : at + GRAMS_AT_ONCE], counts[at : at + GRAMS_AT_ONCE]
             if len(new := some[self.place[some] < 0]):
                 self._learn(new)
                 if len(new := some[self.place[some] < 0]):  # forgotten to make room
@@ -109,12 +118,18 @@ def fit_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str =
     return {lang: made[lang] / (np.linalg.norm(made[lang]) or 1.0) for lang in sorted(made)}
 
 
-def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def least_cosine(n_grams: Column, dimensions: int = DIMENSIONS) -> Column:
+    """What a text of so many trigrams must reach to be of a taught language: little for a few words, whose own cosine is
+    small, and far beyond chance for long texts."""
+    return F.least(F.lit(LEAST_COSINE), LEAST_SIGNAL * F.sqrt(n_grams / 10) / dimensions**0.5)
+
+
+def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", grams: bool = False) -> DataFrame:
     """``id_col``, lang_pred, score of every whole text. Only the text decides.
 
     lang_pred is the language whose prototype has the largest cosine with the text (the first in
     alphabetical order among equals), score that cosine, at least 0. Null texts, texts without letters and
-    an empty set of prototypes give ``und`` and score 0. One row per row of ``docs``, repeated or with null
+    an empty set of prototypes give ``und`` and score 0. With ``grams`` also n_grams, the number of trigrams. One row per row of ``docs``, repeated or with null
     id as it may be; other columns are not read.
     """
     names = list(prototypes)
@@ -126,15 +141,17 @@ def predict_languages(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col
         profiler = shared_profiler(dimensions)
 
         def rows(batch: pa.RecordBatch) -> dict:
-            lang, score = [], []
+            lang, score, n_grams = [], [], []
             for text in batch.column("text").to_pylist():
-                v = profiler.vector(text) if names and text else None
+                codes, counts = profiler.grams(text)
+                v = profiler.bundle(codes, counts) if names else None
                 cosines = matrix @ v if v is not None else None
                 best = int(np.argmax(cosines)) if v is not None else -1
                 lang.append(names[best] if best >= 0 else "und")
                 score.append(min(1.0, max(0.0, float(cosines[best]))) if best >= 0 else 0.0)
-            return {"id": batch.column("id"), "lang_pred": lang, "score": score}
+                n_grams.append(int(counts.sum()))
+            return {"id": batch.column("id"), "lang_pred": lang, "score": score} | ({"n_grams": n_grams} if grams else {})
 
         return rows
 
-    return arrow_map(source, None, f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double", start).withColumnRenamed("id", id_col)
+    return arrow_map(source, None, f"id {dict(docs.dtypes)[id_col]}, lang_pred string, score double{', n_grams long' if grams else ''}", start).withColumnRenamed("id", id_col)

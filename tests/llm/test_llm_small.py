@@ -264,6 +264,32 @@ def test_language_id(spark, odd, none):
     assert fit_prototypes(none) == {} and predict_languages(none, prototypes).count() == 0
 
 
+def test_language_stage_drops_what_no_language_teaches(spark):
+    import base64
+
+    from corpus_pipeline import language_id
+
+    rng = random.Random(12)
+    syllables = {"aa": ["the", "ing", "and", "tion", "wh"], "bb": ["sch", "ung", "ein", "der", "ß"], "cc": ["que", "ión", "los", "ñ", "ar"]}
+    clean = [(i, " ".join("".join(rng.choice(syllables[x]) for _ in range(rng.randint(2, 3))) for _ in range(rng.choice([2, 3, 5, 20, 200]))), x) for i in range(300) for x in syllables]
+    blocks = [(0x430, 0x450), (0x3B1, 0x3CA), (0x620, 0x64B), (0xAC00, 0xD7A3), (0x4E00, 0x9FFF), (0x20000, 0x2A6D0), (0x10428, 0x10450), (97, 123)]
+    letters = ["".join(filter(str.isalpha, map(chr, range(*b)))) for b in blocks] + ["bcdfghjklmnpqrstvwxz"]
+    foreign = [" ".join("".join(rng.choice(x) for _ in range(rng.randint(2, 9))) for _ in range(n)) for x in letters for n in (100, 1000) for _ in range(15)]
+    foreign += [base64.b64encode(rng.randbytes(n)).decode() for n in (600, 6000) for _ in range(15)]
+    rows = [(i, t, x, len(t)) for i, t, x in clean] + [(1000 + i, t, None, len(t)) for i, t in enumerate(foreign)]
+    left = language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").repartition(3), "")
+    assert Counter(r.doc_id for r in left.collect()) == Counter(i for i, *_ in clean)
+
+
+def test_letters_of_all_planes_have_symbols():
+    from lexatlas.llm.langid import Profiler
+
+    profiler = Profiler()
+    for text in ("\U00020000\U00020001", "\U00010428", "\U000313a0"):
+        assert profiler.vector(text) is not None
+    assert profiler.vector("\U0001f600 \U0010fffd 12") is None
+
+
 def test_substring_dedup(odd, none):
     from lexatlas.llm.chunks import substring_dedup
 
