@@ -102,12 +102,13 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, CASE WHEN page_id = first
 FROM b""",
 )
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexatlas.llm.warc import fresh_folder, page_of, read_archives, write_archives
+    from lexatlas.llm.warc import checked, fresh_folder, page_of, read_archives, write_archives
 
     manifest = write_archives(table(spark, sf_dir, "pages"), fresh_folder(spark), least_bytes=0)
-    return read_archives(spark, manifest, payloads=False).select(
-        page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
+    rows = read_archives(spark, manifest, payloads=False).select(
+        "path", page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
     )
+    return checked(rows, manifest).drop("path")
 
 
 @query("op2_weak_quality")

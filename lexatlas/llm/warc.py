@@ -22,8 +22,6 @@ from lexatlas.session import cut, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 18
-#: No header block is longer; a candidate whose first bytes hold no complete header is not a record.
-HEADER_BYTES = 1 << 16
 SPLIT_BYTES = 16 << 20
 # Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,13 +134,34 @@ class Range:
         self.data, self.base = self.data[n:], self.base + n
 
 
+class Header:
+    """Finds the end of a record's header in content that comes in parts. Every line is looked at once."""
+
+    def __init__(self):
+        self.seen, self.whole, self.lines = b"", False, 0
+
+    def fits(self, part: bytes) -> bool:
+        """Whether the content so far, with ``part`` added, begins a record: a version line, then fields up to a blank line."""
+        if self.whole:
+            return True
+        *lines, self.seen = (self.seen + part).split(b"\r\n")
+        for line in lines:
+            if self.lines and not line:
+                self.whole = True
+                return True
+            if not (b":" in line if self.lines else line.startswith(b"WARC/1.")):
+                return False
+            self.lines += 1
+        return bool(self.lines) or self.seen[:7] == b"WARC/1."[: len(self.seen)]
+
+
 def read_member(source: Range) -> tuple[bytes, int] | None:
     """Decode the gzip member at the front of ``source``: content and compressed size; None if it is no whole record.
 
-    The header decides before the rest is decoded, so false magic costs one block at most.
+    Decoding goes on while the content looks like a header, of any length, and to the end of the member
+    once that is whole, so false magic costs one block at most.
     """
-    unpacker, parts, size, fed = zlib.decompressobj(31), [], 0, 0
-    checked = False
+    unpacker, parts, fed, header = zlib.decompressobj(31), [], 0, Header()
     while not unpacker.eof:
         if fed >= len(source.data) and not source.more():
             return None
@@ -151,11 +170,8 @@ def read_member(source: Range) -> tuple[bytes, int] | None:
         except zlib.error:
             return None
         fed = min(len(source.data), fed + READ_BYTES)
-        size += len(parts[-1])
-        if not checked and (size >= HEADER_BYTES or unpacker.eof or b"\r\n\r\n" in parts[-1]):
-            if parse_header(b"".join(parts)[:HEADER_BYTES]) is None:
-                return None
-            checked = True
+        if not header.fits(parts[-1]):
+            return None
     return b"".join(parts), fed - len(unpacker.unused_data)
 
 
@@ -182,11 +198,12 @@ def records_in(file: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int,
             source.drop(1)
             continue
         content, size = found
-        fields, block = parse_header(content[:HEADER_BYTES])
-        length = int(fields[b"content-length"])
-        if len(content) < block + length:
+        parsed = parse_header(content)
+        if parsed is None or len(content) < parsed[1] + int(parsed[0][b"content-length"]):
             source.drop(1)
             continue
+        fields, block = parsed
+        length = int(fields[b"content-length"])
         yield source.base, fields, content[block : block + length]
         source.drop(size)
 
@@ -228,6 +245,19 @@ def read_archives(spark: SparkSession, files: DataFrame, split_bytes: int = SPLI
     return dealt.mapInArrow(rows, schema)
 
 
+def checked(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of :func:`read_archives` (path and any others), written, if every archive in the manifest ``files`` gave as many as it holds.
+
+    Otherwise an error names archives that did not.
+    """
+    rows = cut(rows)
+    read = rows.groupBy("path").agg(F.count("*").alias("read"))
+    counts = files.join(read, "path", "left").select("path", "records", F.coalesce("read", F.lit(0)).alias("read"))
+    if off := counts.filter("records <> read").take(5):
+        raise ValueError("records missing or read twice: " + ", ".join(f"{r.path} holds {r.records}, read {r.read}" for r in off))
+    return rows
+
+
 def _batch(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
 

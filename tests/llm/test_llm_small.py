@@ -372,6 +372,21 @@ def test_warc_ignores_false_magic(tmp_path):
     assert found == [f"<urn:x-page:{i}>".encode() for i in range(20)]
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    """Urls beyond 65,536 bytes, which zip well or not at all; a manifest that says more than is there."""
+    from lexatlas.llm.warc import checked, page_of, read_archives, write_archives
+
+    rng = random.Random(11)
+    urls = {1: "http://h/" + "a" * 70000, 2: "data:text/html;base64," + rng.randbytes(200000).hex(), 3: "http://h/" + "b" * 3000000, 4: "http://h/4"}
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in urls.items()], "page_id long, url string, html string").coalesce(1)
+    manifest = write_archives(df, f"file:{tmp_path}/a")
+    for split in (16 << 20, 5000):
+        rows = checked(read_archives(spark, manifest, split).withColumn("p", page_of("record_id")), manifest).collect()
+        assert sorted((r.p, r.target_uri, bytes(r.payload).decode()) for r in rows) == [(i, u, f"page {i}") for i, u in urls.items()]
+    with pytest.raises(ValueError, match="holds 5, read 4"):
+        checked(read_archives(spark, manifest, payloads=False), manifest.withColumn("records", F.col("records") + 1))
+
+
 def test_weak_quality(spark, odd, none):
     from lexatlas.llm.weak import em_posteriors, weak_quality
 
