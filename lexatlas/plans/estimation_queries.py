@@ -231,8 +231,7 @@ def d3_ridge(spark, sf):
 
 @query("d3_boosted_trees")
 def d3_gbt(spark, sf):
-    p = points(spark, sf).withColumn("features", F.slice("embedding", 1, 8))
-    return final(causal.double_ml(p, TWO, "features", k=2, learner="gbt", variant="trees", n_trees=3, depth=3, n_features=8)["estimates"])
+    return final(causal.double_ml(points(spark, sf), TWO, "embedding", learner="gbt", variant="trees", n_features=64)["estimates"])
 
 
 # -- contributions -----------------------------------------------------------------------------------
@@ -257,8 +256,8 @@ def d15c(spark, sf):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    p = points(spark, sf).withColumn("features", F.slice("embedding", 1, 8).cast("array<double>"))
-    model = GBTRegressor(featuresCol="v", labelCol="text_length", maxIter=5, maxDepth=3, stepSize=0.3, seed=42).fit(
+    p = points(spark, sf).withColumn("features", F.col("embedding").cast("array<double>"))
+    model = GBTRegressor(featuresCol="v", labelCol="text_length", maxIter=100, maxDepth=5, stepSize=0.3, seed=42).fit(
         p.select(array_to_vector("features").alias("v"), "text_length")
     )
     return final(con.gbt_contributions(p, "text_length", model)[0].select("id", F.posexplode("contrib_text_length").alias("pc", "contribution")))
@@ -448,14 +447,13 @@ def f2(spark, sf):
 @query("f1_boosted_importance")
 def f1(spark, sf):
     m = gram.with_model_columns(measured_points(spark, sf), "id", "embedding", TWO, 5)
-    return final(imp.boosted(m, TWO, n_trees=5, depth=3))
+    return final(imp.boosted(m, TWO))
 
 
 @query("f6_fold_importance_ranks")
 def f6(spark, sf):
-    p = points(spark, sf).withColumn("features", F.slice("embedding", 1, 8))
-    m = gram.with_model_columns(p, "id", "features", TWO, 3)
-    return final(imp.fold_ranks(m, TWO, 3, n_trees=2, depth=3))
+    m = gram.with_model_columns(points(spark, sf), "id", "embedding", TWO, 5)
+    return final(imp.fold_ranks(m, TWO))
 
 
 @query("p16_clip_to_components", W + LONG_SQL + " SELECT id, count(*) AS n FROM long WHERE pc < 10 GROUP BY id")
