@@ -22,7 +22,7 @@ CODES = 1 << 18
 #: A text of ten trigrams whose cosine is below this many deviations of chance, 1 / sqrt(dimensions), is of no taught language.
 LEAST_SIGNAL = 1.5
 #: The bound grows with the root of the trigrams up to this: long random strings of common letters come near it.
-LEAST_COSINE = 0.2
+LEAST_COSINE = 0.17
 
 
 def symbol_table() -> np.ndarray:
