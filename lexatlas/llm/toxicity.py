@@ -2,9 +2,10 @@
 
 A word is looked at as a whole and by its beginnings of 3 to 6 letters, so that inflected forms share what
 is known of their stem. The log-odds of a unit compare the labelled toxic and clean documents that have it,
-with a Dirichlet prior in the proportion of the two, less one standard deviation. Words of no significant
-unit cost a constant, so the score of a text drifts downwards, and a linear scan finds all maximal
-segments. How often clean text makes a segment of some score falls exponentially; the two numbers of that
+with a Dirichlet prior in the proportion of the two, less one standard deviation. In toxic documents a word counts no oftener than the number of
+different words before it, and a beginning than the number of different words that have it, so that copies
+of a document count once and a single toxic word does not colour all that begins like it. Words of no toxic unit cost a
+constant, so the score of a text drifts downwards, and a linear scan finds all maximal segments. How often clean text makes a segment of some score falls exponentially; the two numbers of that
 law turn scores into expected counts, and these into a probability.
 """
 
@@ -28,6 +29,8 @@ BEGINNINGS = (3, 4, 5, 6)
 PRIOR = 2.0
 #: Standard errors that a unit's log-odds have to be above zero.
 LEAST_SIGNIFICANCE = 3.0
+#: A unit counts if its odds of being in a toxic document are so many times those of any unit, less one standard error.
+LEAST_RATIO = 5.0
 #: The model keeps so many units at most, the most significant ones; a model is broadcast.
 MOST_UNITS = 1 << 20
 #: Share of toxic words in a toxic passage: every other word costs -log(1 - share).
@@ -41,9 +44,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def word_units(word: str) -> tuple[int, ...]:
-    """64-bit names of a lower-case word and of its beginnings."""
-    made = {xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), 1)}
-    made |= {xxhash.xxh3_64_intdigest(word[:k].encode("utf-8", "replace"), 2) for k in BEGINNINGS if len(word) >= k}
+    """64-bit names of a lower-case word, first, and of its beginnings."""
+    made = [xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), 1)]
+    made += [xxhash.xxh3_64_intdigest(word[:k].encode("utf-8", "replace"), 2) for k in BEGINNINGS if len(word) > k]
     return tuple(u - (1 << 63) for u in made)
 
 
@@ -150,43 +153,67 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
 
 
 def _unit_counts(labelled: DataFrame) -> DataFrame:
-    """(unit, t0, c0, t1, c1): toxic and clean documents of either fold that have the unit, written. Tasks add up what they can hold."""
+    """Per unit, written: t0, c0, t1, c1, the toxic and clean documents of either fold that have it; m0, m1, bits in the toxic ones for the words before it, or, of a beginning, for the words that have it.
+
+    Tasks add up what they can hold.
+    """
     spark = labelled.sparkSession
     short_batches(spark)
-    schema = "unit long, t0 long, c0 long, t1 long, c1 long"
+    schema = "unit long, t0 long, c0 long, t1 long, c1 long, m0 long, m1 long"
     types = pa_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[int]] = {}
-        kept: dict[str, tuple[int, ...]] = {}
+        kept: dict[str, tuple[tuple[int, ...], int]] = {}
+
+        def known(word: str) -> tuple[tuple[int, ...], int]:
+            if (made := kept.get(word)) is None:
+                if len(kept) >= WORDS_KEPT:
+                    kept.clear()
+                made = word_units(word), 1 << (xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), 3) % 64)
+                if len(word) <= 64:
+                    kept[word] = made
+            return made
 
         def flush() -> pa.RecordBatch:
-            table = np.array([[u, *n] for u, n in held.items()], np.int64).reshape(-1, 5)
+            columns = zip(*held.items()) if held else ((), ())
+            names, rows = (list(c) for c in columns)
+            table = [names, *([r[k] for r in rows] for k in range(4)), *([r[k] - ((r[k] >> 63) << 64) for r in rows] for k in (4, 5))]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(5)], schema=types)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in table], schema=types)
 
         for batch in batches:
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
-                units: set[int] = set()
-                for word in set(_WORD.findall(text.lower())):
-                    if (names := kept.get(word)) is None:
-                        if len(kept) >= WORDS_KEPT:
-                            kept.clear()
-                        names = word_units(word)
-                        if len(word) <= 64:
-                            kept[word] = names
-                    units.update(names)
+                first: dict[str, str] = {}
+                before = ""
+                for word in _WORD.findall(text.lower()):
+                    if word not in first:
+                        first[word] = before
+                    before = word
+                units: dict[int, int] = {}
+                for word, before in first.items():
+                    names, own = known(word)
+                    units[names[0]] = known(before)[1] if toxic else 0
+                    for unit in names[1:]:
+                        units[unit] = units.get(unit, 0) | (own if toxic else 0)
                 place = 2 * fold + (1 - toxic)
-                for unit in units:
+                for unit, bits in units.items():
                     if (row := held.get(unit)) is None:
-                        row = held[unit] = [0, 0, 0, 0]
+                        row = held[unit] = [0, 0, 0, 0, 0, 0]
                     row[place] += 1
+                    row[4 + fold] |= bits
                 if len(held) >= UNITS_HELD:
                     yield flush()
         yield flush()
 
-    made = labelled.mapInArrow(run, schema)
-    return cut(made.groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")]))
+    made = labelled.mapInArrow(run, schema).groupBy("unit")
+    return cut(made.agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")], F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1")))
+
+
+def _independent(toxic: Column, bits: Column) -> Column:
+    """The toxic documents with a unit, but no more than there are different words in ``bits``, as far as 64 bits tell."""
+    n = F.bit_count(bits)
+    return F.when(n > 56, toxic.cast("double")).otherwise(F.least(toxic.cast("double"), -64 * F.log1p(-F.least(n, F.lit(63)) / 64)))
 
 
 def _log_odds(toxic: Column, clean: Column, share: float) -> tuple[Column, Column]:
@@ -200,7 +227,7 @@ def _log_odds(toxic: Column, clean: Column, share: float) -> tuple[Column, Colum
 def _significant(counts: DataFrame, share: float, toxic: Column, clean: Column) -> Weights:
     """The significant units, of which the most significant MOST_UNITS are kept."""
     odds, z = _log_odds(toxic, clean, share)
-    found = counts.select("unit", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_SIGNIFICANCE)
+    found = counts.select("unit", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_SIGNIFICANCE) & (F.col("odds") >= math.log(LEAST_RATIO)))
     steps = sorted(found.groupBy(F.least(F.floor(F.col("z") * 8), F.lit(8000)).alias("step")).count().collect(), reverse=True)
     limit, room = None, MOST_UNITS
     for step, n in steps:
@@ -259,7 +286,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         if not toxic or not clean:
             return Weights(np.empty(0, np.int64), np.empty(0))
         t, c = (sum((F.col(f"{k}{f}") for f in folds[1:]), F.col(f"{k}{folds[0]}")) for k in ("t", "c"))
-        return _significant(counts, toxic / (toxic + clean), t, c)
+        bits = F.col("m0").bitwiseOR(F.col("m1")) if len(folds) == 2 else F.col(f"m{folds[0]}")
+        return _significant(counts, toxic / (toxic + clean), _independent(t, bits), c)
 
     spark = labelled.sparkSession
     halves = spark.sparkContext.broadcast([learn((1,)), learn((0,))])
