@@ -176,3 +176,49 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
     model = fit_toxicity(docs.filter(~held_out), table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).withColumn("held_out", held_out)
+
+
+@query(
+    "op11_prefix_trie",
+    r"""WITH t AS (
+    SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+      coalesce(role, '') AS r, coalesce(text, '') AS x
+    FROM conversations WHERE conv_id IS NOT NULL),
+  h AS (SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''),
+      lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+  rebuilt AS (
+    SELECT h.c, 0 AS own, t.i, t.r, t.x FROM h JOIN t ON t.c = h.base AND t.i <= h.h
+    UNION ALL SELECT h.c, 1, t.i, t.r, t.x FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+  seq AS (SELECT h.c, coalesce(list({'r': b.r, 'x': b.x} ORDER BY b.own, b.i) FILTER (b.c IS NOT NULL), []) AS l FROM h LEFT JOIN rebuilt AS b USING (c) GROUP BY h.c),
+  member AS (SELECT c, d, l[1:d] AS k, len(l) AS n, l[d].x AS last FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM seq)),
+  node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, max(n) AS deepest, any_value(last) AS last,
+      sha256(coalesce(string_agg(CASE WHEN n = d THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM member GROUP BY k, d),
+  up AS (SELECT k[1:e] AS k, e, leaf, worth FROM (
+    SELECT k, unnest(range(0, d + 1)) AS e, (deepest = d)::BIGINT AS leaf,
+      CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(last, '[^\x20\x09-\x0D]+')) END AS worth FROM node)),
+  below AS (SELECT k, e, sum(leaf) AS n_leaves, sum(worth) AS saved_tokens FROM up GROUP BY k, e),
+  child AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(child.n_children, 0) AS n_children,
+  below.n_leaves::BIGINT AS n_leaves, below.saved_tokens::BIGINT AS saved_tokens, a.ends_sha256
+FROM node AS a JOIN below ON below.k = a.k AND below.e = a.d LEFT JOIN child ON child.k = a.k AND child.d = a.d
+  LEFT JOIN node AS p ON a.d > 0 AND p.d = a.d - 1 AND p.k = a.k[1:a.d - 1]""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first h turns of c - c % 20, h being a digest of c modulo 4; its own follow from h on."""
+    from lexatlas.llm.common import spread_join
+    from lexatlas.llm.trie import numbered_turns, trie_of
+    from lexatlas.session import cut
+
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    c = F.col("conv")
+    convs = turns.groupBy("conv").agg(F.count("*").alias("weight"), F.min("part").alias("part"))
+    convs = cut(convs.select("conv", "weight", "part", (c - c % 20).alias("base"), (F.crc32(c.cast("string")) % 4).alias("h")))
+    sizes = convs.select(F.col("conv").alias("base"), F.col("weight").alias("base_turns"))
+    convs = convs.join(sizes, "base", "left").withColumn("k", F.least("h", F.coalesce("base_turns", F.lit(0))))
+    convs = cut(convs.withColumn("len", F.col("k") + F.greatest(F.col("weight") - F.col("h"), F.lit(0))).drop("base_turns"))
+    shown = turns.filter("place <= 3 and conv % 20 = 0").select(F.col("conv").alias("base"), F.col("place").alias("depth"), "a", "b", "words")
+    begun = shown.join(convs, "base").filter("depth <= k").select("conv", "part", "depth", "len", "a", "b", "words")
+    own = spread_join(turns, convs.select("conv", "weight", "h", "k", "len"), ["conv"], ["place"], "weight").filter("place > h")
+    own = own.select("conv", "part", (F.col("place") - F.col("h") + F.col("k")).alias("depth"), "len", "a", "b", "words")
+    return trie_of(cut(begun.unionByName(own)), convs.select("conv", "len", "part"))
