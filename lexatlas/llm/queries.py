@@ -149,19 +149,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every tenth document by digest the end repeats: word i from a on is word a + (i - a) % p."""
     from lexatlas.llm.runs import periodic_runs
 
-    docs = table(spark, sf_dir, "documents")
     h = F.crc32(F.col("doc_id").cast("string"))
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    g, n, a, p = F.floor(h / 10), F.size("words"), F.col("a"), F.col("p")
-    turned = docs.select("doc_id", "text", F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("words"), g.alias("g")).filter("size(words) > 0")
-    turned = turned.withColumn("a", (F.col("g") % n).cast("int"))
-    turned = turned.withColumn("p", (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int"))
-    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p)))
-    turned = turned.select("doc_id", F.concat_ws(" ", place).alias("text"))
-    plain = docs.select("doc_id", "text").filter((F.coalesce(h, F.lit(1)) % 10 != 0) | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("words"))
+    docs = docs.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    docs = docs.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    place = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    docs = docs.select("doc_id", F.when(F.col("n").isNotNull(), F.concat_ws(" ", place)).otherwise(F.col("text")).alias("text"))
     best = F.col("strongest")
     line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
-    return periodic_runs(plain.unionByName(turned)).select(
+    return periodic_runs(docs).select(
         "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
         F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),

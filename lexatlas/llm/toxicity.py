@@ -43,6 +43,12 @@ _EVIDENCE_STEP, _EVIDENCE_TOP = 0.25, 400
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def lower_words(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case. They are as many as in the text itself, where lower case has more characters too."""
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
+
+
 def word_units(word: str) -> tuple[int, ...]:
     """64-bit names of a lower-case word, first, and of its beginnings."""
     made = [xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"), 1)]
@@ -108,7 +114,7 @@ class Scanner:
 
     def __call__(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of words, and the segments as (first word, last word, score)."""
-        words = _WORD.findall(text.lower())
+        words = lower_words(text)
         odds = list(map(self._word, words))
         toxic = [k for k, x in enumerate(odds) if x > 0]
         scores: list[float] = []
@@ -186,7 +192,7 @@ def _unit_counts(labelled: DataFrame) -> DataFrame:
             for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
                 first: dict[str, str] = {}
                 before = ""
-                for word in _WORD.findall(text.lower()):
+                for word in lower_words(text):
                     if word not in first:
                         first[word] = before
                     before = word
@@ -356,7 +362,5 @@ def _passages(text: str, segments: list[tuple[int, int, float]], expected: list[
     kept = [(*s, e) for s, e in zip(segments, expected) if e <= MOST_EXPECTED]
     if not kept:
         return []
-    # Lower case may have more characters than the text, so words are found in the text itself where that has as many.
-    low = text.lower()
-    at = [(m.start(), m.end()) for m in _WORD.finditer(text if len(low) == len(text) else low)]
+    at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     return [{"first_word": a, "last_word": b, "start": at[a][0], "end": at[b][1], "score": s, "expected": e} for a, b, s, e in kept]
