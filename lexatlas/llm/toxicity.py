@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +32,14 @@ LEAST_SIGNIFICANCE = 3.0
 #: A unit counts if its odds of being in a toxic document are so many times those of any unit, less one standard error.
 LEAST_RATIO = 5.0
 #: The model keeps so many units at most, the most significant ones; a model is broadcast.
-MOST_UNITS = 1 << 20
+MOST_UNITS = 1 << 18
 #: Share of toxic words in a toxic passage: every other word costs -log(1 - share).
 PASSAGE_SHARE = 0.1
 #: Segments that clean text of this length would show more often than this are not reported.
 MOST_EXPECTED = 0.05
 WORDS_KEPT, UNITS_HELD = 1 << 17, 1 << 18
+#: Bits of the filter of units that clean documents are counted for: 8 MB.
+FILTER_BITS = 26
 _EVIDENCE_STEP, _EVIDENCE_TOP = 0.25, 400
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -80,43 +82,39 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(first, last, after - before) for before, after, first, last, _ in held]
 
 
+def head_of(word: str) -> str:
+    """The letters that a word shares with all words that have one of its units."""
+    return word[: BEGINNINGS[0]]
+
+
 @dataclass(frozen=True)
 class Weights:
-    """Log-odds of the significant units, in the order of their names."""
+    """Log-odds of the significant units, and the heads of words that have any."""
 
     units: np.ndarray
     log_odds: np.ndarray
-
-    def of(self, word: str) -> float:
-        """The largest log-odds among a word's units; 0 if none is significant."""
-        names = np.array(word_units(word), np.int64)
-        at = np.searchsorted(self.units, names)
-        known = at < len(self.units)
-        hit = at[known][self.units[at[known]] == names[known]]
-        return float(self.log_odds[hit].max()) if len(hit) else 0.0
+    heads: frozenset[str]
 
 
 class Scanner:
-    """Finds the maximal segments of texts; words that have been looked up are kept, up to a number."""
+    """Finds the maximal segments of texts."""
 
     def __init__(self, weights: Weights):
-        self.weights, self.kept = weights, {}
+        self.heads, self.known = weights.heads, dict(zip(weights.units.tolist(), weights.log_odds.tolist()))
         self.cost = -math.log1p(-PASSAGE_SHARE)
 
-    def _word(self, word: str) -> float:
-        if (found := self.kept.get(word)) is None:
-            if len(self.kept) >= WORDS_KEPT:
-                self.kept.clear()
-            found = self.weights.of(word)
-            if len(word) <= 64:
-                self.kept[word] = found
-        return found
+    def odds(self, word: str) -> float:
+        """The largest log-odds among a word's units; 0 if none is significant."""
+        if head_of(word) not in self.heads:
+            return 0.0
+        return max((self.known.get(u, 0.0) for u in word_units(word)), default=0.0)
 
     def __call__(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of words, and the segments as (first word, last word, score)."""
         words = lower_words(text)
-        odds = list(map(self._word, words))
-        toxic = [k for k, x in enumerate(odds) if x > 0]
+        heads, length = self.heads, BEGINNINGS[0]
+        odds = {k: x for k, w in enumerate(words) if w[:length] in heads and (x := self.odds(w)) > 0}
+        toxic = list(odds)
         scores: list[float] = []
         for n, k in enumerate(toxic):
             if n:
@@ -158,18 +156,12 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     return cut(spread_join(near, side, ["id"], ["text"], "weight").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")))
 
 
-def _unit_counts(labelled: DataFrame) -> DataFrame:
-    """Per unit, written: t0, c0, t1, c1, the toxic and clean documents of either fold that have it; m0, m1, bits in the toxic ones for the words before it, or, of a beginning, for the words that have it.
+def _toxic_counts(labelled: DataFrame) -> DataFrame:
+    """Per unit of toxic documents, written: head, t0, t1, the documents of either fold that have it, and m0, m1, bits for the words before it,
+    or, of a beginning, for the words that have it. Tasks add up what they can hold."""
+    schema = "unit long, head string, t0 long, t1 long, m0 long, m1 long"
 
-    Tasks add up what they can hold.
-    """
-    spark = labelled.sparkSession
-    short_batches(spark)
-    schema = "unit long, t0 long, c0 long, t1 long, c1 long, m0 long, m1 long"
-    types = pa_schema(spark, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[int]] = {}
+    def count() -> Callable:
         kept: dict[str, tuple[tuple[int, ...], int]] = {}
 
         def known(word: str) -> tuple[tuple[int, ...], int]:
@@ -181,39 +173,84 @@ def _unit_counts(labelled: DataFrame) -> DataFrame:
                     kept[word] = made
             return made
 
-        def flush() -> pa.RecordBatch:
-            columns = zip(*held.items()) if held else ((), ())
-            names, rows = (list(c) for c in columns)
-            table = [names, *([r[k] for r in rows] for k in range(4)), *([r[k] - ((r[k] >> 63) << 64) for r in rows] for k in (4, 5))]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in table], schema=types)
+        def add(held: dict, text: str, fold: int) -> None:
+            first: dict[str, str] = {}
+            before = ""
+            for word in lower_words(text):
+                if word not in first:
+                    first[word] = before
+                before = word
+            bits: dict[int, tuple[str, int]] = {}
+            for word, before in first.items():
+                names, own = known(word)
+                bits[names[0]] = head_of(word), known(before)[1]
+                for unit in names[1:]:
+                    bits[unit] = head_of(word), bits.get(unit, ("", 0))[1] | own
+            for unit, (head, b) in bits.items():
+                row = held.setdefault(unit, [head, 0, 0, 0, 0])
+                row[1 + fold] += 1
+                row[3 + fold] |= b
+
+        return add
+
+    def columns(held: dict) -> list[list]:
+        rows = list(held.values())
+        return [list(held), *([r[k] for r in rows] for k in range(3)), *([r[k] - ((r[k] >> 63) << 64) for r in rows] for k in (3, 4))]
+
+    made = _added_up(labelled.filter("toxic = 1"), schema, count, columns).groupBy("unit")
+    return cut(made.agg(F.min("head").alias("head"), F.sum("t0").alias("t0"), F.sum("t1").alias("t1"), F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1")))
+
+
+def _clean_counts(labelled: DataFrame, units: DataFrame) -> DataFrame:
+    """(unit, c0, c1): the clean documents of either fold with a unit, for ``units`` and a few that the filter lets through."""
+    spark = labelled.sparkSession
+    at = F.col("unit").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1
+    bits = units.select(F.bitmap_bucket_number(at).alias("bucket"), F.bitmap_bit_position(at).alias("at")).groupBy("bucket")
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for row in bits.agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # 8 MB in all
+        table[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table.tobytes())
+
+    def count() -> Callable:
+        wanted, mask = shared.value, (1 << FILTER_BITS) - 1
+        kept: dict[str, tuple[int, ...]] = {}
+
+        def known(word: str) -> tuple[int, ...]:
+            if (made := kept.get(word)) is None:
+                if len(kept) >= WORDS_KEPT:
+                    kept.clear()
+                made = tuple(u for u in word_units(word) if wanted[(u & mask) >> 3] >> (u & 7) & 1)
+                if len(word) <= 64:
+                    kept[word] = made
+            return made
+
+        def add(held: dict, text: str, fold: int) -> None:
+            for unit in {u for word in set(lower_words(text)) for u in known(word)}:
+                held.setdefault(unit, [0, 0])[fold] += 1
 
+        return add
+
+    made = _added_up(labelled.filter("toxic = 0"), "unit long, c0 long, c1 long", count, lambda held: [list(held), *([r[k] for r in held.values()] for k in (0, 1))])
+    return made.groupBy("unit").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+def _added_up(labelled: DataFrame, schema: str, start: Callable, columns: Callable) -> DataFrame:
+    """Rows of ``columns(held)`` where ``start()`` gives a function that adds a text and its fold to ``held``; a task holds up to UNITS_HELD entries at a time."""
+    short_batches(labelled.sparkSession)
+    types = pa_schema(labelled.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, held = start(), {}
         for batch in batches:
-            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
-                first: dict[str, str] = {}
-                before = ""
-                for word in lower_words(text):
-                    if word not in first:
-                        first[word] = before
-                    before = word
-                units: dict[int, int] = {}
-                for word, before in first.items():
-                    names, own = known(word)
-                    units[names[0]] = known(before)[1] if toxic else 0
-                    for unit in names[1:]:
-                        units[unit] = units.get(unit, 0) | (own if toxic else 0)
-                place = 2 * fold + (1 - toxic)
-                for unit, bits in units.items():
-                    if (row := held.get(unit)) is None:
-                        row = held[unit] = [0, 0, 0, 0, 0, 0]
-                    row[place] += 1
-                    row[4 + fold] |= bits
+            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
+                add(held, text, fold)
                 if len(held) >= UNITS_HELD:
-                    yield flush()
-        yield flush()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns(held), types)], schema=types)
+                    held.clear()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns(held), types)], schema=types)
 
-    made = labelled.mapInArrow(run, schema).groupBy("unit")
-    return cut(made.agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")], F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1")))
+    return labelled.select("text", "fold").mapInArrow(run, schema)
 
 
 def _independent(toxic: Column, bits: Column) -> Column:
@@ -233,16 +270,15 @@ def _log_odds(toxic: Column, clean: Column, share: float) -> tuple[Column, Colum
 def _significant(counts: DataFrame, share: float, toxic: Column, clean: Column) -> Weights:
     """The significant units, of which the most significant MOST_UNITS are kept."""
     odds, z = _log_odds(toxic, clean, share)
-    found = counts.select("unit", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_SIGNIFICANCE) & (F.col("odds") >= math.log(LEAST_RATIO)))
+    found = counts.select("unit", "head", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= LEAST_SIGNIFICANCE) & (F.col("odds") >= math.log(LEAST_RATIO)))
     steps = sorted(found.groupBy(F.least(F.floor(F.col("z") * 8), F.lit(8000)).alias("step")).count().collect(), reverse=True)
     limit, room = None, MOST_UNITS
     for step, n in steps:
         if n > room:
             break
         limit, room = step / 8, room - n
-    rows = [] if limit is None else found.filter(F.col("z") >= limit).select("unit", "odds").collect()
-    rows.sort()
-    return Weights(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64))
+    rows = [] if limit is None else found.filter(F.col("z") >= limit).select("unit", "odds", "head").collect()
+    return Weights(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), frozenset(r[2] for r in rows))
 
 
 def _logistic(table: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -285,18 +321,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     labelled = _labelled(docs, labels, id_col, text_col, label_col)
     size = {(r["fold"], r["toxic"]): r["count"] for r in labelled.groupBy("fold", "toxic").count().collect()}
-    counts = _unit_counts(labelled)
+    toxic = _toxic_counts(labelled)
 
-    def learn(folds: tuple[int, ...]) -> Weights:
-        toxic, clean = (sum(size.get((f, k), 0) for f in folds) for k in (1, 0))
-        if not toxic or not clean:
-            return Weights(np.empty(0, np.int64), np.empty(0))
-        t, c = (sum((F.col(f"{k}{f}") for f in folds[1:]), F.col(f"{k}{folds[0]}")) for k in ("t", "c"))
+    def toxic_side(folds: tuple[int, ...]) -> tuple[float, Column]:
+        n = [sum(size.get((f, k), 0) for f in folds) for k in (1, 0)]
+        share = n[0] / sum(n) if all(n) else 0.0
+        t = sum((F.col(f"t{f}") for f in folds[1:]), F.col(f"t{folds[0]}"))
         bits = F.col("m0").bitwiseOR(F.col("m1")) if len(folds) == 2 else F.col(f"m{folds[0]}")
-        return _significant(counts, toxic / (toxic + clean), _independent(t, bits), c)
+        return share, _independent(t, bits)
+
+    # Only units that would be significant if no clean document had them need clean counts.
+    hopeful = F.lit(False)
+    for folds in ((0,), (1,), (0, 1)):
+        share, t = toxic_side(folds)
+        if share:
+            hopeful = hopeful | (_log_odds(t, F.lit(0.0), share)[1] >= LEAST_SIGNIFICANCE)
+    hopes = cut(toxic.filter(hopeful))
+    counts = cut(hopes.join(_clean_counts(labelled, hopes), "unit", "left").fillna(0, ["c0", "c1"]))
+
+    def weights(folds: tuple[int, ...]) -> Weights:
+        share, t = toxic_side(folds)
+        clean = sum((F.col(f"c{f}") for f in folds[1:]), F.col(f"c{folds[0]}"))
+        return _significant(counts, share, t, clean) if share else Weights(np.empty(0, np.int64), np.empty(0), frozenset())
 
     spark = labelled.sparkSession
-    halves = spark.sparkContext.broadcast([learn((1,)), learn((0,))])
+    halves = spark.sparkContext.broadcast([weights((1,)), weights((0,))])
 
     def scan() -> object:
         scanners = [Scanner(w) for w in halves.value]
@@ -318,7 +367,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     step = F.least(F.round(F.aggregate(each, F.lit(0.0), lambda a, b: a + b) / _EVIDENCE_STEP), F.lit(_EVIDENCE_TOP))
     table = scanned.groupBy(step.alias("step")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).collect()
     offset, slope = _logistic([(r["step"] * _EVIDENCE_STEP, r["t"], r["c"]) for r in table] or [(0.0, 0, 0)])
-    return ToxicityModel(learn((0, 1)), decay, rate, offset, slope)
+    return ToxicityModel(weights((0, 1)), decay, rate, offset, slope)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
