@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexatlas.operators import (
     categories, causal, cleaning, clusters, contributions, density, effects, encode, gram, importance, layout, outcomes as out,
-    points, profiling, ranking, reduce, sampling, topics, vectors,
+    placement, points, profiling, ranking, reduce, sampling, topics, vectors,
 )
 from lexatlas.session import cut
 from lexatlas.spec import AnalysisSpec, Outcome
@@ -24,6 +24,7 @@ class Analysis:
     tables: dict[str, DataFrame]
     reduction: reduce.Reduction
     scorer: Scorer
+    map: placement.DocumentMap
     chosen: dict
     notes: list[str]
 
@@ -120,7 +121,10 @@ def analyze(
     reduction = reduce.fit_reduction(vec, "embedding", spec.n_components)
     chosen = parameters(check["n_vectors"], check["max_dim"], spec, spark)
     pcs = cut(reduction.transform(vec, "embedding").select("id", "pc"))
-    coords = cut(layout.layout(pcs, "pc", "id", spec.dimensions, chosen["n_neighbors"], spec.layout_iterations))
+    drawn = layout.layout(
+        pcs, "pc", "id", spec.dimensions, chosen["n_neighbors"], spec.layout_iterations, spec.layout_tolerance, spec.approximate_neighbors
+    )
+    coords = cut(drawn.points)
     axes = tuple(c for c in coords.columns if c != "id")
     labels = cut(
         density.density_clusters(
@@ -132,6 +136,7 @@ def analyze(
     tables: dict[str, DataFrame] = {"sampled_documents": docs, "embeddings": vec, "components": pcs, "coordinates": coords, "assignments": labels}
     ids = cleaning.anonymise(full.withColumnRenamed(spec.id, "id") if spec.id != "id" else full, "id", numbers)
     tables["id_mapping"] = ids
+    tables["layout_convergence"] = drawn.convergence
     tables["variance"] = reduction.variance_table(spark)
     tables["loadings"] = reduction.loadings_table(spark)
     long = ranking.long_view(pcs, "id", "pc")
@@ -186,7 +191,8 @@ def analyze(
         reduction, topic_rows, thresholds if thresholds is not None else spark.createDataFrame([], "outcome string, low double, high double"),
         tuple(numeric[:2]), check["max_dim"], load, prefix,
     )
-    return Analysis(spec, tables, reduction, scorer, chosen, notes)
+    placed_map = placement.DocumentMap(reduction, pcs.join(coords, "id"), axes, chosen["n_neighbors"])
+    return Analysis(spec, tables, reduction, scorer, placed_map, chosen, notes)
 
 
 def estimate_effects(tables, placed, vec, pcs, spec, chosen, names, controls, notes) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lexatlas.operators import categories, clusters, density, encode, layout, neighbours, points as pts, ranking, reduce
+from lexatlas.operators import approximate, categories, clusters, density, encode, layout, neighbours, placement, points as pts, ranking, reduce
 from lexatlas.operators.outcomes import thresholds
 from lexatlas.plans.catalog import query
 from lexatlas.plans.frames import LENGTH, POINTS_SQL, SENTENCES, docs, final, points, rounded_sql, table
@@ -16,6 +16,8 @@ from lexatlas.spec import AnalysisSpec
 from lexatlas.streaming import scoring
 
 W = "WITH "
+#: Points of a block in the queries: the test tables then have eight cells and more.
+CELL = 50
 
 
 def _vectors(spark, sf):
@@ -36,12 +38,12 @@ def _knn(distance: str) -> str:
 
 @query("j11_knn_cosine", rounded_sql("dist", _knn("1 - list_cosine_similarity(a.e, b.e)")))
 def j11(spark, sf):
-    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine"))
+    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", CELL))
 
 
 @query("j11_knn_euclidean", rounded_sql("dist", _knn("list_distance(a.e, b.e)")))
 def j11b(spark, sf):
-    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "euclidean"))
+    return final(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "euclidean", CELL))
 
 
 _RHO = _knn("1 - list_cosine_similarity(a.e, b.e)")
@@ -53,27 +55,112 @@ _RHO = _knn("1 - list_cosine_similarity(a.e, b.e)")
 )
 def r5a(spark, sf):
     """Local scaling: the weight of the nearest neighbour is 1 and the weights add up to log2(k)."""
-    edges = cut(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine"))
+    edges = cut(neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", CELL))
     w = layout.local_scaling(edges, 10)
     full = w.groupBy("src").agg(F.count_if(F.col("w") > 1 - 1e-12).alias("n_full"), F.sum("w").alias("_s"))
     full = full.where(F.abs(F.col("_s") - F.log2(F.lit(10.0))) < 1e-3)
     return final(edges.groupBy("src").agg(F.min("dist").alias("nearest")).join(full.select("src", "n_full"), "src"))
 
 
-@query("r5_fuzzy_union")
+@query(
+    "j11_approximate_recall",
+    "SELECT 10 * count(*)::BIGINT AS n, true AS recalled, true AS ends FROM embeddings",
+)
+def j11c(spark, sf):
+    """At least 0.95 of the exact neighbours are found, and the rounds end because hardly anything changes."""
+    found = approximate.approximate_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", bucket=CELL, largest=4 * CELL)
+    exact = neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", CELL)
+    last = F.lit(found.rounds[-1][1] < approximate.ENOUGH)
+    return approximate.recall(found.neighbours, exact).select("n", (F.col("recall") >= 0.95).alias("recalled"), last.alias("ends"))
+
+
+@query(
+    "j11_approximate_lists",
+    rounded_sql("dist", W + _V + """, d AS (SELECT a.id AS src, min(1 - list_cosine_similarity(a.e, b.e)) AS dist FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id)
+      SELECT src, dist, 10::BIGINT AS n, 10::BIGINT AS n_different, true AS in_order, true AS exact FROM d"""),
+)
+def j11d(spark, sf):
+    """Every row has ten different others, in order, with their true distances; the nearest of all is among them."""
+    v = _vectors(spark, sf)
+    found = approximate.approximate_neighbours(v, 10, "id", "embedding", "cosine", tables=8, bucket=CELL, largest=4 * CELL).neighbours
+    one = lambda side: v.select(F.col("id").alias(side), F.transform("embedding", lambda x: x.cast("double")).alias(f"_{side}"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    true = 1 - dot("_src", "_dst") / F.sqrt(dot("_src", "_src") * dot("_dst", "_dst"))
+    checked = found.join(one("src"), "src").join(one("dst"), "dst").withColumn("ok", F.abs(true - F.col("dist")) < 1e-9)
+    lists = checked.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dist", "dst"))).alias("l"), F.bool_and("ok").alias("exact"))
+    size = lambda c: F.size(c).cast("bigint")
+    return final(lists.select(
+        "src", F.col("l")[0]["dist"].alias("dist"), size("l").alias("n"), size(F.array_distinct("l.dst")).alias("n_different"),
+        (F.array_sort("l.dist") == F.col("l.dist")).alias("in_order"), "exact",
+    ))
+
+
+_SIGMA = """, g AS (SELECT src, list(dst ORDER BY rank) AS dsts, list(dist ORDER BY rank) AS ds FROM n GROUP BY src),
+  h AS (SELECT src, dsts, ds, list_transform(ds, lambda d: greatest(d - coalesce(list_min(list_filter(ds, lambda x: x > 0)), 0), 0)) AS gap FROM g),
+  b AS (SELECT src, dsts, ds, gap, list_reduce(list_prepend({'lo': 0.0::DOUBLE, 'hi': 'inf'::DOUBLE, 's': 1.0::DOUBLE}, list_transform(range(64), lambda i: {'lo': i::DOUBLE, 'hi': 0.0::DOUBLE, 's': 0.0::DOUBLE})),
+    lambda a, x: CASE WHEN abs(list_sum(list_transform(gap, lambda q: exp(-q / a.s))) - log2(10)) < 1e-5 THEN a
+      WHEN list_sum(list_transform(gap, lambda q: exp(-q / a.s))) > log2(10) THEN {'lo': a.lo, 'hi': a.s, 's': (a.lo + a.s) / 2}
+      ELSE {'lo': a.s, 'hi': a.hi, 's': CASE WHEN isinf(a.hi) THEN a.s * 2 ELSE (a.s + a.hi) / 2 END} END).s AS sigma FROM h),
+  w AS (SELECT src, unnest(dsts) AS dst, unnest(list_transform(gap, lambda q: exp(-q / greatest(sigma, 1e-3 * list_avg(ds))))) AS w FROM b)"""
+
+
+@query(
+    "r5_fuzzy_union",
+    rounded_sql("w", f"WITH n AS ({_RHO})" + _SIGMA + """, u AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w)
+      SELECT src, dst, sum(w) - CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END AS w FROM u GROUP BY src, dst"""),
+)
 def r5b(spark, sf):
-    edges = neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine")
+    edges = neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", CELL)
     return final(layout.fuzzy_union(layout.local_scaling(edges, 10)))
 
 
-@query("r5_layout")
+@query(
+    "r5_eigen_equation",
+    "SELECT unnest(range(0, 3))::INTEGER AS axis, (SELECT count(*) FROM embeddings)::BIGINT AS n, true AS holds, true AS unit, true AS reported",
+)
+def r5c(spark, sf):
+    """The graph times an axis is its eigenvalue times the axis, up to the tolerance, and the residual is the one that is reported."""
+    edges = neighbours.nearest_neighbours(_vectors(spark, sf), 10, "id", "embedding", "cosine", CELL)
+    graph = cut(layout.fuzzy_union(layout.local_scaling(edges, 10)))
+    made = layout.spectral_coordinates(graph, 3)
+    axes = made.axes.select("id", F.posexplode(F.array("c0", "c1", "c2")).alias("axis", "x"))
+    degree = graph.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg"))
+    scaled = graph.join(degree.withColumnRenamed("id", "src"), "src").join(degree.select(F.col("id").alias("dst"), F.col("deg").alias("_d")), "dst")
+    moved = scaled.join(axes.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "axis").agg(F.sum(F.col("w") / F.sqrt(F.col("deg") * F.col("_d")) * F.col("x")).alias("ax"))
+    both = moved.join(axes, ["id", "axis"]).join(F.broadcast(made.convergence_table()), "axis")
+    sums = both.groupBy("axis").agg(
+        F.count("*").alias("n"), F.sqrt(F.sum((F.col("ax") - F.col("eigenvalue") * F.col("x")) ** 2)).alias("r"), F.sum(F.col("x") ** 2).alias("s"), F.first("residual").alias("residual")
+    )
+    return sums.select("axis", "n", (F.col("r") <= layout.TOLERANCE * 1.001).alias("holds"), (F.abs(F.col("s") - 1) < 1e-9).alias("unit"), (F.abs(F.col("r") - F.col("residual")) < 1e-6).alias("reported"))
+
+
+@query("r5_layout", "SELECT count(*)::BIGINT AS n, true AS centred, 1.0::DOUBLE AS largest FROM embeddings")
 def r5(spark, sf):
-    return final(layout.layout(_vectors(spark, sf), "embedding", "id", 3, 10))
+    """The map is centred and its largest coordinate is 1."""
+    points = layout.layout(_vectors(spark, sf), "embedding", "id", 3, 10).points
+    mean = F.greatest(*[F.abs(F.avg(a)) for a in "xyz"])
+    return final(points.agg(F.count("*").alias("n"), (mean < 1e-9).alias("centred"), F.greatest(*[F.max(F.abs(a)) for a in "xyz"]).alias("largest")))
+
+
+@query(
+    "r4_new_coordinates",
+    rounded_sql("x y z", W + _V + """, o AS (SELECT * FROM v WHERE id % 4 <> 0),
+      d AS (SELECT a.id, b.id AS nid, b.e[1] AS x, b.e[2] AS y, b.e[3] AS z, 1 - list_cosine_similarity(a.e, b.e) AS dist FROM v a JOIN o b ON true),
+      r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS k FROM d QUALIFY k <= 10),
+      m AS (SELECT *, min(dist) OVER (PARTITION BY id) AS least, avg(dist) OVER (PARTITION BY id) - min(dist) OVER (PARTITION BY id) AS gap FROM r),
+      w AS (SELECT *, CASE WHEN least <= 1e-9 THEN (dist <= 1e-9)::INTEGER::DOUBLE WHEN gap > 0 THEN exp(-(dist - least) / gap) ELSE 1.0 END AS w FROM m)
+      SELECT id, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y, sum(w * z) / sum(w) AS z FROM w GROUP BY id"""),
+)
+def r4c(spark, sf):
+    """Three quarters of the documents are on the map, by their first three positions; all are placed, those on it where they are."""
+    v = _vectors(spark, sf)
+    known = v.where("id % 4 <> 0").select("id", "embedding", *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+    return final(placement.new_coordinates(known, v, "embedding", block=CELL))
 
 
 @query("c1_density_clusters")
 def c1(spark, sf):
-    return density.density_clusters(_vectors(spark, sf).withColumnRenamed("embedding", "v"), "id", "v", 10, 3)
+    return density.density_clusters(_vectors(spark, sf).withColumnRenamed("embedding", "v"), "id", "v", 10, 3, CELL)
 
 
 @query("r2_component_scores")

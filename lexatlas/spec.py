@@ -83,7 +83,9 @@ class AnalysisSpec:
     n_components: int = 200
     dimensions: int = 3
     n_neighbors: int | None = None
-    layout_iterations: int = 20
+    layout_iterations: int = 400  # products with the neighbour graph, beyond which the layout fails
+    layout_tolerance: float = 1e-3
+    approximate_neighbors: bool = False
     # clustering
     cluster_mode: str | None = None
     min_cluster_size: int | None = None

@@ -12,7 +12,7 @@ def test_analyze(spark):
     d = docs(spark, SMALL).withColumnRenamed("id", "essay")
     spec = AnalysisSpec(
         id="essay", outcomes=(Outcome("sentence_count"), Outcome("text_length")), controls=(Control("n_words"),), n_components=4, dimensions=2,
-        sample_size=90, layout_iterations=5, min_cluster_size=5, min_samples=2, selection_methods=("ridge",), primary_method="gbt", n_top=2,
+        sample_size=90, min_cluster_size=5, min_samples=2, selection_methods=("ridge",), primary_method="gbt", n_top=2,
     )
     a = analyze(d, spec, dim=16)
     t = a.tables

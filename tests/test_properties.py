@@ -133,7 +133,10 @@ def test_neighbours_with_copies(spark, metric, block):
 def test_layout(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(c, 0.1, size=(30, 6)) for c in np.eye(6)[:3] * 3])
-    rows = layout.layout(frame(spark, x), "v", "id", 2, 8, 15).orderBy("id").collect()
+    made = layout.layout(frame(spark, x), "v", "id", 2, 8)
+    settled = made.convergence.collect()
+    assert len(settled) == 2 and all(r["residual"] <= 1e-3 and r["eigenvalue"] > 0.99 for r in settled)  # three groups apart
+    rows = made.points.orderBy("id").collect()
     c = np.array([[r["x"], r["y"]] for r in rows])
     assert len(c) == 90 and np.abs(c).max() == pytest.approx(1.0) and c.mean(0) == pytest.approx([0, 0], abs=1e-9)
     centres = np.array([c[i * 30 : i * 30 + 30].mean(0) for i in range(3)])
