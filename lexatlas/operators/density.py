@@ -7,7 +7,7 @@
 3. Components below the minimum cluster size are merged along their shortest edges, or absorbed by a
    component that has reached it. What remains is a tree of seeds in which every edge is a true
    split of two clusters, no larger than rows / min_cluster_size.
-4. The tree of seeds is small enough for the driver (checked); stabilities are sums over the rows.
+4. The tree of seeds and its clusters are found in rounds of joins (:mod:`lexatlas.operators.cluster_tree`).
 """
 
 from __future__ import annotations
@@ -16,15 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lexatlas.operators.cluster_tree import IN_TASK, NOISE, chains_followed, cluster_labels
 from lexatlas.operators.neighbours import BLOCK, Index, build_index, distances, meet, point_neighbours, visits
+from lexatlas.operators.ranking import attach
 from lexatlas.session import cut
 
-#: Edges or components that one task or the driver may finish. 0: all sizes take the distributed path.
-SMALL_GRAPH = 0
-MAX_SEEDS = 2_000_000  # seeds whose tree the driver may hold (about 200 MB)
-NEAR_ZERO = 1e-10  # smallest distance used for a density
-NOISE = -1
-
 
 def core_distances(index: Index, near: DataFrame, k: int, min_samples: int) -> DataFrame:
     """(rid, core, reach): distance to the ``min_samples``-th other row, and how far the list of
@@ -56,42 +52,16 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")})
 
 
-def roots(best: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def roots(best: DataFrame) -> DataFrame:
     """(comp, root): connected components of the chosen edges.
 
-    With a total order of the edges the only cycles are pairs that chose each other. Many components
-    are resolved by pointer jumping; what fits ``small_graph`` by one walk on the driver.
+    With a total order of the edges the only cycles are pairs that chose each other; the smaller one is the root.
     """
     p = best.select("comp", F.col("other").alias("p"))
-    if best.count() <= small_graph:
-        table = p.toPandas()
-        nxt = dict(zip(table["comp"], table["p"]))
-        done: dict = {}
-        for c in nxt:
-            path = []
-            while c not in done and nxt[nxt[c]] != c:
-                path.append(c)
-                c = nxt[c]
-            root = done[c] if c in done else min(c, nxt[c])
-            for x in [*path, c]:
-                done[x] = root
-        pdf = pd.DataFrame({"comp": list(done.keys()), "root": list(done.values())})
-        t = dict(best.dtypes)["comp"]
-        return best.sparkSession.createDataFrame(pdf, f"comp {t}, root {t}")
     back = p.select(F.col("comp").alias("p"), F.col("p").alias("_pp"))
-    p = cut(
-        p.join(back, "p", "left").select(
-            "comp", F.when((F.col("_pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp")).otherwise(F.col("p")).alias("p")
-        )
-    )
-    while True:
-        for _ in range(2):
-            q = p.select(F.col("comp").alias("p"), F.col("p").alias("_q"))
-            p = p.join(q, "p").select("comp", F.col("_q").alias("p"))
-        p = cut(p)
-        q = p.select(F.col("comp").alias("p"), F.col("p").alias("_q"))
-        if p.join(q, "p").where(F.col("_q") != F.col("p")).limit(1).count() == 0:
-            return p.withColumnRenamed("p", "root")
+    mutual = (F.col("_pp") == F.col("comp")) & (F.col("comp") < F.col("p"))
+    steps = p.join(back, "p", "left").select(F.col("comp").alias("node"), F.when(mutual, F.col("comp")).otherwise(F.col("p")).alias("to"))
+    return chains_followed(steps).withColumnRenamed("node", "comp")
 
 
 def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) -> DataFrame | None:
@@ -158,7 +128,7 @@ def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) ->
     return meet(index, visiting, points.select("cell", "blk", "rid", "v", "core", "comp"), nearest, schema)
 
 
-def spanning_tree(index: Index, near: DataFrame, core: DataFrame, small_graph: int = SMALL_GRAPH) -> DataFrame:
+def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
     """(u, v, w): the minimum spanning tree over the points under mutual reachability."""
     id_type = dict(index.points.dtypes)["rid"]
     points = cut(index.points.join(core, "rid").withColumn("comp", F.col("rid")))
@@ -180,7 +150,7 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame, small_graph: i
             best = cut(_best(_ends(edges.select("comp", "u", "v", "w", "other").unionByName(searched.select("comp", "u", "v", "w", "other")))))
         chosen = cut(best.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
-        to = roots(best, small_graph)
+        to = roots(best)
         points = cut(points.join(to, "comp").drop("comp").withColumnRenamed("root", "comp"))
         edges = cut(
             edges.join(to, "comp")
@@ -195,59 +165,12 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame, small_graph: i
     return tree if tree is not None else points.sparkSession.createDataFrame([], f"u {id_type}, v {id_type}, w double")
 
 
-def merge_small(edges: pd.DataFrame, comps: pd.DataFrame, size: int):
-    """The contraction of :func:`seeds` on a graph that fits one task, edges in order of length.
-
-    Returns (component, seed, w) where a component leaves its cluster, (seed, w) where a seed formed,
-    and the links between seeds.
-    """
-    weight = dict(zip(comps["comp"], comps["size"]))
-    seed_of = {c: c for c, big in zip(comps["comp"], comps["big"]) if big}
-    group = {c: [c] for c in weight if c not in seed_of}
-    left, formed, links = [], [], []
-    for a, b, w, lo, hi in edges.sort_values(["w", "lo", "hi"])[["a", "b", "w", "lo", "hi"]].itertuples(index=False):
-        if a in seed_of and b in seed_of:
-            links.append((seed_of[a], seed_of[b], w, lo, hi))
-        elif a in seed_of or b in seed_of:
-            inside, outside = (a, b) if a in seed_of else (b, a)
-            for c in group[outside]:
-                seed_of[c] = seed_of[inside]
-                left.append((c, seed_of[inside], w))
-        else:
-            joined = group[a] + group[b]
-            total = sum(weight[c] for c in joined)
-            for c in joined:
-                group[c] = joined
-            if total >= size:
-                head = min(joined)
-                formed.append((head, w))
-                for c in joined:
-                    seed_of[c] = head
-                    left.append((c, head, w))
-    return left, formed, links
-
-
-def _finish(links: DataFrame, comps: DataFrame, size: int, id_type: str) -> DataFrame:
-    """:func:`merge_small` as one task over a bounded graph: (kind, a, b, w, lo, hi)."""
-    schema = f"kind string, a {id_type}, b {id_type}, w double, lo {id_type}, hi {id_type}"
-
-    def run(e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        left, formed, kept = merge_small(e, c, size)
-        rows = [("left", a, b, w, a, b) for a, b, w in left] + [("formed", a, a, w, a, a) for a, w in formed]
-        rows += [("link", *r) for r in kept]
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "w", "lo", "hi"])
-
-    one = F.lit(0).alias("_one")
-    return links.groupBy(one).cogroup(comps.groupBy(one)).applyInPandas(run, schema)
-
-
-def seeds(tree: DataFrame, sizes: DataFrame, size: int, small_graph: int = SMALL_GRAPH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def seeds(tree: DataFrame, sizes: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Contract everything below the minimum size.
 
     ``sizes`` is (rid, m, core). Returns ``members`` (rid, m, seed, w: where the row leaves its
     cluster), ``formed`` (seed, w: where the seed reached the size), ``links`` (a, b, w between seeds).
     """
-    id_type = dict(sizes.dtypes)["rid"]
     start = sizes.withColumn("comp", F.col("rid"))
     big = start.where(F.col("m") >= size)  # many copies of one vector
     members = [cut(big.select("rid", "m", F.col("comp").alias("seed"), F.col("core").alias("w")))]
@@ -256,16 +179,6 @@ def seeds(tree: DataFrame, sizes: DataFrame, size: int, small_graph: int = SMALL
     small = cut(start.where(F.col("m") < size).select("rid", "m", "comp"))
     links = cut(tree.select(F.col("u").alias("a"), F.col("v").alias("b"), "w", F.col("u").alias("lo"), F.col("v").alias("hi")))
     while small.limit(1).count():
-        if links.count() <= small_graph:
-            touched = comps.join(
-                links.select(F.col("a").alias("comp")).unionByName(links.select(F.col("b").alias("comp"))), "comp", "left_semi"
-            )
-            out = cut(_finish(links, touched, size, id_type))
-            left = out.where("kind = 'left'").select(F.col("a").alias("comp"), F.col("b").alias("seed"), "w")
-            members.append(small.join(left, "comp").select("rid", "m", "seed", "w"))
-            formed.append(out.where("kind = 'formed'").select(F.col("a").alias("seed"), "w"))
-            links = out.where("kind = 'link'").select("a", "b", "w", "lo", "hi")
-            break
         ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "lo", "hi"))
         away = ways.withColumnRenamed("a", "comp").withColumnRenamed("b", "other")
         info = comps.select(F.col("comp").alias("other"), F.col("big").alias("_ob"), F.col("size").alias("_os"))
@@ -323,126 +236,16 @@ def seeds(tree: DataFrame, sizes: DataFrame, size: int, small_graph: int = SMALL
     return all_members, all_formed, links
 
 
-class ClusterTree:
-    """Merges of the seeds in order of distance: every inner node is a split into two clusters."""
-
-    def __init__(self, seed_ids, formed, a, b, w):
-        n = len(seed_ids)
-        at = {s: i for i, s in enumerate(seed_ids)}
-        total = max(2 * n - 1, 1)
-        self.n, self.parent = n, np.full(total, -1, dtype=np.int64)
-        self.low, self.high = np.zeros(total), np.full(total, np.inf)
-        self.low[:n] = formed
-        self.children = np.full((total, 2), -1, dtype=np.int64)
-        head = list(range(n))
-        top = list(range(n))
-
-        def find(i):
-            while head[i] != i:
-                head[i] = head[head[i]]
-                i = head[i]
-            return i
-
-        new = n
-        for x, y, d in zip(a, b, w):
-            i, j = find(at[x]), find(at[y])
-            p, q = top[i], top[j]
-            self.parent[p] = self.parent[q] = new
-            self.high[p] = self.high[q] = d
-            self.low[new] = d
-            self.children[new] = (p, q)
-            head[j] = i
-            top[i] = new
-            new += 1
-        self.size_used = new
-
-    def select(self, mass: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Node -> chosen ancestor or self, -1 for none. ``mass`` is the sum of 1/w and ``rows`` the
-        number of the rows that leave at each node. The root is never chosen."""
-        total = self.size_used
-        size = rows.astype(float).copy()
-        value = np.zeros(total)
-        chosen = np.zeros(total, dtype=bool)
-        for node in range(total):
-            kids = self.children[node]
-            born = 0.0 if np.isinf(self.high[node]) else 1.0 / max(self.high[node], NEAR_ZERO)
-            stability = mass[node] - rows[node] * born
-            if kids[0] >= 0:
-                inner = size[kids[0]] + size[kids[1]]
-                size[node] += inner
-                stability += inner * (1.0 / max(self.low[node], NEAR_ZERO) - born)
-                below = value[kids[0]] + value[kids[1]]
-                chosen[node] = not below > stability
-                value[node] = max(below, stability)
-            else:
-                chosen[node], value[node] = True, stability
-        root = total - 1
-        chosen[root] = False
-        out = np.full(total, -1, dtype=np.int64)
-        for node in range(total - 1, -1, -1):
-            p = self.parent[node]
-            if p >= 0 and out[p] >= 0:
-                out[node] = out[p]
-            elif chosen[node]:
-                out[node] = node
-        self.sizes = size
-        return out
-
-
 def density_clusters(
-    df: DataFrame, id_col: str = "id", vector: str = "v", min_cluster_size: int = 20, min_samples: int = 3, block: int = BLOCK,
-    small_graph: int = SMALL_GRAPH,
+    df: DataFrame, id_col: str = "id", vector: str = "v", min_cluster_size: int = 20, min_samples: int = 3, block: int = BLOCK, in_task: int = IN_TASK
 ) -> DataFrame:
     """(id, cluster_id). Noise is -1; clusters are numbered from the largest."""
     k = max(min_samples + 2, 8)
     index = build_index(df, id_col, vector, k, cosine=False, block=block)
     near = cut(point_neighbours(index, k))
     core = cut(core_distances(index, near, k, min_samples))
-    tree = spanning_tree(index, near, core, small_graph)
+    tree = spanning_tree(index, near, core)
     sizes = index.copies.select("rid", "m").join(core.select("rid", "core"), "rid")
-    members, formed, links = seeds(tree, sizes, min_cluster_size, small_graph)
-    labels = label_members(members, formed, links)
-    return index.rows.join(labels, "rid", "left").select("id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))
-
-
-def label_members(members: DataFrame, formed: DataFrame, links: DataFrame) -> DataFrame:
-    """(rid, cluster_id) by excess of mass over the tree of seeds."""
-    spark = members.sparkSession
-    formed = cut(formed)
-    n = formed.count()
-    if n > MAX_SEEDS:
-        raise ValueError(f"{n} groups reach min_cluster_size, the limit is {MAX_SEEDS}: raise min_cluster_size")
-    if n < 2:
-        return members.select("rid", F.lit(NOISE).alias("cluster_id"))
-    seeds_pdf = formed.orderBy("seed").toPandas()  # at most MAX_SEEDS rows
-    links_pdf = links.select("a", "b", "w", "lo", "hi").toPandas().sort_values(["w", "lo", "hi"])
-    tree = ClusterTree(list(seeds_pdf["seed"]), seeds_pdf["w"].to_numpy(), links_pdf["a"], links_pdf["b"], links_pdf["w"])
-    seed_type = dict(formed.dtypes)["seed"]
-    leaf = spark.createDataFrame(
-        pd.DataFrame({"seed": seeds_pdf["seed"], "leaf": np.arange(n, dtype=np.int64)}), f"seed {seed_type}, leaf bigint"
-    )
-    shared = spark.sparkContext.broadcast((tree.parent, tree.high))
-
-    @F.pandas_udf("bigint")
-    def climb(leaf: pd.Series, w: pd.Series) -> pd.Series:
-        parent, high = shared.value
-        node, w = leaf.to_numpy().copy(), w.to_numpy()
-        while True:
-            up = (parent[node] >= 0) & (w >= high[node])
-            if not up.any():
-                return pd.Series(node)
-            node[up] = parent[node[up]]
-
-    placed = cut(members.join(leaf, "seed").select("rid", "m", "w", climb("leaf", "w").alias("node")))
-    sums = placed.groupBy("node").agg(
-        F.sum(F.col("m") / F.greatest("w", F.lit(NEAR_ZERO))).alias("mass"), F.sum("m").alias("rows")
-    ).toPandas()  # one row per node of the tree
-    mass, rows = np.zeros(tree.size_used), np.zeros(tree.size_used)
-    mass[sums["node"]], rows[sums["node"]] = sums["mass"], sums["rows"]
-    chosen = tree.select(mass, rows)
-    picked = sorted(set(chosen[chosen >= 0]), key=lambda c: (-tree.sizes[c], c))
-    number = {c: i for i, c in enumerate(picked)}
-    table = spark.createDataFrame(
-        pd.DataFrame({"node": np.arange(tree.size_used), "cluster_id": [number.get(c, NOISE) for c in chosen]}), "node bigint, cluster_id int"
-    )
-    return placed.join(table, "node").select("rid", "cluster_id")
+    labels = cut(cluster_labels(*seeds(tree, sizes, min_cluster_size), in_task))
+    facts = index.copies.select("rid", F.col("m").alias("cnt")).join(labels, "rid", "left")
+    return attach(index.rows, facts, ["rid"], F.xxhash64("id")).select("id", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id"))

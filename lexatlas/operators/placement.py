@@ -29,7 +29,7 @@ def new_coordinates(
     queries = search_vectors(numbered.select("_q", features).dropDuplicates(["_q"]), "_q", features, True).withColumnRenamed("id", "rid")
     near = point_neighbours(index, k, queries)
     places = reference.select(F.col(id_col).alias("nid"), *axes)
-    lists = near.join(places, "nid").groupBy("rid").agg(F.collect_list(F.struct("dist", *axes)).alias("n"))  # k entries
+    lists = near.join(places, "nid").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("dist", *axes))).alias("n"))  # k entries
     least = F.array_min(F.col("n.dist"))
     gap = F.aggregate("n", F.lit(0.0), lambda s, e: s + e["dist"]) / F.size("n") - least
     weighted = lists.withColumns({"_least": least, "_gap": gap}).withColumn(

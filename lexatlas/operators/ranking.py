@@ -126,35 +126,79 @@ def row_positions(df: DataFrame, groups: list[str], cell: Column, order: list, n
     )
 
 
+#: Of each wanted quantile the sketch gives values this share of the rows below and above it. Its own error is a tenth of that.
+MARGIN, ACCURACY = 0.002, 5000
+#: Groups in which the margin is less than three rows are counted whole.
+WHOLE_GROUP = 1500
+
+
+def bracketed_ranks(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> tuple[DataFrame, DataFrame]:
+    """What :func:`value_ranks` gives, but only the values near the wanted quantiles are told apart; and the brackets.
+
+    A sketch gives a bracket around each quantile; one more pass counts the rows between the brackets, each
+    stretch as one row under its smallest value, and the values inside. So the shuffle is a small share of
+    the rows, and positions inside the brackets are exact. ``df`` is read twice. The brackets are one row
+    (groups.., _low, _high: an entry per quantile) for each group.
+    """
+    keys = groups or ["_all"]
+    rows = df.where(F.col(value).isNotNull()).select(*groups, value, *([] if groups else [F.lit(0).alias("_all")]))
+    wanted = [min(1.0, max(0.0, p + side * MARGIN)) for p in probs for side in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("cnt"), F.percentile_approx(value, wanted, ACCURACY).alias("_e"))
+    whole = F.col("cnt") <= WHOLE_GROUP
+    edge = lambda i, p, end: F.when(whole | F.lit(p in (0.0, 1.0)), F.lit(None)).otherwise(F.col("_e")[i]).alias(end)
+    low = F.array(*[edge(2 * i, wanted[2 * i], "l") for i in range(len(probs))])
+    high = F.array(*[edge(2 * i + 1, wanted[2 * i + 1], "h") for i in range(len(probs))])
+    brackets = cut(sketch.select(*keys, "cnt", low.alias("_low"), high.alias("_high")))
+    marked = attach(rows, brackets, keys, F.xxhash64(value)).drop("cnt")
+    v = F.col(value)
+    between = F.arrays_zip("_low", "_high")
+    inside = F.exists(between, lambda b: (b["_low"].isNull() | (b["_low"] <= v)) & (b["_high"].isNull() | (v <= b["_high"])))
+    below = F.size(F.filter(F.concat("_low", "_high"), lambda e: e.isNotNull() & (e < v)))
+    told = marked.withColumn("_inside", inside).select(*keys, value, F.when(F.col("_inside"), v).alias("_v"), F.when(~F.col("_inside"), below).alias("_stretch"))
+    counts = told.groupBy(*keys, "_v", "_stretch").agg(F.count("*").alias("cnt"), F.min(value).alias(value))
+    return value_ranks(counts.select(*groups, value, "cnt"), groups, value, counted=True), brackets
+
+
+def _order_statistics(df: DataFrame, groups: list[str], value: str, probs: list[float], at: list[tuple[str, int, Column]], ranks: DataFrame | None) -> DataFrame:
+    """(groups.., total, names..): for each (name, number of the quantile, index) the value at the index, which the brackets hold."""
+    brackets = None
+    if ranks is None:
+        ranks, brackets = bracketed_ranks(df, groups, value, probs)
+    upto = F.col("below") + F.col("cnt")
+    aggs = [F.max("total").alias("total")] + [F.max(F.when((F.col("below") <= index) & (index < upto), F.col(value))).alias(name) for name, _, index in at]
+    wide = ranks.groupBy(*groups).agg(*aggs) if groups else ranks.agg(*aggs)
+    if brackets is None:
+        return wide
+    # The sketch keeps its error bound; if it ever did not, the query fails instead of giving a wrong number.
+    keyed = wide if groups else wide.withColumn("_all", F.lit(0))
+    both = keyed.join(brackets.drop("cnt"), groups or ["_all"], "left")
+
+    def held(name: str, i: int) -> Column:
+        v, low, high = F.col(name), F.get("_low", F.lit(i)), F.get("_high", F.lit(i))
+        wrong = (low.isNotNull() & (v < low)) | (high.isNotNull() & (v > high))
+        return F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit(f"{name}: outside of the sketched bracket"))).otherwise(v).alias(name)
+
+    return both.select(*groups, "total", *[held(name, i) for name, i, _ in at])
+
+
 def quantiles(
     df: DataFrame, groups: list[str], value: str, probs: dict[str, float], ranks: DataFrame | None = None
 ) -> DataFrame:
-    """Exact linearly interpolated (type 7) quantiles per group: one column per entry of ``probs``."""
-    ranks = value_ranks(df, groups, value) if ranks is None else ranks
-    v, below, upto = F.col(value), F.col("below"), F.col("below") + F.col("cnt")
-    aggs = [F.max("total").alias("total")]
-    for name, p in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            aggs.append(F.max(F.when((below <= index) & (index < upto), v)).alias(f"_{name}_{side}"))
-    wide = ranks.groupBy(*groups).agg(*aggs) if groups else ranks.agg(*aggs)
+    """Exact linearly interpolated (type 7) quantiles per group: one column per entry of ``probs``. Without ``ranks``, ``df`` is read twice."""
+    h = {name: (F.col("total") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    at = [(f"_{name}_{side}", i, index) for i, name in enumerate(probs) for side, index in (("lo", F.floor(h[name])), ("hi", F.ceil(h[name])))]
+    wide = _order_statistics(df, groups, value, list(map(float, probs.values())), at, ranks)
     out = list(groups)
-    for name, p in probs.items():
-        h = (F.col("total") - 1) * F.lit(float(p))
+    for name in probs:
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (h - F.floor(h))).cast("double").alias(name))
+        out.append((lo + (hi - lo) * (h[name] - F.floor(h[name]))).cast("double").alias(name))
     return wide.select(*out)
 
 
 def floor_percentile(df: DataFrame, groups: list[str], value: str, percents: dict[str, float]) -> DataFrame:
-    """The order statistic at index floor(n * p / 100), null at p = 100."""
-    ranks = value_ranks(df, groups, value)
-    below, upto = F.col("below"), F.col("below") + F.col("cnt")
-    aggs = []
-    for name, p in percents.items():
-        index = F.floor(F.col("total") * F.lit(float(p)) / 100)
-        aggs.append(F.max(F.when((below <= index) & (index < upto), F.col(value))).alias(name))
-    return ranks.groupBy(*groups).agg(*aggs) if groups else ranks.agg(*aggs)
+    """The order statistic at index floor(n * p / 100), null at p = 100. ``df`` is read twice."""
+    at = [(name, i, F.floor(F.col("total") * F.lit(float(p)) / 100)) for i, (name, p) in enumerate(percents.items())]
+    return _order_statistics(df, groups, value, [float(p) / 100 for p in percents.values()], at, None).drop("total")
 
 
 # Fixed low/high percentages of the named presets.

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexatlas.functions.scalars import id_hash
-from lexatlas.operators import causal, clusters, contributions as con, density, gram, importance as imp, layout, neighbours, ranking, reduce, sampling, vectors
+from lexatlas.operators import causal, cluster_tree, clusters, contributions as con, density, gram, importance as imp, layout, neighbours, ranking, reduce, sampling, vectors
 from lexatlas.session import cut
 
 
@@ -171,13 +171,14 @@ def test_spanning_tree_and_clusters(spark):
     assert tree.agg(F.sum("w")).first()[0] == pytest.approx(total)
     assert tree.count() == len(x) - 12 - 1
     sizes = index.copies.select("rid", "m").join(core.select("rid", "core"), "rid")
-    labels = {}
-    for small_graph in (200_000, 0):
-        out = density.label_members(*density.seeds(tree, sizes, 8, small_graph))
-        labels[small_graph] = {r["rid"]: r["cluster_id"] for r in index.rows.join(out, "rid").select(F.col("id").alias("rid"), "cluster_id").collect()}
-    assert labels[0] == labels[200_000]
+    found = {}
+    for in_task in (1, 1000):
+        out = cluster_tree.cluster_labels(*density.seeds(tree, sizes, 8), in_task)
+        found[in_task] = {r["rid"]: r["cluster_id"] for r in index.rows.join(out, "rid").select(F.col("id").alias("rid"), "cluster_id").collect()}
+    assert found[1] == found[1000]
+    labels = found[1]
     for b in range(3):
-        own = {labels[0].get(i, -1) for i in range(len(x)) if truth[i] == b}
+        own = {labels.get(i, -1) for i in range(len(x)) if truth[i] == b}
         assert len(own - {-1}) == 1
 
 
