@@ -15,6 +15,7 @@ from lexatlas.functions.scalars import correlation, ratio
 from lexatlas.functions.tails import t_critical, t_tail
 from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, gram, ridge_fit, with_model_columns
+from lexatlas.operators.trees import fit_side_by_side, learner, training_frame
 from lexatlas.session import cut
 
 
@@ -112,20 +113,14 @@ def ridge_predictions(model: DataFrame, targets: list[str], k: int, id_col: str,
 def gbt_predictions(
     model: DataFrame, targets: list[str], k: int, id_col: str, n_trees: int = 100, depth: int = 5, seed: int = 42
 ) -> DataFrame:
-    """D3/D4 with boosted trees: K + 1 fits per target, each a distributed training job."""
+    """D3/D4 with boosted trees: K + 1 fits per target, side by side over one frame, each a distributed training."""
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
 
-    data = model.withColumn("_x", array_to_vector("features")).persist()
+    frame = training_frame(model, "features", ["fold", *targets])
+    asked = {(t, fold): (learner(t, n_trees, depth, seed), None if fold == -1 else F.col("fold") != fold) for t in targets for fold in [-1, *range(k)]}
+    fits = fit_side_by_side(frame, asked)
+    data = model.withColumn("_x", array_to_vector("features"))
     parts = []
-    fits: dict = {}
-    for t in targets:
-        learner = GBTRegressor(
-            featuresCol="_x", labelCol=t, predictionCol="_y", maxIter=n_trees, maxDepth=depth, stepSize=0.3, seed=seed,
-            checkpointInterval=10,
-        )
-        for fold in [-1, *range(k)]:
-            fits[t, fold] = learner.fit(data if fold == -1 else data.where(F.col("fold") != fold))
     for fold in range(k):
         part = data.where(F.col("fold") == fold)
         for t in targets:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import comb
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexatlas.functions.scalars import doubles, ratio
 from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, gram, ridge_fit
+from lexatlas.operators.trees import tree_nodes
 
 
 def linear_contributions(df: DataFrame, targets: list[str], features: str = "features", g: Gram | None = None, alpha: float = 1.0) -> DataFrame:
@@ -38,86 +36,64 @@ def one_feature_contribution(df: DataFrame, feature: str, target: str) -> DataFr
 # -- boosted trees ----------------------------------------------------------------------------------
 
 
-@dataclass
-class Leaves:
-    """One tree as its leaves: for each, the conditions on its path grouped by feature."""
-
-    features: list[np.ndarray]  # distinct features on the path
-    lows: list[np.ndarray]  # x > low
-    highs: list[np.ndarray]  # x <= high
-    gains: list[np.ndarray]  # 2^d patterns x d: what each feature adds, for every pattern of met conditions
-    base: float
-
-
-def _pattern_gains(z: np.ndarray, value: float) -> np.ndarray:
-    """Shapley values of the game v(S) = value * prod_{j in S} o_j * prod_{j not in S} z_j for all 2^d
-    patterns o of met conditions, where z_j is the share of training rows that follow the path when
-    feature j is unknown."""
-    d = len(z)
-    out = np.zeros((1 << d, d))
-    weights = [1.0 / (d * comb(d - 1, s)) for s in range(d)]
-    for pattern in range(1 << d):
-        o = np.array([(pattern >> j) & 1 for j in range(d)], dtype=float)
-        for i in range(d):
-            # Coefficients by number of known features among the others.
-            poly = np.array([1.0])
-            for j in range(d):
-                if j != i:
-                    poly = np.append(poly * z[j], 0.0) + np.append(0.0, poly * o[j])
-            out[pattern, i] = value * (o[i] - z[i]) * float(np.dot(poly, weights))
-    return out
+LEAF = "value double, share double, features array<int>, lows array<double>, highs array<double>, shares array<double>"
+
 
+def _leaves_of(tree: pd.DataFrame) -> pd.DataFrame:
+    """The leaves of one tree: weighted value, share of the training rows, and for each feature of the path its bounds and
+    the share of rows that follow it where the feature is unknown."""
+    at = {r.node: r for r in tree.itertuples(index=False)}
+    total, made = at[0].rows, []
+    held = [(0, {})]
+    while held:
+        node, path = held.pop()
+        r = at[node]
+        if r.left < 0:
+            names = sorted(path)
+            low, high, share = ([path[f][k] for f in names] for k in range(3))
+            made.append((r.weight * r.prediction, r.rows / total, names, low, high, share))
+            continue
+        for child, low, high in ((r.left, -np.inf, r.threshold), (r.right, r.threshold, np.inf)):
+            a, b, s = path.get(r.feature, (-np.inf, np.inf, 1.0))
+            held.append((child, {**path, r.feature: (max(a, low), min(b, high), s * at[child].rows / r.rows)}))
+    return pd.DataFrame(made, columns=["value", "share", "features", "lows", "highs", "shares"])
 
-def tree_leaves(tree, weight: float) -> Leaves:
-    """Read a fitted Spark regression tree."""
-    leaves = Leaves([], [], [], [], 0.0)
-    root = tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode")
-    total = float(root.impurityStats().count())
-
-    def walk(node, path):
-        if node.subtreeDepth() == 0:
-            by: dict[int, list[float]] = {}
-            for f, low, high, share in path:
-                c = by.setdefault(f, [-np.inf, np.inf, 1.0])
-                c[0], c[1], c[2] = max(c[0], low), min(c[1], high), c[2] * share
-            fs = sorted(by)
-            z = np.array([by[f][2] for f in fs])
-            value = weight * float(node.prediction())
-            leaves.features.append(np.array(fs, dtype=int))
-            leaves.lows.append(np.array([by[f][0] for f in fs]))
-            leaves.highs.append(np.array([by[f][1] for f in fs]))
-            leaves.gains.append(_pattern_gains(z, value))
-            leaves.base += value * float(node.impurityStats().count()) / total
-            return
-        f, t = int(node.split().featureIndex()), float(node.split().threshold())
-        n = float(node.impurityStats().count())
-        left, right = node.leftChild(), node.rightChild()
-        walk(left, [*path, (f, -np.inf, t, float(left.impurityStats().count()) / n)])
-        walk(right, [*path, (f, t, np.inf, float(right.impurityStats().count()) / n)])
-
-    walk(root, [])
-    return leaves
+
+def leaves_table(model) -> DataFrame:
+    """One row for each leaf of a boosted model; the trees are read by as many tasks."""
+    return tree_nodes(model).groupBy("tree").applyInPandas(_leaves_of, LEAF)
 
 
 def shapley_of_rows(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
-    """Exact path-dependent tree Shapley values for a batch of rows."""
+    """Exact path-dependent tree Shapley values for a batch of rows; ``leaves`` are (value, features, lows, highs, shares).
+
+    With m_j = 1 where the row meets the conditions on feature j and z_j the share of rows that do, feature i
+    adds value (m_i - z_i) times the integral over t from 0 to 1 of the product of z_j (1 - t) + m_j t over the
+    other features. That is a polynomial in t, so a few nodes of Gauss and Legendre give the integral exactly:
+    the work is in proportion to the leaves and the length of their paths.
+    """
     out = np.zeros_like(x, dtype=float)
-    for fs, low, high, gains in leaves:
-        if len(fs):
-            met = (x[:, fs] > low) & (x[:, fs] <= high)
-            pattern = met @ (1 << np.arange(len(fs)))
-            out[:, fs] += gains[pattern]
+    for value, features, low, high, share in leaves:
+        d = len(features)
+        if not d:
+            continue
+        nodes, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        t, w = (nodes + 1) / 2, weights / 2
+        met = ((x[:, features] > low) & (x[:, features] <= high)).astype(float)
+        factor = share[:, None] * (1 - t) + met[:, :, None] * t  # rows x features x nodes; positive, as every path has rows
+        product = factor.prod(axis=1)
+        out[:, features] += value * (met - share) * ((product[:, None, :] / factor) @ w)
     return out
 
 
 def gbt_contributions(df: DataFrame, target: str, model, features: str = "features") -> tuple[DataFrame, float]:
     """D15, trees: adds ``contrib_<target>`` from a fitted ``GBTRegressionModel``; also the base value.
 
-    The trees are broadcast (their size depends on depth and number, not on the rows) and applied
+    The leaves are broadcast (their number depends on depth and number of trees, not on the rows) and applied
     to Arrow batches.
     """
-    trees = [tree_leaves(t, w) for t, w in zip(model.trees, model.treeWeights)]
-    leaves = [leaf for t in trees for leaf in zip(t.features, t.lows, t.highs, t.gains)]
+    rows = leaves_table(model).collect()  # trees x 2^depth at most
+    leaves = [(r["value"], np.array(r["features"], dtype=int), *(np.array(r[c]) for c in ("lows", "highs", "shares"))) for r in rows]
     shared = df.sparkSession.sparkContext.broadcast(leaves)
 
     @F.pandas_udf("array<double>")
@@ -126,7 +102,7 @@ def gbt_contributions(df: DataFrame, target: str, model, features: str = "featur
             return pd.Series([], dtype=object)
         return pd.Series(list(shapley_of_rows(np.stack(x.to_numpy()).astype(float), shared.value)))
 
-    return df.withColumn(f"contrib_{target}", contributions(doubles(features))), sum(t.base for t in trees)
+    return df.withColumn(f"contrib_{target}", contributions(doubles(features))), sum(r["value"] * r["share"] for r in rows)
 
 
 # -- summaries ----------------------------------------------------------------------------------------

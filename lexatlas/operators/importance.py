@@ -9,6 +9,7 @@ from lexatlas.functions.scalars import ratio
 from lexatlas.operators.cleaning import scalars
 from lexatlas.operators.gram import Gram, centred, deviations, gram, lasso_fit, ridge_fit, squared_error
 from lexatlas.operators.ranking import importance_ranks, quantiles
+from lexatlas.operators.trees import SEED, fit_side_by_side, learner, training_frame
 
 SCHEMA = "method string, outcome string, pc int, importance double"
 ALPHA_SCHEMA = "method string, outcome string, alpha double"
@@ -20,27 +21,25 @@ def _table(spark, method: str, outcome: str, values) -> DataFrame:
     return spark.createDataFrame([(method, outcome, i, float(v)) for i, v in enumerate(values)], SCHEMA)
 
 
-def boosted(model: DataFrame, targets: list[str], n_trees: int = 100, depth: int = 6, seed: int = 42, method: str = "gbt") -> DataFrame:
-    """importance of boosted trees, one distributed training per outcome."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    data = model.select(array_to_vector("features").alias("_x"), *targets).persist()
+def boosted(model: DataFrame, targets: list[str], n_trees: int = 100, depth: int = 6, seed: int = SEED, method: str = "gbt") -> DataFrame:
+    """importance of boosted trees, one distributed training per outcome, side by side."""
+    frame = training_frame(model, "features", targets)
+    fits = fit_side_by_side(frame, {t: (learner(t, n_trees, depth, seed), None) for t in targets})
     out = None
     for t in targets:
-        learner = GBTRegressor(featuresCol="_x", labelCol=t, maxIter=n_trees, maxDepth=depth, stepSize=0.3, seed=seed)
-        part = _table(model.sparkSession, method, t, learner.fit(data).featureImportances.toArray())
+        part = _table(model.sparkSession, method, t, fits[t].featureImportances.toArray())
         out = part if out is None else out.unionByName(part)
-    data.unpersist()
     return out
 
 
 def fold_ranks(model: DataFrame, targets: list[str], k: int = 5, n_trees: int = 50, depth: int = 4) -> DataFrame:
-    """(outcome, fold, pc, importance, rank) of trees trained without one fold at a time."""
+    """(outcome, fold, pc, importance, rank) of trees trained without one fold at a time, all of them side by side."""
+    frame = training_frame(model, "features", ["fold", *targets])
+    fits = fit_side_by_side(frame, {(t, fold): (learner(t, n_trees, depth), F.col("fold") != fold) for t in targets for fold in range(k)})
     out = None
-    for fold in range(k):
-        imp = boosted(model.where(F.col("fold") != fold), targets, n_trees, depth).withColumn("fold", F.lit(fold))
-        out = imp if out is None else out.unionByName(imp)
+    for (t, fold), fitted in fits.items():
+        part = _table(model.sparkSession, "gbt", t, fitted.featureImportances.toArray()).withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
     return importance_ranks(out, ["outcome", "fold"])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexatlas.operators import (
     categories, causal, cleaning, clusters, contributions, density, effects, encode, gram, importance, layout, outcomes as out,
-    placement, points, profiling, ranking, reduce, sampling, topics, vectors,
+    placement, points, profiling, ranking, reduce, sampling, topics, trees, vectors,
 )
 from lexatlas.session import cut
 from lexatlas.spec import AnalysisSpec, Outcome
@@ -239,12 +239,10 @@ def estimate_effects(tables, placed, vec, pcs, spec, chosen, names, controls, no
 
     data = vectors.with_controls(placed, "pc", controls)
     if spec.learner == "gbt":
-        from pyspark.ml.functions import array_to_vector
-        from pyspark.ml.regression import GBTRegressor
-
+        frame = trees.training_frame(data, "features", names)
+        fits = trees.fit_side_by_side(frame, {t: (trees.learner(t, chosen["n_trees"], chosen["tree_depth"]), None) for t in names})
         for t in names:
-            model = GBTRegressor(featuresCol="_x", labelCol=t, maxIter=chosen["n_trees"], maxDepth=chosen["tree_depth"], stepSize=0.3, seed=42)
-            data = contributions.gbt_contributions(data, t, model.fit(data.withColumn("_x", array_to_vector("features"))), "features")[0]
+            data = contributions.gbt_contributions(data, t, fits[t], "features")[0]
     else:
         data = contributions.linear_contributions(data, names, "features")
     tables["contributions"] = data.select("id", *[f"contrib_{n}" for n in names])

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lexatlas.functions.scalars import fold_of
-from lexatlas.operators import causal, contributions as con, gram, importance as imp, points as pts, ranking
+from lexatlas.operators import causal, contributions as con, gram, importance as imp, points as pts, ranking, trees
 from lexatlas.operators.vectors import with_controls
 from lexatlas.plans.catalog import query
 from lexatlas.plans.frames import DOCS_SQL, LONG_SQL, POINTS_SQL, docs, final, hash_sql, measured, measured_points, points, rounded_sql, t_critical_sql, t_tail_sql
@@ -251,16 +251,27 @@ def d15b(spark, sf):
     return final(con.contribution_stats(c, TWO))
 
 
+def _tree_contributions(spark, sf):
+    """Documents with what each position adds to the prediction of 100 trees, that prediction, and the base value."""
+    from pyspark.ml.functions import array_to_vector
+
+    p = measured_points(spark, sf).withColumn("features", F.col("embedding").cast("array<double>"))
+    model = trees.fit_side_by_side(trees.training_frame(p, "features", ["text_length"]), {0: (trees.learner("text_length", 100, 5), None)})[0]
+    rows, base = con.gbt_contributions(p, "text_length", model)
+    return model.transform(rows.withColumn("_x", array_to_vector("features"))), base
+
+
 @query("d15_tree_contributions")
 def d15c(spark, sf):
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
+    return final(_tree_contributions(spark, sf)[0].select("id", F.posexplode("contrib_text_length").alias("pc", "contribution")))
 
-    p = points(spark, sf).withColumn("features", F.col("embedding").cast("array<double>"))
-    model = GBTRegressor(featuresCol="v", labelCol="text_length", maxIter=100, maxDepth=5, stepSize=0.3, seed=42).fit(
-        p.select(array_to_vector("features").alias("v"), "text_length")
-    )
-    return final(con.gbt_contributions(p, "text_length", model)[0].select("id", F.posexplode("contrib_text_length").alias("pc", "contribution")))
+
+@query("d15_tree_additivity", W + POINTS_SQL + " SELECT id, true AS additive FROM points")
+def d15d(spark, sf):
+    """Base value and contributions of a document add up to what the trees predict for it."""
+    rows, base = _tree_contributions(spark, sf)
+    total = F.lit(float(base)) + F.aggregate("contrib_text_length", F.lit(0.0), lambda s, c: s + c)
+    return rows.select("id", (F.abs(total - F.col("_y")) < 1e-6 * (1 + F.abs("_y"))).alias("additive"))
 
 
 _CONTRIB = POINTS_SQL + """, k AS (SELECT id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pc, unnest(embedding)::DOUBLE AS a,

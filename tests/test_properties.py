@@ -1,5 +1,7 @@
 """Results that must hold whatever the data: brute force, simulated truth, partitioning, skew."""
 
+from math import comb
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -257,7 +259,7 @@ def test_contributions_add_up(spark):
     from pyspark.ml.regression import GBTRegressor
 
     df, x, t, y = simulated(spark, 300)
-    model = GBTRegressor(featuresCol="f", labelCol="y", maxIter=4, maxDepth=4, stepSize=0.3, seed=1).fit(df.select(array_to_vector("v").alias("f"), "y"))
+    model = GBTRegressor(featuresCol="f", labelCol="y", maxIter=4, maxDepth=8, stepSize=0.3, seed=1).fit(df.select(array_to_vector("v").alias("f"), "y"))
     out, base = con.gbt_contributions(df, "y", model, "v")
     rows = model.transform(out.withColumn("f", array_to_vector("v"))).collect()
     for r in rows:
@@ -269,14 +271,17 @@ def test_contributions_add_up(spark):
 
 
 def test_shapley_matches_definition():
-    """One leaf, two features: the average over both orders."""
-    g = con._pattern_gains(np.array([0.25, 0.5]), 8.0)
-    v = lambda a, b, o: 8.0 * (o[0] if a else 0.25) * (o[1] if b else 0.5)
-    for pattern in range(4):
-        o = (pattern & 1, pattern >> 1)
-        first = ((v(1, 0, o) - v(0, 0, o)) + (v(1, 1, o) - v(0, 1, o))) / 2
-        assert g[pattern, 0] == pytest.approx(first)
-        assert g[pattern].sum() == pytest.approx(v(1, 1, o) - v(0, 0, o))
+    """One leaf of up to eight features: the average over all orders in which features become known."""
+    rng = np.random.default_rng(14)
+    for d in (1, 2, 3, 8):
+        z, value = rng.uniform(0.1, 0.9, d), 8.0
+        x = np.array([rng.integers(0, 2, d), np.ones(d), np.zeros(d)], dtype=float)
+        got = con.shapley_of_rows(x, [(value, np.arange(d), np.full(d, 0.5), np.full(d, np.inf), z)])
+        for row, g in zip(x, got):
+            game = lambda known: value * np.prod([row[j] if known >> j & 1 else z[j] for j in range(d)])
+            for i in range(d):
+                gains = [(game(s | 1 << i) - game(s)) / (d * comb(d - 1, bin(s).count("1"))) for s in range(1 << d) if not s >> i & 1]
+                assert g[i] == pytest.approx(sum(gains))
 
 
 def test_mi_of_independent_and_equal(spark):
