@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lexatlas.operators import approximate, categories, clusters, density, encode, layout, neighbours, placement, points as pts, ranking, reduce
 from lexatlas.operators.outcomes import thresholds
@@ -158,9 +158,39 @@ def r4c(spark, sf):
     return final(placement.new_coordinates(known, v, "embedding", block=CELL))
 
 
-@query("c1_density_clusters")
+@query(
+    "c1_spanning_tree",
+    rounded_sql("weight", W[:-1] + " RECURSIVE " + _V + """, p AS (SELECT min(id) AS id, count(*) AS m, e FROM v GROUP BY e),
+      c AS (SELECT a.id, (SELECT list_sort(list(list_distance(a.e, b.e)))[3] FROM v b WHERE b.id <> a.id) AS core FROM p a),
+      w AS (SELECT a.id AS a, b.id AS b, greatest(list_distance(a.e, b.e), ca.core, cb.core) AS w FROM p a JOIN p b ON a.id <> b.id JOIN c ca ON ca.id = a.id JOIN c cb ON cb.id = b.id),
+      t AS (
+        SELECT 0 AS step, b AS id, w AS best, NULL::DOUBLE AS taken FROM w WHERE a = (SELECT min(id) FROM p)
+        UNION ALL
+        SELECT step + 1, q.id, least(q.best, w.w), q.first FROM (
+          SELECT *, min(best) OVER () AS first, arg_min(id, best) OVER () AS next FROM t) AS q JOIN w ON w.a = q.next AND w.b = q.id),
+      s AS (SELECT step, min(best) AS best FROM t GROUP BY step)
+      SELECT count(*)::BIGINT AS edges, sum(best) AS weight FROM s"""),
+)
+def c1b(spark, sf):
+    """The spanning tree of the mutual reachability: its number of edges and total length are those of the complete graph's."""
+    index = neighbours.build_index(_vectors(spark, sf), "id", "embedding", 8, False, CELL)
+    near = cut(neighbours.point_neighbours(index, 8))
+    tree = density.spanning_tree(index, near, cut(density.core_distances(index, near, 8, 3)))
+    return final(tree.agg(F.count("*").alias("edges"), F.sum("w").alias("weight")))
+
+
+@query("c1_density_clusters", "SELECT count(*)::BIGINT AS n, true AS large_enough, true AS in_order, true AS dense, true AS complete FROM embeddings")
 def c1(spark, sf):
-    return density.density_clusters(_vectors(spark, sf).withColumnRenamed("embedding", "v"), "id", "v", 10, 3, CELL)
+    """Every row has one label; clusters have ten rows at least and are numbered from 0 by size; the parts of the tree are finished by several tasks."""
+    labels = cut(density.density_clusters(_vectors(spark, sf), "id", "embedding", 10, 3, CELL, in_task=4))
+    sizes = labels.where("cluster_id >= 0").groupBy("cluster_id").agg(F.count("*").alias("n"))
+    before = F.lag("n").over(Window.partitionBy(F.lit(0)).orderBy("cluster_id"))
+    facts = sizes.withColumn("_before", before).agg(
+        F.coalesce(F.bool_and(F.col("n") >= 10), F.lit(True)).alias("large_enough"), F.coalesce(F.bool_and(F.coalesce(F.col("n") <= F.col("_before"), F.lit(True))), F.lit(True)).alias("in_order"),
+        (F.count("*") == F.coalesce(F.max("cluster_id") + 1, F.lit(0))).alias("dense"),
+    )
+    rows = labels.agg(F.count("*").alias("n"), (F.countDistinct("id") == F.count("*")).alias("complete"))
+    return rows.join(facts).select("n", "large_enough", "in_order", "dense", "complete")
 
 
 @query("r2_component_scores")
