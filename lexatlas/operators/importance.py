@@ -12,7 +12,7 @@ from lexatlas.operators.ranking import importance_ranks, quantiles
 from lexatlas.operators.trees import SEED, fit_side_by_side, learner, training_frame
 
 SCHEMA = "method string, outcome string, pc int, importance double"
-ALPHA_SCHEMA = "method string, outcome string, alpha double"
+ALPHA_SCHEMA = "method string, outcome string, alpha double, gap double"
 RIDGE_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
 
 
@@ -49,32 +49,32 @@ def _scaled(m: np.ndarray, p: int, sd: np.ndarray) -> np.ndarray:
     return m * np.outer(s, s)
 
 
-def lasso_path(g: Gram, target: str, alphas=None, n_alphas: int = 100) -> tuple[np.ndarray, float]:
-    """(coefficients for standardised features, alpha with the least held-out error).
+def lasso_path(g: Gram, target: str, alphas=None, n_alphas: int = 100) -> tuple[np.ndarray, float, float]:
+    """(coefficients for standardised features, alpha with the least held-out error, duality gap of the final fit).
 
     Every fold is fitted from the training sums alone; no further pass over the rows.
     """
     p, at = g.p, g.target(target)
     sd = deviations(g.total, p)
     full = _scaled(g.total, p, sd)
-    n, _, _, sxx, sxy, _ = centred(full, p, at)
+    n, _, _, sxx, sxy, syy = centred(full, p, at)
     if alphas is None:
         top = float(np.max(np.abs(sxy)) / n) or 1.0
         alphas = np.geomspace(top, top * 1e-3, n_alphas)
     alphas = sorted((float(a) for a in alphas), reverse=True)
-    spread = max((full[at, at] / n) ** 0.5, 1e-12)  # tolerances follow the scale of the outcome
     error = np.zeros(len(alphas))
     for fold in g.folds:
         train, test = _scaled(g.train(fold), p, sd), _scaled(g.folds[fold], p, sd)
-        fn, mx, my, fxx, fxy, _ = centred(train, p, at)
+        fn, mx, my, fxx, fxy, fyy = centred(train, p, at)
         if fn < 2:
             continue
         b = None
         for i, a in enumerate(alphas):
-            b = lasso_fit(fxx, fxy, fn, a, b, tol=1e-5 * spread)
+            b, _ = lasso_fit(fxx, fxy, fn, a, fyy, b, tol=1e-6)
             error[i] += squared_error(test, p, at, b, my - mx @ b) / test[0, 0]
     best = alphas[int(np.argmin(error))]
-    return lasso_fit(sxx, sxy, n, best, tol=1e-9 * spread), best
+    coef, gap = lasso_fit(sxx, sxy, n, best, syy, tol=1e-12)
+    return coef, best, gap
 
 
 def ridge_choice(g: Gram, target: str, alphas=RIDGE_ALPHAS) -> tuple[np.ndarray, float]:
@@ -95,14 +95,14 @@ def ridge_choice(g: Gram, target: str, alphas=RIDGE_ALPHAS) -> tuple[np.ndarray,
 
 
 def regularised(model: DataFrame, targets: list[str], method: str, alphas=None, g: Gram | None = None) -> tuple[DataFrame, DataFrame]:
-    """importance |coefficient| and the chosen alphas."""
+    """importance |coefficient|, and the chosen alphas with the duality gap of the lasso."""
     g = g or gram(model, targets)
     out, chosen = None, []
     for t in targets:
-        coef, alpha = lasso_path(g, t, alphas) if method == "lasso" else ridge_choice(g, t, alphas or RIDGE_ALPHAS)
+        coef, alpha, gap = lasso_path(g, t, alphas) if method == "lasso" else (*ridge_choice(g, t, alphas or RIDGE_ALPHAS), None)
         part = _table(model.sparkSession, method, t, np.abs(coef))
         out = part if out is None else out.unionByName(part)
-        chosen.append((method, t, alpha))
+        chosen.append((method, t, alpha, gap))
     return out, model.sparkSession.createDataFrame(chosen, ALPHA_SCHEMA)
 
 

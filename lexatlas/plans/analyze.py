@@ -111,7 +111,7 @@ def analyze(
         out.assert_complete(numbers, names + controls)
 
     if given_vectors is None:
-        vec = cut(encode.embed(texts, dim, load, "id", spec.text, prefix))
+        vec = cut(encode.embed_distinct(texts, dim, load, "id", spec.text, prefix))
     else:
         vec = given_vectors.withColumnRenamed(spec.id, "id") if spec.id in given_vectors.columns else given_vectors
         vec = cut(vec.join(numbers.select("id"), "id", "left_semi"))

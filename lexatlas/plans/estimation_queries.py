@@ -455,6 +455,59 @@ def f2(spark, sf):
     return final(imp.regularised(m, TWO, "lasso")[0])
 
 
+def _optimality(spark, sf, method: str):
+    """Per outcome, on the rows themselves: how many components there are and for how many the gradient is what the penalty asks for."""
+    p = measured_points(spark, sf)
+    g = gram.gram(gram.with_model_columns(p, "id", "embedding", TWO, 5), TWO)
+    mean = g.total[0, 1 : g.p + 1] / g.total[0, 0] + g.shift[: g.p]
+    sd = gram.deviations(g.total, g.p)
+    fits = {t: (imp.lasso_path(g, t)[:2] if method == "lasso" else imp.ridge_choice(g, t)) for t in TWO}
+    centre = {t: p.agg(F.avg(t)).first()[0] for t in TWO}
+    z = F.zip_with(F.zip_with("embedding", F.lit([float(m) for m in mean]), lambda x, m: x - m), F.lit([float(s) for s in sd]), lambda x, s: x / s)
+    scaled = p.select("id", *TWO, z.alias("z"))
+    dot = lambda coef: F.aggregate(F.zip_with("z", F.lit([float(b) for b in coef]), lambda x, b: x * b), F.lit(0.0), lambda s, x: s + x)
+    left = scaled.select("z", *[(F.col(t) - F.lit(centre[t]) - dot(fits[t][0])).alias(t) for t in TWO])
+    long = left.select(*TWO, F.posexplode("z").alias("pc", "z")).groupBy("pc").agg(F.count("*").alias("n"), *[F.sum(F.col(t) * F.col("z")).alias(t) for t in TWO])
+    parts = None
+    for t in TWO:
+        coef, alpha = fits[t]
+        b = F.get(F.lit([float(v) for v in coef]), F.col("pc"))
+        grad = F.col(t) / F.col("n") if method == "lasso" else F.col(t)
+        scale = float(np.sqrt(g.total[g.target(t), g.target(t)] / g.total[0, 0]))  # gradients are in units of the outcome
+        if method == "lasso":
+            ok = F.when(b != 0, F.abs(grad - F.lit(alpha) * F.signum(b)) < 1e-4 * scale).otherwise(F.abs(grad) < alpha + 1e-4 * scale)
+        else:
+            ok = F.abs(grad - F.lit(alpha) * b) < 1e-6 * scale * F.col("n")
+        part = long.agg(F.lit(t).alias("outcome"), F.count("*").alias("n_components"), F.count_if(ok).alias("n_optimal"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+_EVERY = """SELECT unnest(['sentence_count', 'text_length']) AS outcome, (SELECT max(len(embedding)) FROM embeddings)::BIGINT AS n_components,
+  (SELECT max(len(embedding)) FROM embeddings)::BIGINT AS n_optimal"""
+
+
+@query("f2_lasso_optimality", _EVERY)
+def f2b(spark, sf):
+    """Components in use have a gradient of the size of the penalty and the sign of their coefficient, the others a smaller one."""
+    return _optimality(spark, sf, "lasso")
+
+
+@query("f3_ridge_optimality", _EVERY)
+def f3c(spark, sf):
+    """The gradient is the penalty times the coefficient."""
+    return _optimality(spark, sf, "ridge")
+
+
+@query("f2_duality_gap", "SELECT unnest(['sentence_count', 'text_length']) AS outcome, 'lasso' AS method, true AS proven")
+def f2c(spark, sf):
+    """The final fits are proven to be within 1e-12 of the least value, in units of half the variance of the outcome."""
+    p = measured_points(spark, sf)
+    m = gram.with_model_columns(p, "id", "embedding", TWO, 5)
+    half = F.create_map(*[x for t in TWO for x in (F.lit(t), F.lit(p.agg(F.var_pop(t) / 2).first()[0]))])
+    return imp.regularised(m, TWO, "lasso")[1].select("outcome", "method", (F.col("gap") <= 1.001e-12 * half[F.col("outcome")]).alias("proven"))
+
+
 @query("f1_boosted_importance")
 def f1(spark, sf):
     m = gram.with_model_columns(measured_points(spark, sf), "id", "embedding", TWO, 5)

@@ -278,6 +278,28 @@ def e1(spark, sf):
     return final(e.select("id", "embed_ok", F.size("embedding").alias("dim")))
 
 
+@query("e1_encode_once", "SELECT count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS encoded, count(*)::BIGINT AS equal FROM documents WHERE text IS NOT NULL")
+def e1b(spark, sf):
+    """Equal texts reach the encoder once; every row gets the vector that it would have got alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting():
+        inner = encode.hashing_encoder(64)()
+
+        def count(texts):
+            seen.add(len(texts))
+            return inner(texts)
+
+        return count
+
+    d = docs(spark, sf).select("id", "text")
+    once = cut(encode.embed_distinct(d, 64, counting, prefix=encode.PREFIXES["passage"]))
+    encoded = seen.value
+    each = encode.embed(d, 64, prefix=encode.PREFIXES["passage"]).select("id", F.col("embedding").alias("_e"))
+    same = once.join(each, "id").where(F.col("embedding") == F.col("_e"))
+    return once.agg(F.count("*").alias("n"), F.lit(encoded).cast("bigint").alias("encoded")).join(same.agg(F.count("*").alias("equal")))
+
+
 def _no_digits():
     """An encoder that refuses every batch with a digit in it."""
     inner = encode.hashing_encoder(64)()

@@ -229,7 +229,8 @@ def test_gram_matches_numpy(spark):
 def test_lasso_conditions(spark):
     df, *_ = simulated(spark, 500)
     g = gram.gram(gram.with_model_columns(df, "id", "v", ["t", "y"], 4), ["t", "y"])
-    b, alpha = imp.lasso_path(g, "y", [0.5])
+    b, alpha, gap = imp.lasso_path(g, "y", [0.5])
+    assert 0 <= gap < 1e-9
     sd = gram.deviations(g.total, 6)
     n, _, _, sxx, sxy, _ = gram.centred(imp._scaled(g.total, 6, sd), 6, g.target("y"))
     grad = (sxy - sxx @ b) / n
