@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
+from lexatlas.functions.scalars import doubles
 from lexatlas.operators import approximate, categories, clusters, density, encode, layout, neighbours, placement, points as pts, ranking, reduce
 from lexatlas.operators.outcomes import thresholds
 from lexatlas.plans.catalog import query
@@ -404,33 +405,58 @@ def s12b(spark, sf):
 
 def _scorer(spark, sf):
     d = docs(spark, sf)
-    vec = cut(encode.embed(d.select("id", "text"), 32))
-    fitted = reduce.fit_reduction(vec, "embedding", 8)
+    vec = cut(encode.embed(d.select("id", "text"), 64))
+    fitted = reduce.fit_reduction(vec, "embedding")
     scored = fitted.transform(vec).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster_id")), "id")
     pair = (SENTENCES, LENGTH)
-    return scoring.fit_scorer(fitted, scored, thresholds(d, pair), pair, 32)
+    return scoring.fit_scorer(fitted, scored, thresholds(d, pair), pair, 64)
 
 
-@query("st1_score_batch")
-def st1(spark, sf):
-    s = _scorer(spark, sf).score(docs(spark, sf).select("id", "text", "sentence_count", "text_length"))
-    return s.select("id", "topic_id", "category", "embed_ok")
+def _nearest(scored, centres):
+    """(id, category, embed_ok, nearest): whether no centre is nearer than that of topic_id."""
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    every = F.broadcast(centres.agg(F.collect_list(F.struct("topic_id", "centre")).alias("_all")))  # a handful of topics in the test tables
+    met = scored.join(every).withColumn("_d", F.transform("_all", lambda c: F.struct(far(F.col("pc"), c["centre"]).alias("d"), c["topic_id"].alias("t"))))
+    own = F.element_at(F.filter("_d", lambda e: e["t"] == F.col("topic_id")), 1)["d"]
+    return met.select("id", "category", "embed_ok", F.coalesce(own <= F.array_min(F.col("_d.d")) + 1e-9, F.lit(False)).alias("nearest"))
 
 
-@query(
-    "st1_score_stream",
-    W + """docs AS (SELECT doc_id AS id, length(text)::DOUBLE AS text_length, len(regexp_extract_all(text, '[.!?]+'))::DOUBLE AS sentence_count FROM documents),
+_SCORED = W + """docs AS (SELECT doc_id AS id, length(text)::DOUBLE AS text_length, len(regexp_extract_all(text, '[.!?]+'))::DOUBLE AS sentence_count FROM documents),
       t AS (SELECT quantile_cont(sentence_count, 0.25) AS l1, quantile_cont(sentence_count, 0.75) AS h1, quantile_cont(text_length, 0.25) AS l2, quantile_cont(text_length, 0.75) AS h2 FROM docs)
       SELECT id, CASE WHEN sentence_count > h1 AND text_length > h2 THEN 'both_high' WHEN sentence_count > h1 AND text_length < l2 THEN 'first_high'
         WHEN sentence_count < l1 AND text_length > h2 THEN 'second_high' WHEN sentence_count < l1 AND text_length < l2 THEN 'both_low' ELSE 'middle' END AS category,
-        true AS embed_ok FROM docs, t""",
-)
+        true AS embed_ok, true AS nearest FROM docs, t"""
+
+
+@query("st1_score_batch", _SCORED)
+def st1(spark, sf):
+    scorer = _scorer(spark, sf)
+    return _nearest(scorer.score(docs(spark, sf).select("id", "text", "sentence_count", "text_length")), scorer.centres.read(spark))
+
+
+@query("st1_score_stream", _SCORED)
 def st1b(spark, sf):
-    """The documents as a stream of files, scored and appended to a table."""
+    """The documents as a stream of files, scored batch by batch into a table."""
     folder = _fresh(spark)
     d = docs(spark, sf).select("id", "text", "sentence_count", "text_length")
     d.repartition(4).write.parquet(f"{folder}/in")
     stream = scoring.stream_documents(spark, f"{folder}/in", d.schema)
-    q = scoring.start(_scorer(spark, sf).score(stream), f"{folder}/out", f"{folder}/checkpoint", available_now=True)
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("id", "category", "embed_ok")
+    scorer = _scorer(spark, sf)
+    scoring.start(scorer, stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True, columns=["id", "category", "embed_ok", "pc", "topic_id"]).awaitTermination()
+    return _nearest(spark.read.parquet(f"{folder}/out"), scorer.centres.read(spark))
+
+
+@query(
+    "st1_nearest_topic",
+    W + _V + """, l AS (SELECT vec_id AS id, label, (generate_subscripts(embedding, 1))::INTEGER AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+      c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM l GROUP BY label, i) GROUP BY label)
+      SELECT v.id, arg_min(c.label, list_distance(v.e, c.c))::INTEGER AS topic_id, 2::INTEGER AS version FROM v, c GROUP BY v.id""",
+)
+def st1c(spark, sf):
+    """Every vector and the nearest mean of a label, of the second version that was published."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), doubles("embedding").alias("pc"), F.col("label").alias("cluster_id"))
+    centres = cut(clusters.array_centroids(v, "pc", "cluster_id").select(F.col("cluster_id").alias("topic_id"), F.col("centroid").alias("centre")))
+    store = scoring.TopicCentres(_fresh(spark))
+    store.publish(centres.withColumn("centre", F.transform("centre", lambda x: -x)))
+    version = store.publish(centres)
+    return scoring.nearest_topic(v, store.read(spark), block=2).select("id", "topic_id", F.lit(version).alias("version"))

@@ -1,35 +1,71 @@
 """ST1/R4: score arriving documents with what an analysis has fitted.
 
 Everything is stateless, so the stream needs no watermark: embed, reduce, nearest topic centre,
-category by stored thresholds. Fitted values are small and travel with the plan; they are not
-recomputed from the new rows.
+category by stored thresholds. Topic centres are a table with versions, met block by block, so there may be
+any number of them; a stream reads the newest version with every batch. Nothing is recomputed from the new rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lexatlas.functions.scalars import doubles
 from lexatlas.operators.categories import continuous_category, presence_category
 from lexatlas.operators.encode import embed
+from lexatlas.operators.neighbours import BLOCK, build_index, point_neighbours
 from lexatlas.operators.reduce import Reduction
+from lexatlas.session import cut, shared_dir
 from lexatlas.spec import Outcome
 
-MAX_CENTRES = 1_000_000  # topics x components a task may hold
+@dataclass(frozen=True)
+class TopicCentres:
+    """Topic centres (topic_id, centre) under a path: one table for each version, and the list of versions that are complete."""
+
+    path: str
+
+    def publish(self, centres: DataFrame) -> int:
+        """Write a new version; scorers take it once it is on the list."""
+        version = self.newest(centres.sparkSession) + 1
+        folder = f"{self.path}/tables/{uuid.uuid4().hex}"
+        centres.select(F.col("topic_id").cast("int").alias("topic_id"), doubles("centre").alias("centre")).write.parquet(folder)
+        listed = centres.sparkSession.createDataFrame([(version, folder)], "version int, folder string")
+        listed.coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+        return version
+
+    def versions(self, spark: SparkSession) -> list[tuple[int, str]]:
+        """(version, folder), the newest last: one short row for each version."""
+        try:
+            rows = spark.read.parquet(f"{self.path}/versions").collect()
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
+        return sorted((r["version"], r["folder"]) for r in rows)
+
+    def newest(self, spark: SparkSession) -> int:
+        return max((v for v, _ in self.versions(spark)), default=0)
+
+    def read(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        """The centres of a version, by default of the newest."""
+        known = self.versions(spark)
+        wanted = [folder for v, folder in known if v == (version or known[-1][0])]
+        if not wanted:
+            raise ValueError(f"no version {version} of the topic centres")
+        return spark.read.parquet(wanted[-1])
 
 
 @dataclass
 class Scorer:
-    """Fitted state: the reduction, topic centres in component space, thresholds."""
+    """Fitted state: the reduction, where the topic centres in component space are, thresholds."""
 
     reduction: Reduction
-    topic_ids: np.ndarray
-    centres: np.ndarray
+    centres: TopicCentres
     thresholds: dict[str, tuple[float, float]] = field(default_factory=dict)
     outcomes: tuple[Outcome, ...] = ()
     dim: int = 64
@@ -37,13 +73,13 @@ class Scorer:
     prefix: str = ""
 
     def score(self, df: DataFrame, id_col: str = "id", text: str = "text") -> DataFrame:
-        """Adds components, topic and category to a batch or a stream of documents."""
+        """(id, outcomes.., embedding, embed_ok, pc, topic_id, category) of a table of documents, by the newest centres."""
         keep = [o.name for o in self.outcomes if o.name in df.columns]
         source = df.withColumn("_carry", F.struct(id_col, *keep))
-        # The outcomes ride along in the id, so a stream needs no join back.
+        # The outcomes ride along in the id, so no join back is needed.
         out = embed(source.select(F.col("_carry"), text), self.dim, self.load, "_carry", text, self.prefix)
         out = out.select("_carry.*", "embedding", "embed_ok")
-        out = nearest_topic(self.reduction.transform(out), self.topic_ids, self.centres)
+        out = nearest_topic(self.reduction.transform(out), self.centres.read(df.sparkSession))
         return self.with_category(out, keep)
 
     def with_category(self, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -58,38 +94,31 @@ class Scorer:
         return df.withColumn("category", continuous_category(F.col(a.name), F.col(b.name), F.lit(la), F.lit(ha), F.lit(lb), F.lit(hb)))
 
 
-def nearest_topic(df: DataFrame, topic_ids: np.ndarray, centres: np.ndarray, pc: str = "pc") -> DataFrame:
-    """Adds ``topic_id``: the nearest centre in component space, null without centres."""
-    if centres.size > MAX_CENTRES * 64:
-        raise ValueError("too many topic centres to hold in a task")
-    if not len(topic_ids):
-        return df.withColumn("topic_id", F.lit(None).cast("int"))
-    shared = df.sparkSession.sparkContext.broadcast((np.asarray(topic_ids), np.asarray(centres, dtype=float)))
-
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        ids, c = shared.value
-        if not len(v):
-            return pd.Series([], dtype="int32")
-        x = np.stack(v.to_numpy())
-        d = (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
-        return pd.Series(ids[d.argmin(1)].astype("int32"))
+def nearest_topic(df: DataFrame, centres: DataFrame, pc: str = "pc", block: int = BLOCK) -> DataFrame:
+    """Adds ``topic_id``: the nearest of the ``centres`` (topic_id, centre) in component space, the smallest id of equally near ones; null without centres.
 
-    return df.withColumn("topic_id", nearest(pc))
+    Rows and centres meet in blocks, as in the search for neighbours, so neither is held whole by a task. The rows are written once.
+    """
+    if centres.isEmpty():
+        return df.withColumn("topic_id", F.lit(None).cast("int"))
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    index = build_index(centres, "topic_id", "centre", 1, cosine=False, block=block)
+    queries = rows.where(F.col(pc).isNotNull()).select(F.col("_row").alias("rid"), doubles(pc).alias("v"))
+    near = point_neighbours(index, 1, queries).select(F.col("rid").alias("_row"), F.col("nid").alias("topic_id"))
+    return rows.join(near, "_row", "left").drop("_row")
 
 
 def fit_scorer(
     reduction: Reduction, scored: DataFrame, thresholds: DataFrame, outcomes: tuple[Outcome, ...], dim: int, load=None, prefix: str = "",
-    cluster: str = "cluster_id",
+    cluster: str = "cluster_id", path: str | None = None,
 ) -> Scorer:
-    """Collect the topic centres and thresholds (one row per topic and outcome)."""
+    """Write the topic centres to the shared folder, or as a new version to ``path``, and collect the thresholds (one row per outcome)."""
     from lexatlas.operators.clusters import array_centroids
 
-    rows = array_centroids(scored, "pc", cluster).orderBy(cluster).collect()
+    store = TopicCentres(path or f"{shared_dir(scored.sparkSession)}/lexatlas-topics-{uuid.uuid4().hex}")
+    store.publish(array_centroids(scored, "pc", cluster).select(F.col(cluster).alias("topic_id"), F.col("centroid").alias("centre")))
     limits = {r["outcome"]: (r["low"], r["high"]) for r in thresholds.collect()}
-    ids = np.array([r[cluster] for r in rows])
-    centres = np.array([r["centroid"] for r in rows]) if rows else np.zeros((0, reduction.k))
-    return Scorer(reduction, ids, centres, limits, outcomes, dim, load, prefix)
+    return Scorer(reduction, store, limits, outcomes, dim, load, prefix)
 
 
 def stream_documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -97,9 +126,14 @@ def stream_documents(spark: SparkSession, path: str, schema, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def start(scored: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Append the scored stream to a Parquet folder, exactly once."""
-    writer = scored.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+def start(scorer: Scorer, stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, columns: list[str] | None = None) -> StreamingQuery:
+    """Score a stream of documents into a Parquet folder, exactly once: a batch that is tried again replaces its own part ``batch=<number>``."""
+
+    def score(batch: DataFrame, number: int) -> None:
+        scored = scorer.score(batch)
+        (scored.select(*columns) if columns else scored).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -224,7 +224,7 @@ def test_stream_scores_like_batch(spark, tmp_path):
     scorer = scoring.fit_scorer(fitted, scored, out.thresholds(d, pair), pair, 16)
     d.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = scoring.stream_documents(spark, str(tmp_path / "in"), d.schema)
-    q = scoring.start(scorer.score(stream), str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True)
+    q = scoring.start(scorer, stream, str(tmp_path / "out"), str(tmp_path / "ck"), available_now=True)
     q.awaitTermination()
     cols = ["id", "topic_id", "category"]
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()))
