@@ -11,6 +11,7 @@ from lexatlas.operators import (
     categories, causal, cleaning, clusters, contributions, density, effects, encode, gram, importance, layout, outcomes as out,
     placement, points, profiling, ranking, reduce, sampling, topics, trees, vectors,
 )
+from lexatlas.plans.stages import Stages
 from lexatlas.session import cut
 from lexatlas.spec import AnalysisSpec, Outcome
 from lexatlas.streaming.scoring import Scorer, fit_scorer
@@ -85,10 +86,14 @@ def selected(model: DataFrame, names: list[str], spec: AnalysisSpec, chosen: dic
 
 
 def analyze(
-    df: DataFrame, spec: AnalysisSpec, given_vectors: DataFrame | None = None, load: Callable | None = None, dim: int = 64, prefix: str = ""
+    df: DataFrame, spec: AnalysisSpec, given_vectors: DataFrame | None = None, load: Callable | None = None, dim: int = 64, prefix: str = "",
+    stages: Stages | None = None,
 ) -> Analysis:
     """Run everything on a table of documents.
 
+    With ``stages`` the costly tables and models are kept under their fingerprints: another run over the same
+    documents takes what is finished, and after a change of options makes only what depends on it.
+
     ``given_vectors`` is (id, embedding); without it the texts are embedded by ``load`` (see
     :func:`lexatlas.operators.encode.embed`). The tables are DataFrames that have not been run, but
     for those that many others read, which are written to the shared folder.
@@ -97,7 +102,13 @@ def analyze(
     notes: list[str] = []
     full, spec = prepare(df, spec)
     # A sample or generated ids are fixed by writing them; otherwise the texts stay where they are.
-    docs = cut(sampling.sample(full, spec)) if spec.sample_size or spec.generate_id else full
+    held = stages or Stages(spark)
+    k_docs = held.name_input(full)
+    if spec.sample_size or spec.generate_id:
+        how = {k: getattr(spec, k) for k in ("id", "sample_size", "sample_seed", "sampling_method", "stratify_by", "outcomes")}
+        docs, k_docs = held.table("documents", [k_docs], how, lambda: sampling.sample(full, spec))
+    else:
+        docs = full
     if spec.id != "id":
         docs = docs.withColumnRenamed(spec.id, "id")
     numbers = cut(docs.drop(spec.text))
@@ -111,32 +122,37 @@ def analyze(
         out.assert_complete(numbers, names + controls)
 
     if given_vectors is None:
-        vec = cut(encode.embed_distinct(texts, dim, load, "id", spec.text, prefix))
+        vec, k_vec = held.table("vectors", [k_docs], {"dim": dim, "load": load, "prefix": prefix}, lambda: encode.embed_distinct(texts, dim, load, "id", spec.text, prefix))
     else:
-        vec = given_vectors.withColumnRenamed(spec.id, "id") if spec.id in given_vectors.columns else given_vectors
-        vec = cut(vec.join(numbers.select("id"), "id", "left_semi"))
+        named = given_vectors.withColumnRenamed(spec.id, "id") if spec.id in given_vectors.columns else given_vectors
+        vec, k_vec = held.table("vectors", [k_docs, held.name_input(named)], {}, lambda: named.join(numbers.select("id"), "id", "left_semi"))
     check = vectors.vector_check(vec).first()
     if not check["valid"]:
         raise ValueError(f"vectors with missing or infinite entries, or of different lengths: {check.asDict()}")
-    reduction = reduce.fit_reduction(vec, "embedding", spec.n_components)
+    reduction, k_red = held.model("reduction", [k_vec], {"k": spec.n_components}, lambda: reduce.fit_reduction(vec, "embedding", spec.n_components), reduce.Reduction.load)
     chosen = parameters(check["n_vectors"], check["max_dim"], spec, spark)
-    pcs = cut(reduction.transform(vec, "embedding").select("id", "pc"))
-    drawn = layout.layout(
-        pcs, "pc", "id", spec.dimensions, chosen["n_neighbors"], spec.layout_iterations, spec.layout_tolerance, spec.approximate_neighbors
-    )
-    coords = cut(drawn.points)
+    pcs, k_pcs = held.table("components", [k_red], {}, lambda: reduction.transform(vec, "embedding").select("id", "pc"))
+    drawing = (spec.dimensions, chosen["n_neighbors"], spec.layout_iterations, spec.layout_tolerance, spec.approximate_neighbors)
+    drawn = {}
+
+    def draw() -> DataFrame:
+        drawn["map"] = layout.layout(pcs, "pc", "id", *drawing)
+        return drawn["map"].points
+
+    coords, k_coords = held.table("coordinates", [k_pcs], {"drawing": drawing}, draw)
+    settled, _ = held.table("layout_convergence", [k_coords], {}, lambda: drawn["map"].convergence if drawn else layout.layout(pcs, "pc", "id", *drawing).convergence)
     axes = tuple(c for c in coords.columns if c != "id")
-    labels = cut(
-        density.density_clusters(
-            coords.select("id", F.array(*axes).alias("v")), "id", "v", chosen["min_cluster_size"], chosen["min_samples"]
-        )
+    density_options = (chosen["min_cluster_size"], chosen["min_samples"])
+    labels, k_labels = held.table(
+        "assignments", [k_coords], {"options": density_options},
+        lambda: density.density_clusters(coords.select("id", F.array(*axes).alias("v")), "id", "v", *density_options),
     )
     base = cut(numbers.join(coords, "id").join(labels, "id").join(pcs, "id"))
 
     tables: dict[str, DataFrame] = {"sampled_documents": docs, "embeddings": vec, "components": pcs, "coordinates": coords, "assignments": labels}
     ids = cleaning.anonymise(full.withColumnRenamed(spec.id, "id") if spec.id != "id" else full, "id", numbers)
     tables["id_mapping"] = ids
-    tables["layout_convergence"] = drawn.convergence
+    tables["layout_convergence"] = settled
     tables["variance"] = reduction.variance_table(spark)
     tables["loadings"] = reduction.loadings_table(spark)
     long = ranking.long_view(pcs, "id", "pc")
@@ -149,7 +165,10 @@ def analyze(
         tables["control_summary"] = out.control_summary(numbers, controls)
 
     # topics
-    words = cut(topics.extract_topics(texts.join(labels, "id"), spec.text, "cluster_id", spec.n_words, size=spec.vocabulary))
+    words, _ = held.table(
+        "topic_keywords", [k_docs, k_labels], {"n": spec.n_words, "size": spec.vocabulary},
+        lambda: topics.extract_topics(texts.join(labels, "id"), spec.text, "cluster_id", spec.n_words, size=spec.vocabulary),
+    )
     tables["cluster_sizes"] = clusters.cluster_sizes(base)
     tables["topic_keywords"] = words
     tables["topic_placement"] = clusters.topic_placement(words, clusters.centroids(base, coords=axes), coords=axes)

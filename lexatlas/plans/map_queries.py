@@ -11,6 +11,7 @@ from lexatlas.operators import approximate, categories, clusters, density, encod
 from lexatlas.operators.outcomes import thresholds
 from lexatlas.plans.catalog import query
 from lexatlas.plans.frames import LENGTH, POINTS_SQL, SENTENCES, docs, final, points, rounded_sql, table
+from lexatlas.plans.stages import Stages
 from lexatlas.session import cut, shared_dir
 from lexatlas.sources import readers, sinks
 from lexatlas.spec import AnalysisSpec
@@ -460,3 +461,23 @@ def st1c(spark, sf):
     store.publish(centres.withColumn("centre", F.transform("centre", lambda x: -x)))
     version = store.publish(centres)
     return scoring.nearest_topic(v, store.read(spark), block=2).select("id", "topic_id", F.lit(version).alias("version"))
+
+
+@query(
+    "s10_stage_store",
+    rounded_sql("mean", W + """docs AS (SELECT lang, length(text)::DOUBLE AS n FROM documents WHERE lang IS NOT NULL), t AS (SELECT lang, count(*) AS n, avg(n) AS mean FROM docs GROUP BY lang)
+      SELECT lang, n, mean, rank() OVER (ORDER BY n DESC, lang) AS place, 3::INTEGER AS made, 0::INTEGER AS made_again, 1::INTEGER AS made_for_new_option FROM t"""),
+)
+def s10(spark, sf):
+    """Three stages over the documents: a second run makes none of them, a changed option of the last one only that."""
+    path, made = _fresh(spark), []
+    for option in ("n", "n", "mean"):
+        held = Stages(spark, path)
+        d = docs(spark, sf).where("lang is not null").select("id", "lang", "text_length")
+        a, ka = held.table("lengths", [held.name_input(d)], {}, lambda d=d: d)
+        b, kb = held.table("languages", [ka], {}, lambda a=a: a.groupBy("lang").agg(F.count("*").alias("n"), F.avg("text_length").alias("mean")))
+        order = Window.partitionBy(F.lit(0)).orderBy(F.col(option).desc(), "lang")  # one row per language
+        c, _ = held.table("places", [kb], {"by": option}, lambda b=b, order=order: b.withColumn("place", F.rank().over(order).cast("bigint")))
+        made.append((c, len(held.made)))
+    first = made[0][0].select("lang", "n", "mean", "place")
+    return final(first.withColumns({k: F.lit(n) for k, (_, n) in zip(("made", "made_again", "made_for_new_option"), made)}))
