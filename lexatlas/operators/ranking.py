@@ -156,6 +156,13 @@ def bracketed_ranks(df: DataFrame, groups: list[str], value: str, probs: list[fl
     below = F.size(F.filter(F.concat("_low", "_high"), lambda e: e.isNotNull() & (e < v)))
     told = marked.withColumn("_inside", inside).select(*keys, value, F.when(F.col("_inside"), v).alias("_v"), F.when(~F.col("_inside"), below).alias("_stretch"))
     counts = told.groupBy(*keys, "_v", "_stretch").agg(F.count("*").alias("cnt"), F.min(value).alias(value))
+    # Rows told apart in the largest group, from the written brackets: if they fit a task, a window will do without writing them.
+    largest = brackets.agg(F.max("cnt")).first()[0] or 0
+    if largest * 2 * MARGIN * len(probs) <= HOT_GROUP:
+        by_group = Window.partitionBy(*keys)
+        upto = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        below_ = F.coalesce(F.sum("cnt").over(upto), F.lit(0)).alias("below")
+        return counts.select(*groups, value, "cnt", below_, F.sum("cnt").over(by_group).alias("total")), brackets
     return value_ranks(counts.select(*groups, value, "cnt"), groups, value, counted=True), brackets
 
 

@@ -19,7 +19,7 @@ from lexatlas.streaming import scoring
 
 W = "WITH "
 #: Points of a block in the queries: the test tables then have eight cells and more.
-CELL = 50
+CELL = 62
 
 
 def _vectors(spark, sf):

@@ -154,7 +154,7 @@ def test_new_coordinates(spark, tmp_path):
     assert all([a, b] == pytest.approx(list(places[i])) for i, a, b in first if i < 90)
 
 
-def test_bracketed_quantiles(spark):
+def test_bracketed_quantiles(spark, monkeypatch):
     """Positions are exact in large and small groups, with ties, a value of a third of the rows, and infinite and equal values."""
     rng = np.random.default_rng(11)
     g = np.concatenate([np.zeros(20000), np.ones(7000), np.full(40, 2), np.full(1, 3), np.full(5000, 4)]).astype(int)
@@ -170,6 +170,10 @@ def test_bracketed_quantiles(spark):
             assert [r[k] for k in probs if k != "f" or r["g"] != 1] == pytest.approx([np.quantile(x, p) for k, p in probs.items() if k != "f" or r["g"] != 1])
     one = ranking.quantiles(df.where("g = 0"), [], "v", probs).first()
     assert [one[k] for k in probs] == pytest.approx([np.quantile(v[g == 0], p) for p in probs.values()])
+    # Where the rows inside the brackets would not fit a task, they are ranked in ranges.
+    monkeypatch.setattr(ranking, "HOT_GROUP", 1)
+    assert ranking.quantiles(df.where("g = 0"), [], "v", probs).first() == one
+    monkeypatch.undo()
     for r in ranking.floor_percentile(df, ["g"], "v", {"x": 10, "y": 50, "z": 100}).collect():
         x = np.sort(v[g == r["g"]])
         assert (r["x"], r["y"], r["z"]) == (x[int(len(x) * 10 / 100)], x[int(len(x) * 50 / 100)], None)
