@@ -6,7 +6,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from lexatlas.llm.common import arrow_map
+from lexatlas.llm.common import arrow_map, held
 
 # How byte-level vocabularies split a text before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -125,10 +124,9 @@ class BytePairCoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def shared_coder(path: str) -> BytePairCoder:
     """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
-    return BytePairCoder(path)
+    return held((BytePairCoder, path))[0]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:

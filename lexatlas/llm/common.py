@@ -41,6 +41,23 @@ def arrow_map(df: DataFrame, rows_of: Callable[[pa.RecordBatch], dict[str, Itera
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(*wanted: tuple) -> list:
+    """Objects that a Python worker keeps from task to task, each named by (make, *arguments).
+
+    What earlier tasks have kept and this one does not want is let go first, so a worker that is used again by another
+    operator never holds the vocabularies of two.
+    """
+    for name in [n for n in _HELD if n not in wanted]:
+        del _HELD[name]
+    for name in wanted:
+        if name not in _HELD:
+            _HELD[name] = name[0](*name[1:])
+    return [_HELD[name] for name in wanted]
+
+
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from lexatlas.llm.common import arrow_map, salted_join
+from lexatlas.llm.common import arrow_map, held, salted_join
 from lexatlas.session import cut
 
 # Fixed values of the base rules.
@@ -95,10 +94,9 @@ class Vocabulary:
         return n, int(weight[self.is_byte[flat]].sum()), entropy / most if most > 0 else 1.0
 
 
-@lru_cache(maxsize=2)
 def shared_vocabulary(path: str) -> Vocabulary:
     """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
-    return Vocabulary(path)
+    return held((Vocabulary, path))[0]
 
 
 def repeated_words(numbers: np.ndarray) -> int:

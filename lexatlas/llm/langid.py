@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexatlas.llm.common import arrow_map, pa_schema, short_batches
+from lexatlas.llm.common import arrow_map, held, pa_schema, short_batches
 
 DIMENSIONS = 2048
 GRAM = 3
@@ -85,10 +84,9 @@ class Profiler:
         return total / norm if norm else None
 
 
-@lru_cache(maxsize=2)
 def shared_profiler(dimensions: int) -> Profiler:
     """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
-    return Profiler(dimensions)
+    return held((Profiler, dimensions))[0]
 
 
 def fit_prototypes(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:

@@ -8,7 +8,6 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from lexatlas.llm.common import arrow_map, text_bytes
+from lexatlas.llm.common import arrow_map, held, text_bytes
 from lexatlas.session import cut
 
 WORDS_KEPT, WORD_KEPT_BYTES = 1 << 19, 64
@@ -54,10 +53,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, LAST_MARKS.sub(rb" \1", text).split()))
 
 
-@lru_cache(maxsize=2)
 def shared_words(path: str) -> WordIds:
     """One for all tasks of a Python worker, so that what it has met is kept from task to task."""
-    return WordIds(path)
+    return held((WordIds, path))[0]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:

@@ -8,9 +8,9 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexatlas.llm.bpe import shared_coder
-from lexatlas.llm.common import arrow_map
-from lexatlas.llm.packing import shared_words
+from lexatlas.llm.bpe import BytePairCoder
+from lexatlas.llm.common import arrow_map, held
+from lexatlas.llm.packing import WordIds
 
 KEYS = ("source", "lang", "version")
 TOTALS = ("docs", "tokens", "chars")
@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, words_path: str, bytes_path: str, id_col: str
     source = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def start() -> Callable:
-        words, pieces = shared_words(words_path), shared_coder(bytes_path)
+        words, pieces = held((WordIds, words_path), (BytePairCoder, bytes_path))
 
         def rows(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
