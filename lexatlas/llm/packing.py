@@ -7,8 +7,8 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Callable
-from itertools import combinations_with_replacement
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from lexatlas.llm.common import arrow_map, held, text_bytes
 from lexatlas.session import cut
 
 WORDS_KEPT, WORD_KEPT_BYTES = 1 << 19, 64
+#: Words that one call to the tokenizer takes, and text that is split before it.
+WORDS_AT_ONCE, LEARN_BYTES = 1 << 10, 1 << 20
 #: Punctuation that ends a word of ASCII letters and digits is a piece of its own for the tokenizer, too.
 LAST_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[ \t\n\x0b\x0c\r]|$)")
 
@@ -47,10 +49,39 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
-    def of(self, text: bytes) -> bytes:
+    def words(self, text: bytes) -> list[bytes]:
         if b"<|" not in text:  # special tokens are told apart by case
             text = text.lower()
-        return b"".join(map(self.__getitem__, LAST_MARKS.sub(rb" \1", text).split()))
+        return LAST_MARKS.sub(rb" \1", text).split()
+
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Take up the ids of many words with one call: they stand in one line, and each token belongs to the word it begins in."""
+        new = [w for w in dict.fromkeys(w for w in words if w not in self) if len(w) <= WORD_KEPT_BYTES and b"<" not in w]
+        if len(self) + len(new) > WORDS_KEPT:
+            self.clear()
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            shown = [w.decode("utf-8", "replace") for w in some]
+            made = self.tokenizer.encode(" ".join(shown), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)) + 1)
+            begins = np.fromiter((a for a, _ in made.offsets), np.int64, len(made.ids))
+            cuts = 4 * np.concatenate([[0], np.searchsorted(begins, ends)])
+            ids = np.array(made.ids, "<u4").tobytes()
+            for w, a, b in zip(some, cuts.tolist(), cuts[1:].tolist()):
+                self[w] = ids[a:b]
+
+    def of_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; words new to the worker are learnt for about LEARN_BYTES of text at a time."""
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at]) <= LEARN_BYTES):
+                group.append(self.words(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn(chain.from_iterable(group))
+            for words in group:
+                yield b"".join(map(self.__getitem__, words))
 
 
 def shared_words(path: str) -> WordIds:
@@ -74,8 +105,8 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = defaultdict(list)
             of_row = []
-            for i, text in enumerate(text_bytes(batch.column("text"))):
-                ids = words.of(text) + end
+            for i, ids in enumerate(words.of_all(text_bytes(batch.column("text")))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     one = ids[at : at + step]
                     length = len(one) // 4
