@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Callable
 from itertools import chain
 
@@ -19,6 +21,8 @@ from lexatlas.llm.common import arrow_map, held
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Scripts whose newest letters the two libraries class by different Unicode versions.
 NEWER_SCRIPTS = "[԰-῿⁰-\U0010ffff]"
+#: The characters outside them.
+OLDER_SCRIPTS = (*range(0x0530), *range(0x2000, 0x2070))
 PIECES_KEPT, PIECE_KEPT_CHARS = 1 << 18, 64
 
 
@@ -29,6 +33,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def older_pieces() -> re.Pattern:
+    """``PIECES`` over OLDER_SCRIPTS with the classes of characters written out: the same pieces in less than half the time."""
+    blank = regex.compile(r"\p{White_Space}")
+    kind = {c: "W" if blank.match(chr(c)) else unicodedata.category(chr(c))[0] for c in OLDER_SCRIPTS}
+    letters, numbers, blanks = ("".join(f"\\U{c:08x}" for c in OLDER_SCRIPTS if kind[c] == k) for k in "LNW")
+    classes = {r"[^\p{White_Space}\p{L}\p{N}]": f"[^{blanks}{letters}{numbers}]", r"\p{L}": f"[{letters}]", r"\p{N}": f"[{numbers}]", r"\p{White_Space}": f"[{blanks}]", r"\P{White_Space}": f"[^{blanks}]"}
+    pattern = PIECES
+    for name, written in classes.items():
+        pattern = pattern.replace(name, written)
+    return re.compile(pattern)
+
+
 class BytePairCoder:
     """Encodes and decodes with a vocabulary file of a byte-level BPE tokenizer."""
 
@@ -49,7 +65,7 @@ class BytePairCoder:
             a, b = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
             self.ranks[self.id_of[a] * self.size + self.id_of[b]] = rank
             self.merged.append(self.id_of[a + b])
-        self.pieces = regex.compile(PIECES)
+        self.pieces = older_pieces()
         self.newer = regex.compile(NEWER_SCRIPTS)
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.byte_level = ByteLevel(add_prefix_space=False, use_regex=True)
