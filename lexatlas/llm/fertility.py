@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ LEAST_DOCS = 20
 SHORT = 8.0
 #: Interquartile ranges below this over sqrt(words) are widened to it: classes of very even texts, or of near copies, keep a band.
 LEAST_SPREAD = {"chars_per_token": 0.6, "byte_share": 0.2, "token_entropy": 0.15}
-WORDS_KEPT, CHARS_KEPT = 1 << 17, 1 << 24
+WORDS_KEPT, BYTES_KEPT = 1 << 19, 1 << 24
+#: Odd multipliers of the window hash: powers of one number, modulo 2^64.
+MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, WINDOW + 2)], np.uint64)
 
 # First characters of the scripts' blocks.
 SCRIPTS = ((0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "other"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0900, "indic"), (0x0E00, "other"), (0x1E00, "latin"), (0x2000, "other"), (0x3040, "cjk"), (0xFB00, "other"))
@@ -47,6 +50,11 @@ def script_of(text: str) -> str:
     return max(sorted(counts), key=counts.__getitem__)
 
 
+def with_room(array: np.ndarray, size: int) -> np.ndarray:
+    """``array``, or a copy at least twice as long where it has no room for ``size`` values."""
+    return array if size <= len(array) else np.concatenate([array, np.empty(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+
 class Vocabulary:
     """Tokens of words, numbered as they come; forgets all between two texts when full."""
 
@@ -56,24 +64,27 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.chars = 0
-        self.ids: list[np.ndarray] = []
-        self.lengths = np.empty(1 << 12, np.int64)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self.number) > WORDS_KEPT or self.chars > CHARS_KEPT:
+        self.number: dict[bytes, int] = {}
+        self.held = 0
+        #: Tokens of all words behind one another, and where those of each word begin; the last begin is the end.
+        self.tokens = np.empty(1 << 14, np.int32)
+        self.begins = np.zeros(1 << 12, np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.number) > WORDS_KEPT or self.held > BYTES_KEPT:
             self.forget()
         out = [self.number.get(w, -1) for w in words]
         fresh = [w for w in dict.fromkeys(w for w, n in zip(words, out) if n < 0)] if -1 in out else []
         if fresh:
-            for w, ids in zip(fresh, self.model.encode(fresh, num_threads=1)):
-                at = self.number[w] = len(self.ids)
-                self.chars += len(w)
-                if at >= len(self.lengths):
-                    self.lengths = np.concatenate([self.lengths, np.empty_like(self.lengths)])
-                self.ids.append(np.array(ids, np.int32))
-                self.lengths[at] = len(ids)
+            coded = self.model.encode([w.decode() for w in fresh], num_threads=1)
+            first = len(self.number)
+            self.number.update(zip(fresh, range(first, first + len(fresh))))
+            self.held += sum(map(len, fresh))
+            ends = self.begins[first] + np.cumsum([len(ids) for ids in coded])
+            self.begins = with_room(self.begins, first + len(fresh) + 1)
+            self.tokens = with_room(self.tokens, int(ends[-1]))
+            self.begins[first + 1 : first + 1 + len(fresh)] = ends
+            self.tokens[self.begins[first] : ends[-1]] = list(chain.from_iterable(coded))
             out = [self.number[w] for w in words]
         return np.array(out, np.int64)
 
@@ -82,8 +93,9 @@ class Vocabulary:
         if not len(numbers):
             return 0, 0, 0.0
         word, times = np.unique(numbers, return_counts=True)
-        flat = np.concatenate([self.ids[w] for w in word])
-        weight = np.repeat(times, self.lengths[word])
+        begins, lengths = self.begins[word], self.begins[word + 1] - self.begins[word]
+        flat = self.tokens[np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        weight = np.repeat(times, lengths)
         n = int(weight.sum())
         if not n:
             return 0, 0, 0.0
@@ -99,19 +111,30 @@ def shared_vocabulary(path: str) -> Vocabulary:
     return held((Vocabulary, path))[0]
 
 
+def in_pairs(same: np.ndarray) -> np.ndarray:
+    """Which of the sorted values have an equal neighbour; ``same`` says whether each equals the one before it."""
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same])
+
+
 def repeated_words(numbers: np.ndarray) -> int:
     """How many words lie in windows of five words that occur twice or more, the first occurrence included."""
     n = len(numbers) - WINDOW + 1
     if n < 2:
         return 0
-    key = np.zeros(n, np.int64)
+    mixed = (numbers.astype(np.uint64) + np.uint64(1)) * MULTIPLIERS[0]
+    mixed ^= mixed >> np.uint64(29)
+    key = np.zeros(n, np.uint64)
     for j in range(WINDOW):
-        # Pairs (window so far, next word) are numbered anew, so that equal numbers are equal windows.
-        _, key = np.unique(key * (int(numbers.max()) + 1) + numbers[j : j + n], return_inverse=True)
-    twice = (np.bincount(key) > 1)[key]
-    edges = np.zeros(len(numbers) + 1, np.int64)
-    np.add.at(edges, np.flatnonzero(twice), 1)
-    np.add.at(edges, np.flatnonzero(twice) + WINDOW, -1)
+        key += mixed[j : j + n] * MULTIPLIERS[1 + j]
+    order = np.argsort(key, kind="stable")
+    maybe = np.sort(order[in_pairs(key[order][1:] == key[order][:-1])])
+    if not len(maybe):
+        return 0
+    # Windows whose hash occurs once are single; those that remain are compared word by word.
+    windows = numbers[maybe[:, None] + np.arange(WINDOW)]
+    order = np.lexsort(windows.T)
+    twice = maybe[order[in_pairs((windows[order][1:] == windows[order][:-1]).all(axis=1))]]
+    edges = np.bincount(twice, minlength=len(numbers) + 1) - np.bincount(twice + WINDOW, minlength=len(numbers) + 1)
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
@@ -128,7 +151,7 @@ def measured_rules(docs: DataFrame, path: str, id_col: str, text_col: str, lang_
         def rows(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {c: [] for c in (*counts, "token_entropy", "band")}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                words = [w.decode() for w in text.encode().split()]
+                words = text.encode().split()
                 lines = [x for x in text.split("\n") if x.strip(BLANKS)]
                 numbers = vocabulary.numbers(words)
                 n, n_bytes, entropy = vocabulary.measures(numbers)
