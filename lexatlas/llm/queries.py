@@ -129,10 +129,11 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexatlas.llm.rollups import TokenRollups, deletes, inserts, revisions, token_counts
     from lexatlas.session import cut, shared_dir
 
-    docs = table(spark, sf_dir, "documents")
-    counts = cut(token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")))
+    docs = table(spark, sf_dir, "documents").withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    counts = cut(token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "lang", "row")))
     counts = counts.withColumn("word_tokens_end", F.col("word_tokens") + 1)
-    copies = counts.join(exact_duplicates(docs).filter("not kept").select("doc_id"), "doc_id", "left_semi")
+    gone = exact_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    copies = counts.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left_semi")
     totals = TokenRollups(spark, f"{shared_dir(spark)}/rollups-{uuid.uuid4().hex}")
     batches = {
         "load": [inserts(counts, "word_bpe_49k", "word_tokens"), inserts(counts, "byte_bpe_50k", "byte_tokens")],

@@ -8,7 +8,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexatlas.llm.bpe import BytePairCoder
+from lexatlas.llm.bpe import PIECE_KEPT_CHARS, PIECES_KEPT, BytePairCoder
 from lexatlas.llm.common import arrow_map, held
 from lexatlas.llm.packing import WordIds
 
@@ -16,21 +16,43 @@ KEYS = ("source", "lang", "version")
 TOTALS = ("docs", "tokens", "chars")
 
 
+class PieceCounts(dict):
+    """How many tokens each piece of text has, by a byte-level vocabulary. Forgets all when full and never keeps long pieces."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.coder = BytePairCoder(path)
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.coder.merge(piece.encode()))
+        if len(piece) <= PIECE_KEPT_CHARS:
+            if len(self) >= 2 * PIECES_KEPT:
+                self.clear()
+            self[piece] = n
+        return n
+
+    def of(self, text: str) -> int:
+        coder = self.coder
+        if coder.special is None or not coder.special.search(text):
+            return sum(map(self.__getitem__, coder.split(text)))
+        return sum(1 if part in coder.added else sum(map(self.__getitem__, coder.split(part))) for part in coder.special.split(text))
+
+
 def token_counts(docs: DataFrame, words_path: str, bytes_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """``id_col``, the columns ``keep``, chars and the tokens of every whole text by two vocabularies: word_tokens, byte_tokens. Null is empty."""
     kinds = dict(docs.dtypes)
     source = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def start() -> Callable:
-        words, pieces = held((WordIds, words_path), (BytePairCoder, bytes_path))
+        words, pieces = held((WordIds, words_path), (PieceCounts, bytes_path))
 
         def rows(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
             out = {c: batch.column(c) for c in batch.schema.names if c != "text"}
             return out | {
                 "chars": [len(t) for t in texts],
-                "word_tokens": [len(words.of(t.encode())) // 4 for t in texts],
-                "byte_tokens": [sum(len(ids) for ids, _ in pieces.coded(t)) for t in texts],
+                "word_tokens": [len(ids) // 4 for ids in words.of_all([t.encode() for t in texts])],
+                "byte_tokens": [pieces.of(t) for t in texts],
             }
 
         return rows
