@@ -59,3 +59,36 @@ def test_pipeline(spark, tmp_path):
     want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in names[3].items()}
     assert {(r.doc_id, r.length, r.ids_crc32) for r in packed} == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
     assert len({r.sequence_id for r in packed}) == -(-sum(map(len, want.values())) // 4096)
+
+
+def test_stages_leave_one_of_repeated_rows(spark):
+    """Rows equal in id and text, null ids included; an empty table; clashing column names."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, c), (None, None), (None, None), (3, ""), (None, prose(rng, 30))]
+    rows += [(7, rows[-1][1]), (7, rows[-1][1])]
+    schema = "doc_id long, text string, row string, kept long, count int"
+    docs = spark.createDataFrame([(*r, "x", 0, i) for i, r in enumerate(rows)], schema)
+    left = corpus_pipeline.exact_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    # The empty text of document 3 equals the null texts, whose null ids are smaller; 7 is larger than a null id.
+    want = sorted([(1, a), (1, b), (2, c), (3, ""), (7, rows[-1][1])])
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == want
+    near = corpus_pipeline.near_dedup(spark, docs.filter("doc_id in (1, 2)"), "")
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == sorted([(1, a), (1, b), (2, c)])
+    assert corpus_pipeline.exact_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_worker_holds_one_operators_things():
+    from lexatlas.llm import common
+
+    first = common.held((list, "ab"))[0]
+    assert common.held((list, "ab"))[0] is first
+    both = common.held((list, "ab"), (set, "c"))
+    assert both[0] is first and both[1] == {"c"}
+    common.held((set, "c"))
+    assert list(common._HELD) == [(set, "c")]
+    common.held()
+    assert not common._HELD
