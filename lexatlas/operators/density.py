@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexatlas.operators.cluster_tree import IN_TASK, NOISE, chains_followed, cluster_labels
-from lexatlas.operators.neighbours import BLOCK, Index, build_index, distances, meet, point_neighbours, visits
+from lexatlas.operators.neighbours import BLOCK, SLACK, Index, build_index, distances, meet, pair_distances, point_neighbours, quick_squares, visits
 from lexatlas.operators.ranking import attach
 from lexatlas.session import cut
 
@@ -110,13 +110,22 @@ def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) ->
         step = max(1, 1_000_000 // len(p))
         for at in range(0, len(q), step):
             part = q.iloc[at : at + step]
-            d = distances(np.stack(part["v"].to_numpy()), pv, exact=True)
-            d = np.maximum(np.maximum(d, pcore[None, :]), part["core"].to_numpy()[:, None])
-            d[part["comp"].to_numpy()[:, None] == pc[None, :]] = np.inf
-            j = d.argmin(1)
-            w = d[np.arange(len(j)), j]
-            frame = pd.DataFrame({"comp": part["comp"].to_numpy(), "u": part["rid"].to_numpy(), "v": pid[j], "w": w, "other": pc[j]})
-            frame = frame[np.isfinite(w)]
+            qv, qcore = np.stack(part["v"].to_numpy()), part["core"].to_numpy()
+            # Lower bounds by a matrix product; only pairs that can be a row's shortest, and no longer than its limit, are summed exactly.
+            sq, error = quick_squares(qv, pv)
+            low = np.sqrt(np.maximum(sq - error, 0.0))
+            low = np.maximum(np.maximum(low, pcore[None, :]), qcore[:, None])
+            low[part["comp"].to_numpy()[:, None] == pc[None, :]] = np.inf
+            first = low.argmin(1)
+            high = np.sqrt(np.maximum(sq[np.arange(len(first)), first] + error, 0.0))
+            high = np.maximum(np.maximum(high, pcore[first]), qcore)
+            row, col = np.nonzero((low <= np.minimum(high, part["limit"].to_numpy() + SLACK)[:, None]) & np.isfinite(low))
+            w = np.maximum(np.maximum(pair_distances(qv, row, pv, col), pcore[col]), qcore[row])
+            order = np.lexsort((col, w, row))
+            row, col, w = row[order], col[order], w[order]
+            head = np.searchsorted(row, row) == np.arange(len(row))
+            row, j, w = row[head], col[head], w[head]
+            frame = pd.DataFrame({"comp": part["comp"].to_numpy()[row], "u": part["rid"].to_numpy()[row], "v": pid[j], "w": w, "other": pc[j]})
             lo, hi = np.minimum(frame["u"], frame["v"]), np.maximum(frame["u"], frame["v"])
             out.append(frame.assign(_lo=lo, _hi=hi))
         if not out:
@@ -124,8 +133,8 @@ def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) ->
         every = pd.concat(out, ignore_index=True).sort_values(["comp", "w", "_lo", "_hi"])
         return every.drop_duplicates("comp")[["comp", "u", "v", "w", "other"]]
 
-    visiting = visits(index, queries, "limit", 0, ["core", "comp"], pure)
-    return meet(index, visiting, points.select("cell", "blk", "rid", "v", "core", "comp"), nearest, schema)
+    visiting = visits(index, queries, "limit", 0, ["core", "comp", "limit"], pure)
+    return meet(index, visiting, points.select("cell", "rid", "v", "core", "comp"), nearest, schema)
 
 
 def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
