@@ -136,7 +136,7 @@ def topic_associations(df: DataFrame, features: str = "features", cluster: str =
     counts = long.groupBy("pc", "topic_id", "value").agg(F.count(F.lit(1)).alias("_c"))
     c, x, p = F.col("_c"), F.col("value") - F.col("_centre"), F.col("pct")
     sums = (
-        counts.join(pct, ["pc", "value"])
+        counts.join(pct.hint("merge"), ["pc", "value"])  # one row per value: no side is small
         .join(F.broadcast(means), "pc")  # one row per component
         .groupBy("pc", "topic_id")
         .agg(

@@ -14,6 +14,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexatlas.session import cut, parallelism
 
 HOT_GROUP = 1_000_000  # distinct values (or rows) of one key that still fit one task
+PER_TASK = 100_000  # rows that a task sorts or joins, where their number is known
+
+
+def tasks_for(rows: int, per_task: int = PER_TASK) -> int:
+    """Partitions that leave a task ``per_task`` rows: fixed by the rows, not by the cores, so that a task's memory does not grow with the input."""
+    return max(1, -(-rows // per_task))
 
 
 def _ranges(spark, most: int = 1024) -> int:
@@ -43,7 +49,8 @@ def value_ranks(
         counts = counts.withColumn("_all", F.lit(0))
     counts = cut(counts)
     by_group = Window.partitionBy(*keys)
-    if counts.count() <= hot:  # from the file footers; no group can be larger
+    n = counts.count()
+    if n <= hot:  # from the file footers; no group can be larger
         upto = by_group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.select(
             *groups, value, "cnt", F.coalesce(F.sum("cnt").over(upto), F.lit(0)).alias("below"), F.sum("cnt").over(by_group).alias("total")
@@ -79,18 +86,19 @@ def value_ranks(
         F.sum("_in_range").over(by_group).alias("total"),
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ranged.withColumn("_inside", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    ranked = ranged.repartition(tasks_for(n), *keys, "_range").withColumn("_inside", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
     return ranked.join(offsets, [*keys, "_range"]).select(
         *groups, value, "cnt", (F.col("_before") + F.col("_inside")).alias("below"), "total"
     )
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column | str, per_task: int = HOT_GROUP) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column | str, per_task: int = HOT_GROUP, sort: bool = False) -> DataFrame:
     """Join rows to a table with unique ``keys`` and row counts ``cnt`` without a hot key.
 
     A key with more than ``per_task`` rows is copied ``ceil(cnt / per_task)`` times in ``facts``
     and its rows spread over the copies by ``spread`` (any well-spread integer of the row). At
-    most rows / per_task keys are hot, so the list of them is small enough to broadcast.
+    most rows / per_task keys are hot, so the list of them is small enough to broadcast. ``sort`` is for facts as
+    many as the rows: exploded arrays look small to the planner, which would send a whole side to every task.
     """
     copies = F.ceil(F.col("cnt") / F.lit(per_task)).cast("int")
     hot = facts.where(F.col("cnt") > per_task).select(*keys, copies.alias("_copies"))
@@ -99,6 +107,8 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column |
         "_salt", F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("_copies")).cast("int"))
     )
     right = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)))
+    if sort:
+        right = right.hint("merge")
     return left.join(right, [*keys, "_salt"]).drop("_salt", "_copies")
 
 
@@ -240,7 +250,7 @@ def percentile_ranks(long: DataFrame, id_col: str = "id", key: str = "pc", value
     ``left``: share of strictly smaller values. ``average``: mean rank over ties, as a share.
     """
     share = percentile_table(long, key, value, method)
-    return attach(long, share, [key, value], F.xxhash64(id_col)).select(id_col, key, value, "pct")
+    return attach(long, share, [key, value], F.xxhash64(id_col), sort=True).select(id_col, key, value, "pct")
 
 
 def percentile_table(long: DataFrame, key: str = "pc", value: str = "value", method: str = "left") -> DataFrame:
