@@ -435,12 +435,17 @@ def st1(spark, sf):
     return _nearest(scorer.score(docs(spark, sf).select("id", "text", "sentence_count", "text_length")), scorer.centres.read(spark))
 
 
+def _files(n: int) -> int:
+    """Files of a stream of ``n`` documents: four, and more where these would hold over 10,000 each."""
+    return max(4, ranking.tasks_for(n, 10_000))
+
+
 @query("st1_score_stream", _SCORED)
 def st1b(spark, sf):
     """The documents as a stream of files, scored batch by batch into a table."""
     folder = _fresh(spark)
     d = docs(spark, sf).select("id", "text", "sentence_count", "text_length")
-    d.repartition(4).write.parquet(f"{folder}/in")
+    d.repartition(_files(d.count())).write.parquet(f"{folder}/in")
     stream = scoring.stream_documents(spark, f"{folder}/in", d.schema)
     scorer = _scorer(spark, sf)
     scoring.start(scorer, stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True, columns=["id", "category", "embed_ok", "pc", "topic_id"]).awaitTermination()
