@@ -27,6 +27,10 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair is dropped before verification when its registers make any similarity at or above the limit
 #: e^-LEEWAY times less likely than the best one.
 LEEWAY = 16.0
+#: Turns in which the nodes of a bucket meet one pivot, before the pairs that are left are looked for by their words.
+TURNS = 2
+#: Nodes of one pivot that are compared with each other directly.
+FEW = 32
 
 _SEEDS = np.random.default_rng(20240229)
 _FACTORS = (_SEEDS.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -184,6 +188,67 @@ def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -
     return cut(arrow_map(close, verified, "a binary, b binary"))
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, pivot, n, p_n, excess, words) of every pair: the words that only one of both sets has, d in all, and the sizes of the sets.
+
+    The pair is linked if excess, which is (100 + percent) d - (100 - percent) n, is at most (100 - percent) p_n.
+    """
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        n, p_n, words = [], [], []
+        for x, y in zip(batch.column("words").to_pylist(), batch.column("p_words").to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            n.append(len(x))
+            p_n.append(len(y))
+        excess = [(100 + percent) * len(w) - (100 - percent) * m for w, m in zip(words, n)]
+        return {"node": batch.column("node"), "pivot": batch.column("pivot"), "n": n, "p_n": p_n, "excess": excess, "words": words}
+
+    return arrow_map(_with_ends(pairs, sets), rows, "node binary, pivot binary, n long, p_n long, excess long, words array<long>")
+
+
+def _left_over(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, pivot) of nodes that have met the same pivot and may be linked, though one of them at least is not linked to it.
+
+    ``groups`` has (pivot, node, root); nodes of one root are not paired. With the differences Dx and Dy of two sets x and y to that of
+    their pivot, x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| words. So they are linked only if the differences share at least
+    (excess of x + excess of y) / (2 (100 + percent)) words, which is more than 0 if one of them is not linked to the pivot. With the
+    words of a group in one order, rarest first, the first word that two differences share then lies so far in front in both that as
+    many follow: only pairs that meet in such a word are looked at, not all pairs of a group.
+    """
+    more, less = 100 + percent, 100 - percent
+    seen = cut(_differences(groups.select("node", "pivot"), sets, percent))
+    words = seen.select("pivot", "node", F.explode("words").alias("word"))
+    rare = words.groupBy("pivot", "word").agg(F.count("*").alias("f")).filter("f > 1")
+    ordered = words.join(rare, ["pivot", "word"]).groupBy("pivot", "node").agg(F.array_sort(F.collect_list(F.struct("f", "word"))).alias("shared"))
+    facts = seen.drop("words").withColumn("linked", F.col("excess") <= less * F.col("p_n")).join(groups, ["pivot", "node"])
+    # Words that no other difference has come first and need not be met.
+    placed = facts.join(ordered, ["pivot", "node"]).select("*", F.posexplode("shared").alias("at", "_w"))
+    placed = placed.withColumn("word", F.col("_w.word")).withColumn("after", F.size("shared") - F.col("at"))
+    # The least to share with any partner: a linked node with one that just is not, another with one of the fitting size that is the pivot.
+    with_other = F.ceil((F.col("excess") + less * F.col("p_n") + 1) / F.lit(2.0 * more))
+    with_any = F.ceil((percent * F.col("excess") - 100 * less * F.col("n")) / F.lit(2.0 * more * percent))
+    placed = placed.filter(F.col("after") >= F.when(F.col("linked"), with_other).otherwise(with_any))
+    placed = cut(placed.select("pivot", "word", "node", "root", "n", "excess", "linked", "after"))
+    x, y = placed.filter("not linked").alias("x"), placed.alias("y")
+    needed = F.greatest(F.lit(1), F.ceil((F.col("x.excess") + F.col("y.excess")) / F.lit(2.0 * more)))
+    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    once = F.col("y.linked") | (F.col("x.node") < F.col("y.node"))
+    found = x.join(
+        y,
+        (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.word") == F.col("y.word")) & (F.col("x.root") != F.col("y.root")) & once & fits
+        & (F.col("x.after") >= needed) & (F.col("y.after") >= needed),
+    )
+    return found.select(F.col("y.node").alias("node"), F.col("x.node").alias("pivot")).distinct()
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    joined = parts[0]
+    for more in parts[1:]:
+        joined = joined.unionByName(more)
+    return joined
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: ``id_col``, n_shingles, component_id, kept, and row (xxhash64 of the text).
 
@@ -192,12 +257,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that can be reached, kept says whether that is the document itself. A text of fewer words is one
     shingle; a text without words (or null) has none and is linked with nothing.
 
-    Texts with equal sets are one node. Nodes meet in the buckets of their bands. In every round each
-    bucket compares some pivots with those of its nodes that are not yet in the pivot's component, then
-    links are contracted and the pivots leave the bucket, which ends when one component is left in it.
-    So every pair of a bucket is compared or already connected, and a group of thousands of near copies
-    costs about one comparison per node, not per pair. Pivots come from the rarest components of a
-    bucket first. Nothing is capped.
+    Texts with equal sets are one node. Nodes meet in the buckets of their bands. First the most central node
+    of each bucket is compared with the others of the bucket, then the most central of those that are
+    linked to nothing. Of the other pairs of a bucket only those can be linked that differ from its first
+    pivot in the same words: they are found by these words (:func:`_left_over`), so nodes just below the
+    limit are not compared with a whole group of near copies. Every pair of a bucket is compared, connected
+    or ruled out by exact counts. Nothing is capped.
 
     Null ids are never linked: component_id is null and kept true. Rows that repeat an id are separate
     documents that share the id. Other columns are not read. Empty input gives an empty result.
@@ -223,31 +288,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(_sets(wanted.filter("_wanted").select("text"), width))
     members = members.drop("first")
 
-    found, labels, lots = [], None, 1
-    while True:
-        # Nodes that are linked to nothing yet come first, as what is left of a bucket is mostly one component; among them the most central.
-        first = F.min(F.struct((F.col("root") != F.col("node")).alias("linked"), (-F.col("central")).alias("outer"), F.col("node").alias("pivot"), F.col("root").alias("p_root"), F.col("n").alias("p_n")))
-        lot = F.pmod(F.xxhash64("node", F.lit(99)), F.lit(lots)).alias("lot")
-        per_lot = members.groupBy("key", lot).agg(first.alias("p"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("weight"))
-        chosen = cut(
-            per_lot.groupBy("key")
-            .agg(F.collect_list("p").alias("ps"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("weight").alias("weight"))
-            .filter("low <> high")
-            .select("key", "ps", "weight")
-        )
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows if labels is None else rows.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    found, labels, groups = [], None, None
+    for turn in range(TURNS):
+        # In the first turn all nodes of a bucket meet its most central one, later those that are linked to nothing yet.
+        waiting = members if turn == 0 else members.filter(F.col("root") == F.col("node"))
+        first = F.min(F.struct((-F.col("central")).alias("outer"), F.col("node").alias("pivot"), F.col("n").alias("p_n"))).alias("p")
+        chosen = cut(waiting.groupBy("key").agg(first, F.count("*").alias("weight")).filter("weight > 1").select("key", "p.pivot", "p.p_n", "weight"))
         if chosen.isEmpty():
             break
-        met = cut(spread_join(members, chosen, ["key"], ["node"], "weight"))
-        fits = lambda p: (F.col("root") != p["p_root"]) & (100 * F.least("n", p["p_n"]) >= percent * F.greatest("n", p["p_n"]))
-        pairs = cut(met.select("node", F.explode(F.filter("ps", fits)["pivot"]).alias("pivot")).distinct())
-        found.append(_linked(pairs, nodes, sets, percent))
-        edges = found[0]
-        for more in found[1:]:
-            edges = edges.unionByName(more)
-        labels = cut(components(edges))
-        rest = met.filter(~F.array_contains(F.col("ps")["pivot"], F.col("node"))).select("key", "node", "n", "central")
-        members = cut(rest.join(labels, "node", "left").select("key", "node", "n", "central", F.coalesce("root", "node").alias("root")))
-        lots *= 16
+        met = cut(spread_join(waiting, chosen, ["key"], ["node"], "weight").filter(F.col("node") != F.col("pivot")))
+        if turn == 0:
+            groups = cut(met.select("pivot", "node").distinct())
+        fits = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+        found.append(_linked(cut(met.filter(fits).select("node", "pivot").distinct()), nodes, sets, percent))
+        labels = cut(components(_all(found)))
+        members = cut(labelled(met.select("key", "node", "n", "central", "root")))
+    if groups is not None:
+        # Two nodes of a bucket have both met its first pivot.
+        groups = cut(labelled(groups.withColumn("root", F.col("node"))))
+        size = groups.groupBy("pivot").agg(F.count("*").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"))
+        size = cut(size.filter("low <> high").select("pivot", "weight"))
+        few = groups.join(size.filter(F.col("weight") <= FEW).drop("weight"), "pivot").join(nodes.select("node", "n"), "node")
+        a, b = few.alias("a"), few.alias("b")
+        fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+        apart = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+        direct = a.join(b, apart & fits).select(F.col("b.node").alias("node"), F.col("a.node").alias("pivot"))
+        many = cut(spread_join(groups, cut(size.filter(F.col("weight") > FEW)), ["pivot"], ["node"], "weight"))
+        rest = direct.unionByName(_left_over(many, sets, percent)) if not many.isEmpty() else direct
+        found.append(_linked(cut(rest.distinct()), nodes, sets, percent))
+        labels = cut(components(_all(found)))
 
     known = nodes.select("node", "first", "copies", F.col("node").alias("root"))
     if labels is not None:
