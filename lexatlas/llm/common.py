@@ -5,7 +5,9 @@ Column names that begin with ``_lx_`` are reserved.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,6 +34,8 @@ def arrow_map(df: DataFrame, rows_of: Callable[[pa.RecordBatch], dict[str, Itera
     types = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if start is None:
+            held()
         f = start() if start else rows_of
         for batch in batches:
             if batch.num_rows:
@@ -41,21 +45,31 @@ def arrow_map(df: DataFrame, rows_of: Callable[[pa.RecordBatch], dict[str, Itera
     return df.mapInArrow(run, schema)
 
 
-_HELD: dict[tuple, object] = {}
+def _kept() -> dict[tuple, object]:
+    """What :func:`held` keeps. Functions reach the workers by value, so a global of this module would be new in every task: the
+    table stands among the modules of the process."""
+    return sys.modules.setdefault("lexatlas_held", ModuleType("lexatlas_held")).__dict__.setdefault("kept", {})
+
+
+_HELD = _kept()  # that of this process
 
 
 def held(*wanted: tuple) -> list:
     """Objects that a Python worker keeps from task to task, each named by (make, *arguments).
 
     What earlier tasks have kept and this one does not want is let go first, so a worker that is used again by another
-    operator never holds the vocabularies of two.
+    operator never holds the vocabularies of two; tasks of :func:`arrow_map` without ``start`` want nothing.
     """
-    for name in [n for n in _HELD if n not in wanted]:
-        del _HELD[name]
+    kept = _kept()
+    idle = [n for n in kept if n not in wanted]
+    for name in idle:
+        del kept[name]
+    if idle:
+        pa.default_memory_pool().release_unused()
     for name in wanted:
-        if name not in _HELD:
-            _HELD[name] = name[0](*name[1:])
-    return [_HELD[name] for name in wanted]
+        if name not in kept:
+            kept[name] = name[0](*name[1:])
+    return [kept[name] for name in wanted]
 
 
 def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -22,8 +21,9 @@ from lexatlas.session import cut
 WORDS_KEPT, WORD_KEPT_BYTES = 1 << 19, 64
 #: Words that one call to the tokenizer takes, and text that is split before it.
 WORDS_AT_ONCE, LEARN_BYTES = 1 << 10, 1 << 20
-#: Punctuation that ends a word of ASCII letters and digits is a piece of its own for the tokenizer, too.
-LAST_MARKS = re.compile(rb"(?<=[a-z0-9])([.,;:!?]+)(?=[ \t\n\x0b\x0c\r]|$)")
+#: Punctuation that ends a word of ASCII letters and digits is a piece of its own for the tokenizer, too: the classes of bytes for that.
+MARKS, ALNUM, BLANKS = (np.isin(np.arange(256), list(x)) for x in (b".,;:!?", b"abcdefghijklmnopqrstuvwxyz0123456789", b" \t\n\x0b\x0c\r"))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
 class WordIds(dict):
@@ -39,6 +39,10 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        splitter = self.tokenizer.pre_tokenizer
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(WORD_KEPT_BYTES + 1)]
+        #: The merges alone, where words of a-z reach them as they are; else None.
+        self.merges = self.tokenizer.model if splitter and splitter.pre_tokenize_str(LETTERS) == [(LETTERS, (0, 26))] else None
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -49,16 +53,31 @@ class WordIds(dict):
             self[word] = ids
         return ids
 
-    def words(self, text: bytes) -> list[bytes]:
-        if b"<|" not in text:  # special tokens are told apart by case
-            text = text.lower()
-        return LAST_MARKS.sub(rb" \1", text).split()
+    def words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The words of each text; a mark between a word of ASCII letters and digits and white space is a word, too."""
+        texts = [t if b"<|" in t else t.lower() for t in texts]  # special tokens are told apart by case
+        data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        at = 2 + np.flatnonzero(ALNUM[data[:-2]] & MARKS[data[1:-1]] & BLANKS[data[2:]])
+        marked = np.insert(data, at - 1, 32).tobytes()
+        begins = 1 + np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        begins += np.searchsorted(at, begins)
+        return [marked[a:b].split() for a, b in zip(begins.tolist(), begins[1:].tolist())]
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Take up the ids of many words with one call: they stand in one line, and each token belongs to the word it begins in."""
-        new = [w for w in dict.fromkeys(w for w in words if w not in self) if len(w) <= WORD_KEPT_BYTES and b"<" not in w]
+        """Take up the ids of many words: words of a-z from the merges, the others with one call for many.
+
+        These stand in one line, and each token belongs to the word it begins in.
+        """
+        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= WORD_KEPT_BYTES]
         if len(self) + len(new) > WORDS_KEPT:
             self.clear()
+        if self.merges:
+            tokens_of, packers = self.merges.tokenize, self.packers
+            for w in new:
+                if w.isalpha() and w.islower():
+                    ids = [t.id for t in tokens_of(w.decode())]
+                    self[w] = packers[len(ids)](*ids)
+        new = [w for w in new if w not in self and b"<" not in w]
         for at in range(0, len(new), WORDS_AT_ONCE):
             some = new[at : at + WORDS_AT_ONCE]
             shown = [w.decode("utf-8", "replace") for w in some]
@@ -76,11 +95,12 @@ class WordIds(dict):
         while at < len(texts):
             group, size = [], 0
             while at < len(texts) and (not group or size + len(texts[at]) <= LEARN_BYTES):
-                group.append(self.words(texts[at]))
+                group.append(texts[at])
                 size += len(texts[at])
                 at += 1
-            self.learn(chain.from_iterable(group))
-            for words in group:
+            split = self.words(group)
+            self.learn(chain.from_iterable(split))
+            for words in split:
                 yield b"".join(map(self.__getitem__, words))
 
 
