@@ -7,8 +7,9 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer
 
-from lexatlas.llm.bpe import PIECE_KEPT_CHARS, PIECES_KEPT, BytePairCoder
+from lexatlas.llm.bpe import PIECE_KEPT_CHARS, PIECES_KEPT, BytePairCoder, byte_letters
 from lexatlas.llm.common import arrow_map, held
 from lexatlas.llm.packing import WordIds
 
@@ -22,9 +23,12 @@ class PieceCounts(dict):
     def __init__(self, path: str):
         super().__init__()
         self.coder = BytePairCoder(path)
+        self.merges = Tokenizer.from_file(path).model
+        #: The letter that stands for each byte in the vocabulary.
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.coder.merge(piece.encode()))
+        n = len(self.merges.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
         if len(piece) <= PIECE_KEPT_CHARS:
             if len(self) >= 2 * PIECES_KEPT:
                 self.clear()
