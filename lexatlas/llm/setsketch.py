@@ -160,9 +160,14 @@ def _with_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
     """``pairs`` (node, pivot) with the columns of ``side`` for both, those of the pivot prefixed p_. A pivot of many pairs is split."""
     deg = cut(pairs.groupBy("pivot").agg(F.count("*").alias("weight")))
     columns = [c for c in side.columns if c != "node"]
-    of_pivot = side.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in columns])
+
+    def meeting(keys: DataFrame) -> DataFrame:
+        # Registers and sets are wide and few of them are in a pair: the others are not shuffled.
+        return may_contain(side, ["node"], membership(keys, ["node"]), "_lx_met").filter("_lx_met").drop("_lx_met")
+
+    of_pivot = meeting(deg.select(F.col("pivot").alias("node"))).select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in columns])
     # A node has at most one pivot per band and lot, so only pivots can be hot.
-    return spread_join(pairs.join(side, "node"), deg.join(of_pivot, "pivot"), ["pivot"], ["node"], "weight")
+    return spread_join(pairs.join(meeting(pairs.select("node")), "node"), deg.join(of_pivot, "pivot"), ["pivot"], ["node"], "weight")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
