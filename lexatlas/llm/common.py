@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from types import ModuleType
 
 import pyarrow as pa
@@ -119,9 +120,15 @@ def _bit(*keys: str | Column) -> Column:
 
 def membership(df: DataFrame, keys: list[str]) -> DataFrame:
     """A filter of fixed size over the keys of ``df``: at most 2^26 bits in rows of 4 KB, ready to broadcast."""
-    b = _bit(*keys)
-    bits = df.select(F.bitmap_bucket_number(b).alias("_lx_bucket"), F.bitmap_bit_position(b).alias("_lx_at")).distinct()
-    return cut(bits.groupBy("_lx_bucket").agg(F.bitmap_construct_agg("_lx_at").alias("_lx_bits")))
+    return memberships([df.select(*keys)])[0]
+
+
+def memberships(sides: list[DataFrame]) -> list[DataFrame]:
+    """A :func:`membership` of the rows of each of ``sides``, all made in one shuffle. Repeated keys set the same bit, so they need not be taken out."""
+    b = [_bit(*side.columns) for side in sides]
+    at = [side.select(F.lit(i).alias("_lx_side"), F.bitmap_bucket_number(x).alias("_lx_bucket"), F.bitmap_bit_position(x).alias("_lx_at")) for i, (side, x) in enumerate(zip(sides, b))]
+    made = cut(reduce(DataFrame.unionAll, at).groupBy("_lx_side", "_lx_bucket").agg(F.bitmap_construct_agg("_lx_at").alias("_lx_bits")))
+    return [made.filter(F.col("_lx_side") == i).drop("_lx_side") for i in range(len(sides))]
 
 
 def may_contain(df: DataFrame, keys: list[str | Column], filter_: DataFrame, name: str = "_lx_maybe") -> DataFrame:

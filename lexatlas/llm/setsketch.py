@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lexatlas.llm.common import arrow_map, components, may_contain, membership, spread_join, text_bytes
+from lexatlas.llm.common import arrow_map, components, may_contain, membership, memberships, spread_join, text_bytes
 from lexatlas.session import cut
 
 BANDS, BAND_REGISTERS = 52, 7
@@ -27,8 +27,6 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 #: A pair is dropped before verification when its registers make any similarity at or above the limit
 #: e^-LEEWAY times less likely than the best one.
 LEEWAY = 16.0
-#: Turns in which the nodes of a bucket meet one pivot, before the pairs that are left are looked for by their words.
-TURNS = 2
 #: Nodes of one pivot that are compared with each other directly.
 FEW = 32
 
@@ -161,13 +159,14 @@ def _with_ends(pairs: DataFrame, side: DataFrame) -> DataFrame:
     deg = cut(pairs.groupBy("pivot").agg(F.count("*").alias("weight")))
     columns = [c for c in side.columns if c != "node"]
 
-    def meeting(keys: DataFrame) -> DataFrame:
-        # Registers and sets are wide and few of them are in a pair: the others are not shuffled.
-        return may_contain(side, ["node"], membership(keys, ["node"]), "_lx_met").filter("_lx_met").drop("_lx_met")
-
-    of_pivot = meeting(deg.select(F.col("pivot").alias("node"))).select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    # Registers and sets are wide and few of them are in a pair: the others are not shuffled.
+    of_node, of_pivot = (
+        may_contain(side, ["node"], met, "_lx_met").filter("_lx_met").drop("_lx_met")
+        for met in memberships([pairs.select("node"), deg.select(F.col("pivot").alias("node"))])
+    )
+    of_pivot = of_pivot.select(F.col("node").alias("pivot"), *[F.col(c).alias(f"p_{c}") for c in columns])
     # A node has at most one pivot per band and lot, so only pivots can be hot.
-    return spread_join(pairs.join(meeting(pairs.select("node")), "node"), deg.join(of_pivot, "pivot"), ["pivot"], ["node"], "weight")
+    return spread_join(pairs.join(of_node, "node"), deg.join(of_pivot, "pivot"), ["pivot"], ["node"], "weight")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,10 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that can be reached, kept says whether that is the document itself. A text of fewer words is one
     shingle; a text without words (or null) has none and is linked with nothing.
 
-    Texts with equal sets are one node. Nodes meet in the buckets of their bands. First the most central node
-    of each bucket is compared with the others of the bucket, then the most central of those that are
-    linked to nothing. Of the other pairs of a bucket only those can be linked that differ from its first
-    pivot in the same words: they are found by these words (:func:`_left_over`), so nodes just below the
+    Texts with equal sets are one node. Nodes meet in the buckets of their bands. The most central node
+    of each bucket, its pivot, is compared with the others of the bucket. Of the other pairs of a bucket only
+    those can be linked that differ from its pivot in the same words: they are found by these words (:func:`_left_over`), so nodes just below the
     limit are not compared with a whole group of near copies. Every pair of a bucket is compared, connected
     or ruled out by exact counts. Nothing is capped.
 
@@ -287,44 +285,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(may_contain(bands, ["key"], membership(sizes, ["key"]), "_shared").filter("_shared").drop("_shared"))
     # A node in the middle of its group is in large buckets; as a pivot it is linked to most of the group at once.
     central = spread_join(members, sizes, ["key"], ["node"], "weight").groupBy("node").agg(F.sum("size").alias("central"))
-    members = cut(members.join(central, "node").withColumn("root", F.col("node")))
+    members = cut(members.join(central, "node"))
 
     wanted = may_contain(source.filter("id is not null"), ["id"], membership(members.select(F.col("first").alias("id")), ["id"]), "_wanted")
     sets = cut(_sets(wanted.filter("_wanted").select("text"), width))
-    members = members.drop("first")
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows if labels is None else rows.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    found, labels, groups = [], None, None
-    for turn in range(TURNS):
-        # In the first turn all nodes of a bucket meet its most central one, later those that are linked to nothing yet.
-        waiting = members if turn == 0 else members.filter(F.col("root") == F.col("node"))
-        first = F.min(F.struct((-F.col("central")).alias("outer"), F.col("node").alias("pivot"), F.col("n").alias("p_n"))).alias("p")
-        chosen = cut(waiting.groupBy("key").agg(first, F.count("*").alias("weight")).filter("weight > 1").select("key", "p.pivot", "p.p_n", "weight"))
-        if chosen.isEmpty():
-            break
-        met = cut(spread_join(waiting, chosen, ["key"], ["node"], "weight").filter(F.col("node") != F.col("pivot")))
-        if turn == 0:
-            groups = cut(met.select("pivot", "node").distinct())
+    found, labels = [], None
+    first = F.min(F.struct((-F.col("central")).alias("outer"), F.col("node").alias("pivot"), F.col("n").alias("p_n"))).alias("p")
+    chosen = cut(members.groupBy("key").agg(first, F.count("*").alias("weight")).filter("weight > 1").select("key", "p.pivot", "p.p_n", "weight"))
+    if not chosen.isEmpty():
+        met = spread_join(members, chosen, ["key"], ["node"], "weight").filter(F.col("node") != F.col("pivot"))
+        groups = cut(met.select("pivot", "node", "n", "p_n").distinct())
         fits = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-        found.append(_linked(cut(met.filter(fits).select("node", "pivot").distinct()), nodes, sets, percent))
-        labels = cut(components(_all(found)))
-        members = cut(labelled(met.select("key", "node", "n", "central", "root")))
-    if groups is not None:
-        # Two nodes of a bucket have both met its first pivot.
-        groups = cut(labelled(groups.withColumn("root", F.col("node"))))
+        found.append(_linked(groups.filter(fits).select("node", "pivot"), nodes, sets, percent))
+        labels = cut(components(found[0]))
+        # Two nodes of a bucket have both met its pivot.
+        groups = cut(groups.join(labels, "node", "left").select("pivot", "node", "n", F.coalesce("root", "node").alias("root")))
         size = groups.groupBy("pivot").agg(F.count("*").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"))
         size = cut(size.filter("low <> high").select("pivot", "weight"))
-        few = groups.join(size.filter(F.col("weight") <= FEW).drop("weight"), "pivot").join(nodes.select("node", "n"), "node")
+        few = groups.join(size.filter(F.col("weight") <= FEW).drop("weight"), "pivot")
         a, b = few.alias("a"), few.alias("b")
         fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
         apart = (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
         direct = a.join(b, apart & fits).select(F.col("b.node").alias("node"), F.col("a.node").alias("pivot"))
-        many = cut(spread_join(groups, cut(size.filter(F.col("weight") > FEW)), ["pivot"], ["node"], "weight"))
+        many = cut(spread_join(groups.drop("n"), size.filter(F.col("weight") > FEW), ["pivot"], ["node"], "weight"))
         rest = direct.unionByName(_left_over(many, sets, percent)) if not many.isEmpty() else direct
         found.append(_linked(cut(rest.distinct()), nodes, sets, percent))
-        labels = cut(components(_all(found)))
+        if not found[1].isEmpty():
+            labels = cut(components(_all(found)))
 
     known = nodes.select("node", "first", "copies", F.col("node").alias("root"))
     if labels is not None:
