@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexatlas.operators.ranking import attach
-from lexatlas.session import cut, parallelism
+from lexatlas.session import cut, parallelism, release
 
 NEAR_ZERO = 1e-10  # smallest distance used for a density
 NOISE = -1
@@ -40,10 +40,11 @@ def chains_followed(steps: DataFrame) -> DataFrame:
     held = cut(steps)
     while True:
         on = held.select(F.col("node").alias("to"), F.col("to").alias("_next"))
-        further = cut(held.join(on, "to").select("node", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved")))
-        held = further.select("node", "to")
+        further = cut(held.select("node", "to").join(on, "to").select("node", F.col("_next").alias("to"), (F.col("_next") != F.col("to")).alias("_moved")))
+        release(held)
         if further.where("_moved").isEmpty():
-            return held.withColumnRenamed("to", "root")
+            return further.select("node", F.col("to").alias("root"))
+        held = further
 
 
 def forest_components(edges: DataFrame) -> DataFrame:

@@ -12,14 +12,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexatlas.operators.cluster_tree import IN_TASK, NOISE, chains_followed, cluster_labels
-from lexatlas.operators.neighbours import BLOCK, SLACK, Index, build_index, distances, meet, pair_distances, point_neighbours, quick_squares, visits
+from lexatlas.operators.neighbours import BLOCK, SLACK, Block, Index, build_index, distances, meet, pair_distances, point_neighbours, quick_squares, visits, write_blocks
 from lexatlas.operators.ranking import attach
-from lexatlas.session import cut
+from lexatlas.session import cut, release, remove
 
 
 def core_distances(index: Index, near: DataFrame, k: int, min_samples: int) -> DataFrame:
@@ -65,82 +67,83 @@ def roots(best: DataFrame) -> DataFrame:
 
 
 def _foreign(index: Index, points: DataFrame, best: DataFrame, id_type: str) -> DataFrame | None:
-    """Edges found by search for points that their neighbour list does not settle."""
+    """Edges found by search for points (cell, rid, core, reach, comp) that their neighbour list does not settle. Written."""
     spark = points.sparkSession
     limit = F.coalesce("w", F.lit(float("inf")))
     open_points = cut(
         points.join(best.select("comp", "w"), "comp", "left")
         .withColumn("limit", limit)
         .where(F.col("reach") < F.col("limit"))
-        .select("rid", "v", "core", "comp", "limit")
+        .select("rid", "core", "comp", "limit")
     )
     schema = f"comp {id_type}, u {id_type}, v {id_type}, w double, other {id_type}"
     if open_points.limit(1).count() == 0:
+        release(open_points)
         return None
     # Pivots are points too: the nearest one of another component bounds the search of a component.
     facts = spark.createDataFrame([(r, i) for i, r in enumerate(index.pivot_ids)], f"rid {id_type}, at int")
     known = points.join(F.broadcast(facts), "rid").select("at", "comp", "core").orderBy("at").collect()  # one row per pivot
-    shared = spark.sparkContext.broadcast(
-        (index.pivots, np.array([r["comp"] for r in known], dtype=object), np.array([r["core"] for r in known]))
-    )
+    codes, names = pd.factorize(pd.Series([r["comp"] for r in known]))
+    shared = spark.sparkContext.broadcast((index.pivots, codes, pd.Index(names), np.array([r["core"] for r in known])))
 
     def bound(batches):
-        pivots, comp, core = shared.value
+        pivots, codes, names, core = shared.value
         step = max(1, 1_000_000 // len(pivots))
         for pdf in batches:
             for at in range(0, len(pdf), step):
                 part = pdf.iloc[at : at + step]
                 d = distances(np.stack(part["v"].to_numpy()), pivots, exact=True)
                 d = np.maximum(np.maximum(d, core[None, :]), part["core"].to_numpy()[:, None])
-                d[part["comp"].to_numpy(dtype=object)[:, None] == comp[None, :]] = np.inf
+                d[names.get_indexer(part["comp"])[:, None] == codes[None, :]] = np.inf
                 yield pd.DataFrame({"comp": part["comp"], "b": d.min(1)})
 
-    limits = open_points.select("comp", "v", "core").mapInPandas(bound, f"comp {id_type}, b double").groupBy("comp").agg(F.min("b").alias("b"))
-    queries = open_points.join(limits, "comp").withColumn("limit", F.least("limit", "b"))
+    asking = open_points.join(index.points.select("rid", "v"), "rid")
+    limits = asking.select("comp", "v", "core").mapInPandas(bound, f"comp {id_type}, b double").groupBy("comp").agg(F.min("b").alias("b"))
+    limits = cut(limits)
+    queries = asking.join(limits, "comp").withColumn("limit", F.least("limit", "b"))
     mixed = points.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where(F.col("a") == F.col("b"))
     pure = {r["cell"]: r["a"] for r in mixed.collect()}  # at most one row per pivot
 
-    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"comp": q["comp"].iloc[:0], "u": q["rid"].iloc[:0], "v": q["rid"].iloc[:0], "w": pd.Series(dtype=float), "other": q["comp"].iloc[:0]})
-        if not len(q) or not len(p):
-            return empty
-        p = p.sort_values("rid", kind="stable")
-        pv, pid, pc, pcore = np.stack(p["v"].to_numpy()), p["rid"].to_numpy(), p["comp"].to_numpy(), p["core"].to_numpy()
-        out = []
-        step = max(1, 1_000_000 // len(p))
-        for at in range(0, len(q), step):
-            part = q.iloc[at : at + step]
-            qv, qcore = np.stack(part["v"].to_numpy()), part["core"].to_numpy()
-            # Lower bounds by a matrix product; only pairs that can be a row's shortest, and no longer than its limit, are summed exactly.
-            sq, error = quick_squares(qv, pv)
-            low = np.sqrt(np.maximum(sq - error, 0.0))
-            low = np.maximum(np.maximum(low, pcore[None, :]), qcore[:, None])
-            low[part["comp"].to_numpy()[:, None] == pc[None, :]] = np.inf
-            first = low.argmin(1)
-            high = np.sqrt(np.maximum(sq[np.arange(len(first)), first] + error, 0.0))
-            high = np.maximum(np.maximum(high, pcore[first]), qcore)
-            row, col = np.nonzero((low <= np.minimum(high, part["limit"].to_numpy() + SLACK)[:, None]) & np.isfinite(low))
-            w = np.maximum(np.maximum(pair_distances(qv, row, pv, col), pcore[col]), qcore[row])
-            order = np.lexsort((col, w, row))
-            row, col, w = row[order], col[order], w[order]
-            head = np.searchsorted(row, row) == np.arange(len(row))
-            row, j, w = row[head], col[head], w[head]
-            frame = pd.DataFrame({"comp": part["comp"].to_numpy()[row], "u": part["rid"].to_numpy()[row], "v": pid[j], "w": w, "other": pc[j]})
-            lo, hi = np.minimum(frame["u"], frame["v"]), np.maximum(frame["u"], frame["v"])
-            out.append(frame.assign(_lo=lo, _hi=hi))
-        if not out:
-            return empty
-        every = pd.concat(out, ignore_index=True).sort_values(["comp", "w", "_lo", "_hi"])
-        return every.drop_duplicates("comp")[["comp", "u", "v", "w", "other"]]
+    def nearest(asking: pd.DataFrame, vectors: np.ndarray, blocks: Iterator) -> Iterator[pd.DataFrame]:
+        qid, qcomp, qcore, limit = (asking[c].to_numpy() for c in ("rid", "comp", "core", "limit"))
+        of, names = pd.factorize(qcomp)
+        found, least = None, np.full(len(names), np.inf)  # the best edge of each component so far, and its length
+        for rows, pid, pv, known in blocks:
+            pc, pcore, block = known["comp"].to_numpy(), known["core"].to_numpy(), Block.of(pv)
+            out = [] if found is None else [found]
+            step = max(1, 1_000_000 // len(pid))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                # Lower bounds by a matrix product; only pairs that can be a row's shortest, and no longer than its limit, are summed exactly.
+                sq, error = quick_squares(vectors[part], block)
+                low = np.sqrt(np.maximum(sq - error, 0.0))
+                low = np.maximum(np.maximum(low, pcore[None, :]), qcore[part][:, None])
+                low[qcomp[part][:, None] == pc[None, :]] = np.inf
+                first = low.argmin(1)
+                high = np.sqrt(np.maximum(sq[np.arange(len(first)), first] + error, 0.0))
+                high = np.minimum(np.maximum(np.maximum(high, pcore[first]), qcore[part]), np.minimum(limit[part] + SLACK, least[of[part]]))
+                row, col = np.nonzero((low <= high[:, None]) & np.isfinite(low))
+                w = np.maximum(np.maximum(pair_distances(vectors[part], row, pv, col), pcore[col]), qcore[part][row])
+                frame = pd.DataFrame({"_of": of[part][row], "u": qid[part][row], "v": pid[col], "w": w, "other": pc[col]})
+                lo, hi = np.minimum(frame["u"], frame["v"]), np.maximum(frame["u"], frame["v"])
+                out.append(frame.assign(_lo=lo, _hi=hi).sort_values(["_of", "w", "_lo", "_hi"]).drop_duplicates("_of"))
+            found = pd.concat([o for o in out if len(o)] or out[:1], ignore_index=True).sort_values(["_of", "w", "_lo", "_hi"]).drop_duplicates("_of")
+            least[found["_of"].to_numpy()] = found["w"].to_numpy()
+        if found is not None and len(found):
+            yield found.assign(comp=names[found["_of"].to_numpy()])[["comp", "u", "v", "w", "other"]]
 
-    visiting = visits(index, queries, "limit", 0, ["core", "comp", "limit"], pure)
-    return meet(index, visiting, points.select("cell", "rid", "v", "core", "comp"), nearest, schema)
+    told = write_blocks(index, points.select("cell", "rid", "core", "comp"))
+    made = meet(index, visits(index, queries, "limit", 0, ["core", "comp", "limit"], pure), nearest, schema, told)
+    remove(spark, told)
+    release(open_points, limits)
+    return made
 
 
 def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
     """(u, v, w): the minimum spanning tree over the points under mutual reachability."""
     id_type = dict(index.points.dtypes)["rid"]
-    points = cut(index.points.join(core, "rid").withColumn("comp", F.col("rid")))
+    # The vectors stay where they are; a round writes which component a point belongs to.
+    points = cut(index.points.select("cell", "rid").join(core, "rid").withColumn("comp", F.col("rid")))
     c = core.select("rid", "core")
     one_way = (
         near.select(F.col("rid").alias("u"), F.col("nid").alias("v"), "dist")
@@ -156,10 +159,12 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
         best = cut(_best(_ends(edges)))
         searched = _foreign(index, points, best, id_type)
         if searched is not None:
-            best = cut(_best(_ends(edges.select("comp", "u", "v", "w", "other").unionByName(searched.select("comp", "u", "v", "w", "other")))))
+            listed, best = best, cut(_best(_ends(edges.select("comp", "u", "v", "w", "other").unionByName(searched.select("comp", "u", "v", "w", "other")))))
+            release(listed, searched)
         chosen = cut(best.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "w").distinct())
         tree = chosen if tree is None else tree.unionByName(chosen)
-        to = roots(best)
+        to = cut(roots(best))
+        before = points, edges
         points = cut(points.join(to, "comp").drop("comp").withColumnRenamed("root", "comp"))
         edges = cut(
             edges.join(to, "comp")
@@ -171,6 +176,8 @@ def spanning_tree(index: Index, near: DataFrame, core: DataFrame) -> DataFrame:
             .where(F.col("comp") != F.col("other"))
         )
         left = to.select("root").distinct().count()
+        release(best, to, *before)
+    release(points, edges)
     return tree if tree is not None else points.sparkSession.createDataFrame([], f"u {id_type}, v {id_type}, w double")
 
 
