@@ -20,7 +20,7 @@ from lexatlas.operators.approximate import approximate_neighbours
 from lexatlas.operators.neighbours import nearest_neighbours
 from lexatlas.operators.ranking import HOT_GROUP
 from lexatlas.operators.vectors import unit_cube
-from lexatlas.session import cut
+from lexatlas.session import cut, release
 
 BISECTIONS = 64
 
@@ -76,6 +76,8 @@ EXTRA = 3  # columns beyond the wanted ones, which speed up the convergence
 DEGREE = 8  # products with the graph between two checks
 ITERATIONS = 400  # products in all, beyond which the layout fails
 TOLERANCE = 1e-3  # of |A x - value x| for every axis x of length 1
+SHUFFLED = 1 << 30  # bytes that products may shuffle before the vectors are written; a product alone may need more
+EDGE_BYTES = 160  # shuffled by a product for each edge: the edge, and a part of the sums
 
 
 @dataclass(frozen=True)
@@ -114,12 +116,15 @@ def _product(edges: DataFrame, vectors: DataFrame, names: list[str], keep: list[
     return edges.join(met, ["dst", "salt"]).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("me") * F.col("copies")).cast("int").alias("copies"), *sums)
 
 
-def _filtered(edges: DataFrame, vectors: DataFrame, names: list[str], bound: float, degree: int) -> DataFrame:
-    """Chebyshev filter: directions with eigenvalues in [-1, bound] shrink against those above, by a polynomial of the degree."""
+def _filtered(edges: DataFrame, vectors: DataFrame, names: list[str], bound: float, degree: int, at_once: int) -> DataFrame:
+    """Chebyshev filter: directions with eigenvalues in [-1, bound] shrink against those above, by a polynomial of the degree.
+
+    After ``at_once`` products the vectors are written, so no more is shuffled at a time. The result is written.
+    """
     half, centre = (bound + 1) / 2, (bound - 1) / 2
     first = scale = half / (1 - centre)
     before = [f"o_{c}" for c in names]
-    now = vectors.select("id", "copies", *names, *[F.lit(0.0).alias(b) for b in before])
+    now, written = vectors.select("id", "copies", *names, *[F.lit(0.0).alias(b) for b in before]), None
     for step in range(degree):
         after = scale if step == 0 else 1 / (2 / first - scale)
         factor = (scale if step == 0 else 2 * after) / half
@@ -131,7 +136,13 @@ def _filtered(edges: DataFrame, vectors: DataFrame, names: list[str], bound: flo
             *[F.col(c).alias(b) for c, b in zip(names, before)],
         )
         scale = after
-    return now.select("id", "copies", *names)
+        if step + 1 < degree and (step + 1) % at_once == 0:
+            now = cut(now)
+            release(written)
+            written = now
+    made = cut(now.select("id", "copies", *names))
+    release(written)
+    return made
 
 
 def spectral_coordinates(graph: DataFrame, dims: int = 3, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, degree: int = DEGREE) -> Spectral:
@@ -140,23 +151,29 @@ def spectral_coordinates(graph: DataFrame, dims: int = 3, iterations: int = ITER
     Filtered subspace iteration: a product is one equi-join of the edges with the vectors and one sum per
     node. After every ``degree`` products the block is written, made orthonormal with a matrix as wide as
     the block and rotated to the approximate eigenvectors it contains; it ends when A x - value x is no
-    longer than ``tolerance`` for every axis. More than ``iterations`` products raise an error.
+    longer than ``tolerance`` for every axis. More than ``iterations`` products raise an error. Of the tables
+    that are written on the way only the last are kept.
     """
     q = dims + 1 + EXTRA
     edges, nodes = normalised(graph)
+    at_once = max(1, SHUFFLED // (EDGE_BYTES * max(1, edges.count())))  # from the file footers
     # Deterministic start: the trivial direction, which stays as it is, then hashed numbers in [-1, 1].
     start = [F.sqrt("deg").alias("c0")] + [(id_hash("id", j) / F.lit(float(1 << 59)) - 1.0).alias(f"c{j}") for j in range(1, q)]
     names, bound, made = [f"c{j}" for j in range(q)], 0.0, 0
     free = names[1:]
-    vectors = cut(nodes.select("id", "copies", *start))
+    written = vectors = cut(nodes.select("id", "copies", *start))
     while True:
-        vectors = cut(orthonormal(cut(_filtered(edges, vectors, names, bound, degree)), names, ["copies"]))
+        filtered = _filtered(edges, vectors, names, bound, degree, at_once)
+        release(written)
+        written = vectors = cut(orthonormal(filtered, names, ["copies"]))
+        release(filtered)
         made += degree + 1
         both = cut(_product(edges, vectors, free, free))
         pairs = [(i, j) for i in range(len(free)) for j in range(i, len(free))]
         products = [F.sum(F.col(free[i]) * F.col(f"_{free[j]}")).alias(f"h{i}_{j}") for i in range(len(free)) for j in range(len(free))]
         products += [F.sum(F.col(f"_{free[i]}") * F.col(f"_{free[j]}")).alias(f"g{i}_{j}") for i, j in pairs]
         sums = both.agg(*products).first()
+        release(both)
         h = np.array([[sums[f"h{i}_{j}"] for j in range(len(free))] for i in range(len(free))])
         g = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(free))] for i in range(len(free))])
         value, rotate = np.linalg.eigh((h + h.T) / 2)
@@ -167,6 +184,7 @@ def spectral_coordinates(graph: DataFrame, dims: int = 3, iterations: int = ITER
         turned = [sum((F.col(c) * F.lit(float(rotate[i, j])) for i, c in enumerate(free)), F.lit(0.0)) for j in range(len(free))]
         if residual[:dims].max() <= tolerance:
             axes = vectors.select("id", *[turned[j].alias(f"c{j}") for j in range(dims)])
+            release(edges, nodes)
             return Spectral(axes, tuple(map(float, value[:dims])), tuple(map(float, residual[:dims])), made)
         if made + degree + 1 > iterations:
             raise RuntimeError(f"the layout has not settled after {made} products: residuals {residual[:dims].tolist()}, tolerance {tolerance}")
